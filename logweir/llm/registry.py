@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import line_dedup, mixing
+from logweir.llm import html_extract, line_dedup, media, mixing, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1,
         "op3_mixing": mixing.op3,
+        "op5_html_extraction": html_extract.op5,
+        "op7_packing": packing.op7,
+        "op8_media_columns": media.op8,
+        "op9_toxicity": toxicity.op9,
     }
 
 
