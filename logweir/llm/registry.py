@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import html_extract, line_dedup, media, mixing, packing, toxicity
+from logweir.llm import html_extract, jaccard_join, line_dedup, media, mixing, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1,
+        "op2_ngram_jaccard_join": jaccard_join.op2,
         "op3_mixing": mixing.op3,
         "op5_html_extraction": html_extract.op5,
         "op7_packing": packing.op7,
