@@ -9,8 +9,9 @@ takes it. A segment tree over the room left, 0..window, finds that window in a d
 group's memory is fixed, and only its last windows may be loosely filled.
 
 Tokenising. A text of ordinary Latin characters splits at white space, and no token of this
-vocabulary spans white space, so ids of each distinct word are computed once by the tokenizer and
-kept. Any other text, and any that may hold a special token, goes to the tokenizer whole.
+vocabulary spans white space, so ids of each distinct word are computed once, by the tokenizer or,
+for words of letters, by the same merges in a faster library, and kept. Any other text, and any that
+may hold a special token, goes to the tokenizer whole.
 
 Edge cases. A null or empty text is the closing id alone. Repeated rows and null doc_ids are packed
 as separate documents. Ties in length go by doc_id, start and row. An empty table gives an empty
@@ -19,9 +20,12 @@ result. Extra columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ WINDOW, END_ID = 4096, 2
 GROUP_PIECES = 32_768
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 #: Anything else than ASCII text and plain Latin letters, whose case and composition are settled.
 _OTHER = re.compile("[^\\x09-\\x0d\\x20-\\x7e\\u00c0-\\u0100\\u0101-\\u012f\\u0131-\\u0148\\u014a-\\u017e]|<\\|")
 
@@ -46,6 +50,34 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _word_merger(path: str) -> Callable[[bytes], list[int]] | None:
+    """Byte-pair merging of one word, several times faster than the tokenizer's own.
+
+    Usable where ids rise with the order of merges and all bytes are in the vocabulary: a merge by
+    lowest id is then a merge by earliest rule. The end of a word is marked by byte 255, which no
+    UTF-8 text holds, so that its last character and the mark merge first, as they should."""
+    import tiktoken
+
+    model = json.loads(Path(path).read_text())["model"]
+    vocabulary, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    order = [vocabulary[a + b] for a, b in merges]
+    end = model.get("end_of_word_suffix") or ""
+    if model["type"] != "BPE" or not end or order != sorted(set(order)):
+        return None
+    # The format writes bytes as visible characters: itself where it is one, else 256 and up in turn.
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte = {chr(b): b for b in visible} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in visible)}
+    ranks = {}
+    for token, i in vocabulary.items():
+        closed = token.endswith(end) and token != end
+        raw = token.removesuffix(end) if closed else token
+        if all(c in byte for c in raw):
+            ranks[bytes(byte[c] for c in raw) + b"\xff" * closed] = i
+    if not all(bytes([b]) in ranks for b in range(256)):
+        return None
+    return tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 class Encoder:
     """Texts to ids, as little-endian 32-bit words; keeps the ids of words it has met."""
 
@@ -58,6 +90,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.merge = _word_merger(path)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -68,18 +101,35 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: Iterable[str]) -> None:
+        """Adds words: letters, letters before closing marks, and others as they are."""
+        stems = {w: w.rstrip(".,!?") for w in new}
+        marks = {m for w, s in stems.items() if (m := w[len(s) :]) and m not in self.known}
+        odd = [w for w, s in stems.items() if not s.isalpha()]
+        self.known.update(zip([*marks, *odd], self._ids([*marks, *odd]), strict=True) if marks or odd else ())
+        plain = [s for s in {s for s in stems.values() if s.isalpha()} if s not in self.known]
+        if self.merge is None:
+            self.known.update(zip(plain, self._ids(plain), strict=True) if plain else ())
+        else:
+            for w in plain:
+                self.known[w] = array("I", self.merge(w.encode() + b"\xff")).tobytes()
+        known = self.known
+        for w, s in stems.items():
+            if w not in known:
+                known[w] = known[s] + known[w[len(s) :]]
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _OTHER.search(text):
             return self._ids([text])[0]
         words = text.lower().split()
-        new = list(set(words).difference(self.known))
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = list(set(words))
-            self.known.update(zip(new, self._ids(new), strict=True))
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            self._learn({w for w in words if w not in self.known})
         return b"".join(map(self.known.__getitem__, words))
 
 
