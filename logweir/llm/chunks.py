@@ -3,7 +3,8 @@
 Documents are dealt by a hash into chunks of a fixed mean size. A chunk sorts and counts its keys
 before anything is shuffled, so a key that a third of all documents hold leaves each chunk once, and
 ships them as packed arrays to buckets by key range. A bucket adds up and answers every chunk with
-one byte a key: 0 for a key met once in the corpus, else the logarithm of its count. The chunk, which
+one byte a key, 0 for a key met once in the corpus, else the logarithm of its count (or, on request,
+with the count itself). The chunk, which
 computes its keys again in the same order, reads the answers off by position.
 
 Texts that occur in several documents are read once: groups of equal texts are found by a 128-bit
@@ -47,10 +48,10 @@ class Docs:
         self._codes = {}
         for kind in set(kinds.tolist()) - {0}:
             own = right.filter(pa.array(kinds == kind)).sort_by("bucket")
-            self._codes[kind] = np.frombuffer(b"".join(own.column("blob").to_pylist()), np.uint8)
+            self._codes[kind] = b"".join(own.column("blob").to_pylist())
 
-    def codes(self, kind: int) -> np.ndarray:
-        return self._codes.get(kind, np.zeros(0, np.uint8))
+    def codes(self, kind: int, exact: bool = False) -> np.ndarray:
+        return np.frombuffer(self._codes.get(kind, b""), np.uint32 if exact else np.uint8)
 
 
 class Chunks:
@@ -83,7 +84,7 @@ class Chunks:
     def count_keys(self, kind: int, keys: Callable[[Docs], np.ndarray], *, exact: bool) -> None:
         """Adds the answers to a new kind of keys: ``Docs.codes(kind)`` has one for each distinct
         key, in rising order. Without ``exact`` keys travel as 32 bits within their bucket, and
-        two of them may, rarely, be taken for one."""
+        two of them may, rarely, be taken for one. With it, answers are counts of 32 bits."""
         bits = self.bits
 
         def ship(docs: Docs) -> pa.Table:
@@ -91,7 +92,7 @@ class Chunks:
             buckets = (found >> np.uint64(64 - bits)).astype(np.int64)
             ends = np.searchsorted(buckets, np.arange((1 << bits) + 1))
             packed = found if exact else ((found << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-            counts = np.minimum(counts, 255).astype(np.uint8)
+            counts = counts.astype(np.uint32) if exact else np.minimum(counts, 255).astype(np.uint8)
             used = [b for b in range(1 << bits) if ends[b + 1] > ends[b]]
             blobs = [packed[ends[b] : ends[b + 1]].tobytes() for b in used]
             many = [counts[ends[b] : ends[b + 1]].tobytes() for b in used]
@@ -109,10 +110,13 @@ class Chunks:
             blobs = rows.column("blob").to_pylist()
             sizes = [len(b) // np.dtype(kind_of).itemsize for b in blobs]
             every = np.frombuffer(b"".join(blobs), kind_of)
-            weights = np.frombuffer(b"".join(rows.column("many").to_pylist()), np.uint8)
+            weights = np.frombuffer(b"".join(rows.column("many").to_pylist()), np.uint32 if exact else np.uint8)
             found, at = np.unique(every, return_inverse=True)
             totals = np.bincount(at, weights, len(found))
-            code = np.where(totals < 2, 0, np.minimum(255, 1 + np.floor(4 * np.log2(np.maximum(totals, 2) / 2)))).astype(np.uint8)[at]
+            if exact:
+                code = np.minimum(totals, (1 << 32) - 1).astype(np.uint32)[at]
+            else:
+                code = np.where(totals < 2, 0, np.minimum(255, 1 + np.floor(4 * np.log2(np.maximum(totals, 2) / 2)))).astype(np.uint8)[at]
             ends = np.cumsum([0, *sizes])
             out = [code[ends[i] : ends[i + 1]].tobytes() for i in range(len(sizes))]
             n = len(out)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import html_extract, jaccard_join, line_dedup, media, mixing, packing, toxicity
+from logweir.llm import html_extract, jaccard_join, line_dedup, media, mixing, packing, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": line_dedup.op1,
         "op2_ngram_jaccard_join": jaccard_join.op2,
         "op3_mixing": mixing.op3,
+        "op4_suffix_array_dedup": suffix_dedup.op4,
         "op5_html_extraction": html_extract.op5,
         "op7_packing": packing.op7,
         "op8_media_columns": media.op8,
