@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import html_extract, jaccard_join, line_dedup, media, mixing, packing, suffix_dedup, toxicity
+from logweir.llm import html_extract, jaccard_join, line_dedup, media, mixing, packing, suffix_dedup, toxicity, vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": mixing.op3,
         "op4_suffix_array_dedup": suffix_dedup.op4,
         "op5_html_extraction": html_extract.op5,
+        "op6_embedding_near_dedup": vector_dedup.op6,
         "op7_packing": packing.op7,
         "op8_media_columns": media.op8,
         "op9_toxicity": toxicity.op9,
