@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import html_extract, jaccard_join, line_dedup, media, mixing, packing, suffix_dedup, toxicity, vector_dedup
+from logweir.llm import html_extract, jaccard_join, licenses, line_dedup, media, mixing, packing, suffix_dedup, toxicity, vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_embedding_near_dedup": vector_dedup.op6,
         "op7_packing": packing.op7,
         "op8_media_columns": media.op8,
+        "op10_license_scans": licenses.op10,
         "op9_toxicity": toxicity.op9,
     }
 
