@@ -56,11 +56,13 @@ def drop_repeated_lines(docs: DataFrame, *, min_length: int = MIN_LENGTH, min_do
     text = F.when(F.col("__at").isNotNull(), rebuilt).otherwise(F.col("text"))
     plain = [c for c in docs.columns if c != "text"]
     names = {c: F.col(f"`{c}`") for c in plain} | {"text": text}
-    return joined.select(
+    out = joined.select(
         *[names[c].alias(c) for c in docs.columns],
         count.cast("long").alias("__n_lines"),
         F.when(F.col("__at").isNull(), 0).otherwise(gone).cast("long").alias("__n_dropped"),
     )
+    # Where adaptive execution splits the join finely, results still come as so many files at most.
+    return out.coalesce(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
