@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.operators.log import after
+from logweir.operators.log import LAST, after
 from logweir.operators.ordering import with_previous
 
 
@@ -22,8 +22,8 @@ def gaps(events: DataFrame, cursor: int = 0) -> DataFrame:
 
 def contiguous(events: DataFrame, cursor: int = 0) -> DataFrame:
     """Events behind a cursor up to the first hole; what lies beyond is withheld."""
-    first = gaps(events, cursor).agg(F.min("next").alias("__stop"))
-    return after(events, cursor).crossJoin(F.broadcast(first)).where(F.col("__stop").isNull() | (F.col("id") < F.col("__stop"))).drop("__stop")
+    first = gaps(events, cursor).agg(F.coalesce(F.min("next"), F.lit(LAST)))
+    return after(events, cursor).where(F.col("id") < first.scalar())
 
 
 def missing(events: DataFrame, cursor: int = 0) -> DataFrame:

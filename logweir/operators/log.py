@@ -14,6 +14,8 @@ from logweir.schema import EVENT, EventColumns
 
 #: Events in a page, and what a limit of 0 or less stands for.
 PAGE = 1000
+#: Behind every id.
+LAST = (1 << 63) - 1
 
 
 def is_noop(foreign_id: Column | None = None, type_: Column | None = None) -> Column:
@@ -61,8 +63,8 @@ def lagged(events: DataFrame, now: Column, lag: Column) -> DataFrame:
 
 def lagged_prefix(events: DataFrame, now: Column, lag: Column) -> DataFrame:
     """Events before the first that is too new, as a live stream delivers them; just that age passes."""
-    young = events.where(F.col("timestamp") > now - lag).agg(F.min("id").alias("__young"))
-    return events.crossJoin(F.broadcast(young)).where(F.col("__young").isNull() | (F.col("id") < F.col("__young"))).drop("__young")
+    young = events.where(F.col("timestamp") > now - lag).agg(F.coalesce(F.min("id"), F.lit(LAST)))
+    return events.where(F.col("id") < young.scalar())
 
 
 def checked_increasing(events: DataFrame) -> DataFrame:

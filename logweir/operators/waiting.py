@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 def bootstrap(cursors: DataFrame, head: DataFrame) -> DataFrame:
     """(consumer, after, from_head): a consumer without a cursor starts at the head."""
-    rows = cursors.crossJoin(F.broadcast(head))
     none = F.coalesce(F.col("cursor"), F.lit("")) == ""
-    return rows.select("consumer", F.when(none, F.col("head")).otherwise(F.col("cursor").try_cast("bigint")).alias("after"), none.alias("from_head"))
+    return cursors.select("consumer", F.when(none, head.scalar()).otherwise(F.col("cursor").try_cast("bigint")).alias("after"), none.alias("from_head"))
 
 
 def awaited(events: DataFrame, head: int, foreign_id: str | Column, types: Sequence[int]) -> DataFrame:

@@ -87,7 +87,7 @@ def log_from_head(spark, folder):
     """Opened at NOW: what came later."""
     events = _log(spark, folder)
     head = log.head(events.where(F.col("timestamp") < _now()))
-    return _plain(events.join(F.broadcast(head), F.col("id") > F.col("head")))
+    return _plain(events.where(F.col("id") > head.scalar()))
 
 
 @query(f"WITH {LOG} SELECT count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM log WHERE id > 700")
