@@ -68,3 +68,14 @@ def ascii_lower(text: Column) -> Column:
 def wide_hash(text: Column) -> list[Column]:
     """Two independent 64-bit hashes: together no two texts of a corpus collide in practice."""
     return [F.xxhash64(text), F.xxhash64(F.lit(0x5EED), text)]
+
+
+def least_hashes(rows: DataFrame, hashed: str, size: int) -> DataFrame:
+    """At most ``size`` rows, those with the least values of a 64-bit hash column.
+
+    Rows beyond a share that holds half as many again are dropped where they lie, so that a top-k
+    over many tasks gathers little more than ``size`` rows, however large the table."""
+    share = 1.5 * (size + 100) / max(1, rows.count())
+    if share < 1:
+        rows = rows.where(F.col(hashed) < F.lit(int((share - 0.5) * 2**64)))
+    return rows.orderBy(hashed, *[c for c in rows.columns if c != hashed]).limit(size)

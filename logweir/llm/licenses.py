@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm.common import table
+from logweir.llm.common import least_hashes, table
 
 SAMPLE, FEATURES, COVER, THRESHOLD = 1500, 600, 0.75, 0.5
 #: Share of background paragraphs from which on a word is common.
@@ -264,7 +264,7 @@ def candidates(text: Column, model: Model) -> Column:
 def sample_paragraphs(docs: DataFrame, size: int = SAMPLE) -> list[str]:
     """A bounded sample: a paragraph each of the documents with the least hashes."""
     rows = docs.where("length(text) > 0").select(F.xxhash64("doc_id", "text").alias("h"), F.substring_index("text", "\n", 1).alias("p"))
-    return [r["p"][:600] for r in rows.orderBy("h", "p").limit(size).collect()]
+    return [r["p"] for r in least_hashes(rows.withColumn("p", F.substring("p", 1, 600)), "h", size).collect()]
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
