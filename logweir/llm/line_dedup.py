@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm.common import BLANKS, ascii_lower, table, wide_hash
+from logweir.llm.common import BLANKS, Scratch, ascii_lower, table, wide_hash
 
 MIN_LENGTH, MIN_DOCS = 20, 3
 
@@ -39,6 +39,9 @@ def dropped_positions(docs: DataFrame, *, min_length: int = MIN_LENGTH, min_docs
     holders = keyed.select("__h1", "__h2", "__id").distinct()
     # max() skips nulls: a null doc_id is the last holder only where no other document holds the key.
     over = holders.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"), F.max("__id").alias("__last")).where(F.col("__n") >= min_docs).select("__h1", "__h2", "__last")
+    # Written out, the few keys over the threshold have no partitioning of their own that the join
+    # would have to keep: adaptive execution is free to split a hot key, or to broadcast by size.
+    over = Scratch(docs.sparkSession, "lines").write(over)
     hit = keyed.join(over, ["__h1", "__h2"]).where(~F.col("__id").eqNullSafe(F.col("__last")))
     return hit.groupBy("__id", "__row").agg(F.collect_set("__pos").alias("__at"))
 
