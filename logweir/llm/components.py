@@ -20,13 +20,15 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     state = None
     while True:
         both = stars.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(stars.select("hi", "lo"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo < hi")
-        following = scratch.write(small.union(least.select(F.col("m").alias("lo"), "hi")).distinct())
+        # Written out, the aggregate has no partitioning that the join must keep, so hubs can be split.
+        least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = scratch.write(both.join(least, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct())
+        lowest = scratch.write(large.groupBy("hi").agg(F.min("lo").alias("m")))
+        small = large.join(lowest, "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo < hi")
+        following = scratch.write(small.union(lowest.select(F.col("m").alias("lo"), "hi")).distinct())
         found = following.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("h")).first()
-        scratch.drop(stars)
+        for old in (stars, least, large, lowest):
+            scratch.drop(old)
         stars = following
         if state == tuple(found):
             return stars.select(F.col("hi").alias("node"), F.col("lo").alias("component"))

@@ -199,8 +199,10 @@ def find_links(sets: DataFrame, scratch: Scratch, *, percent: int = PERCENT, str
     """Links (a, b) whose components are those of all linked pairs of ``sets``."""
     sharing = scratch.write(sets.where("shared IS NOT NULL AND id IS NOT NULL").select("id", "n", "prefix", "shared"))
     prefixes = scratch.write(sharing.select("id", "prefix", "shared").mapInArrow(_prefixes, "id long, token long"))
+    # Aggregates are written out before they join what they were made from: a join need not keep
+    # their partitioning then, and a shingle or pivot of very many documents can be split.
     blocks = prefixes.groupBy("token").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "pivot")
-    regions = prefixes.join(blocks, "token").where("id <> pivot").select("pivot", "id").distinct()
+    regions = prefixes.join(scratch.write(blocks), "token").where("id <> pivot").select("pivot", "id").distinct()
     mine = regions.join(sharing.select("id", "n", "shared"), "id")
     pivots = sharing.select(F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("shared").alias("pivot_shared"))
     pairs = mine.join(pivots, "pivot").select("pivot", "id", "n", "shared", "pivot_n", "pivot_shared")
@@ -210,10 +212,12 @@ def find_links(sets: DataFrame, scratch: Scratch, *, percent: int = PERCENT, str
     outside = measured.groupBy("pivot").agg(F.min(F.when(~F.col("ball"), F.col("d"))).alias("nearest"), F.count_if(~F.col("ball")).alias("outside"), F.count_if("ball").alias("inside"))
     # A lone outsider of an empty ball has nobody left to link with.
     open_ = outside.where("outside > 1 OR outside = 1 AND inside > 0").select("pivot", "nearest")
+    open_ = scratch.write(open_)
     rest = measured.join(open_, "pivot").where(~F.col("ball") | (F.col("d") >= F.col("nearest") - far - 1e-9)).select("pivot", "id", "d", "ball")
     rest = scratch.write(rest)
     counts = rest.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("ball")).alias("o"))
     counts = counts.where("m > 1 AND o > 0").select("pivot", F.ceil(F.col("m") / strip).cast("int").alias("strips"))
+    counts = scratch.write(counts)
     # Strips: quantiles of the distance, found from its histogram in thousandths, then split by hash.
     small = counts.where("strips = 1").select("pivot")
     task = rest.join(small, "pivot").select("pivot", F.lit(0).alias("s"), F.lit(0).alias("t"), "id", "ball")
@@ -263,7 +267,8 @@ def keep_one(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) ->
     first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("__first")).withColumnRenamed("doc_id", "__id")
     h1, h2 = wide_hash(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.withColumn("__text", F.struct(h1.alias("h1"), h2.alias("h2")))
-    own = rows.where(F.col("doc_id").isNotNull()).join(first, (rows["doc_id"] == first["__id"]) & (rows["__text"] == first["__first"]), "left_semi")
+    # One exchange by doc_id serves the join and the window.
+    own = rows.where(F.col("doc_id").isNotNull()).join(first, rows["doc_id"] == first["__id"]).where(F.col("__text") == F.col("__first"))
     once = own.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("__text"))).where("__k = 1")
     names = [F.col(f"`{c}`") for c in docs.columns]
     return once.select(*names).union(rows.where(F.col("doc_id").isNull()).select(*names))
