@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweir.llm.common import table
+from logweir.llm.common import least_hashes, table
 
 #: Labelled rows of each class that a fit may use, and the longest n-gram in characters.
 SAMPLE, ORDER = 3000, 6
@@ -189,7 +189,7 @@ class Scorer:
 def _sample(labels: DataFrame, size: int) -> DataFrame:
     one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("__y"))
     one = one.withColumns({"__h": F.xxhash64("doc_id"), "__y": (F.col("__y") > 0).cast("int")})
-    parts = [one.where(F.col("__y") == y).orderBy("__h", "doc_id").limit(size) for y in (0, 1)]
+    parts = [least_hashes(one.where(F.col("__y") == y), "__h", size) for y in (0, 1)]
     return parts[0].union(parts[1]).select("doc_id", "__y", (F.pmod("__h", F.lit(2))).cast("int").alias("__half"))
 
 
