@@ -45,6 +45,7 @@ SIDE_WORDS = set(
     "alert warning newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended recommendations trending popular comment comments reply replies respond discussion disqus "
     "widget toolbar pagination pager copyright legal disclaimer skip tags form search".split()
 )
+LAYOUT = {"no", "has", "with", "without"}
 BODY_WORDS = set("article content entry story main body post text".split())
 
 #: The classifier: weights of a block's features toward content, set by hand, and edge strengths.
@@ -64,7 +65,11 @@ class Element:
                 k = k.lower()
                 v = v.strip("\"'").lower()
                 if k in ("class", "id"):
-                    names.update(_WORD.findall(v))
+                    for token in v.split():
+                        # "no-sidebar", "has-menu" and the like speak of a layout, not of the element.
+                        parts = _WORD.findall(token)
+                        if parts and parts[0] not in LAYOUT:
+                            names.update(parts)
                 elif k == "role":
                     role = v
                 elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and "display:none" in v.replace(" ", ""):
@@ -73,7 +78,7 @@ class Element:
         word = bool(names & SIDE_WORDS)
         self.article = parent is not None and parent.article or tag in ("article", "main") or role in ("main", "article")
         self.side = parent is not None and parent.side or tag in SIDE or role in SIDE_ROLES
-        self.header = parent is not None and parent.header or tag == "header" and not self.article
+        self.header = parent is not None and parent.header or (tag == "header" or "header" in names and not body) and not self.article
         self.side_word = parent is not None and parent.side_word or word and tag not in ("body", "html", "main")
         self.body_word = parent is not None and parent.body_word or bool(body)
 

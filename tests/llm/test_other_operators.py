@@ -172,6 +172,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><
 def test_html():
     assert html_extract.extract(PAGE) == "Headline one First bold paraégraph. More Second: a<b. Item one Item two Last."
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<nav>x</nav>") == ""
+    layout = '<body class="has-sidebar"><div class="header">Site name here</div><div id="main-content" class="no-sidebar"><p>A text that stays.</p></div><div class="sidebar">Popular things.</div></body>'
+    assert html_extract.extract(layout) == "A text that stays."
     assert html_extract.extract("plain text &amp; more") == "plain text & more"
     assert html_extract.extract("<article><p>open <b>never closed") == "open never closed"
     assert html_extract.extract("<div>" * 3000 + "<p>Deep down, there is a text.") == "Deep down, there is a text."
