@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm.common import Scratch, table
+from logweir.llm.common import Scratch, least_hashes, table
 from logweir.llm.components import components
 
 COSINE, INTERVAL, LEAF, SAMPLE, DIRECTIONS = 0.93, 1024, 128, 4096, 6
@@ -50,7 +50,7 @@ def _unit(blob: bytes, d: int) -> np.ndarray:
 
 def directions(points: DataFrame, size: int, count: int) -> dict[int, np.ndarray]:
     """Leading principal directions of a bounded sample, for each dimension met in it."""
-    rows = points.select("v", F.xxhash64("v").alias("__h")).orderBy("__h").limit(size).select("v").collect()
+    rows = least_hashes(points.select("v", F.xxhash64("v").alias("__h")), "__h", size).select("v").collect()
     by: dict[int, list] = {}
     for (v,) in rows:
         by.setdefault(len(v), []).append(v)
@@ -217,7 +217,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, interval: int =
     stars = components(found.where("b IS NOT NULL").select("a", "b"), scratch)
     node = points.select("g1", "g2", "id", "least", "weight").join(counts, F.col("id") == F.col("a"), "left").join(stars, F.col("id") == F.col("node"), "left")
     node = scratch.write(node.select("g1", "g2", F.coalesce("component", "id").alias("node"), "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
-    least = node.groupBy("node").agg(F.min("least").alias("component_id"))
+    least = scratch.write(node.groupBy("node").agg(F.min("least").alias("component_id")))
     named = node.join(least, "node").select("g1", "g2", "n_links", "component_id")
     linked = good.select("vec_id", "g1", "g2").join(named, ["g1", "g2"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(F.col("label").isNull() | ~F.coalesce(usable(F.col("v")), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
