@@ -208,6 +208,8 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
         F.when(whole, one(F.lit(0))).otherwise(F.col("span_starts")).alias("span_starts"),
         F.when(whole, one(F.col("n_bytes"))).otherwise(F.col("span_ends")).alias("span_ends"),
     )
+    # Written out, so that the join may split a text that very many rows share.
+    group = scratch.write(group)
     return chunks.hashed.select("doc_id", "h1", "h2").join(group, ["h1", "h2"]).drop("h1", "h2")
 
 
