@@ -3,7 +3,8 @@
 Model. Multinomial logistic regression over word unigrams and bigrams with a class for each licence
 family and one for everything else. It is trained here, on the driver, from notices of each family
 (varied by dropping and adding words) against general sentences and at most ``SAMPLE`` paragraphs of
-the documents. Its temperature is fitted on variants kept out of training, which calibrates the
+the documents, drawn from all their lines. Which words of notices are common, and so speak for
+nothing, is counted over every paragraph of every document that holds no licence phrase. Its temperature is fitted on variants kept out of training, which calibrates the
 unknown class: a paragraph is a candidate where the licence classes together have probability 0.5
 or more. Weights are then pruned to the ``FEATURES`` strongest n-grams, a bounded table.
 
@@ -26,12 +27,13 @@ from __future__ import annotations
 import json
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm.common import least_hashes, table
+from logweir.llm.common import ascii_lower, least_hashes, table
 
 SAMPLE, FEATURES, COVER, THRESHOLD = 1500, 600, 0.75, 0.5
 #: Share of background paragraphs from which on a word is common.
@@ -132,6 +134,7 @@ GENERAL = [
     "Creative people share an attribution to common sources.",
 ]
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+PHRASE = "(?<![a-z0-9])(?:" + "|".join(re.escape(k) for keys in KEYS.values() for k in keys) + ")"
 
 
 def tokens(text: str) -> list[str]:
@@ -160,8 +163,15 @@ class Model:
         return e / e.sum()
 
 
-def train(paragraphs: list[str], *, seed: int = 7, features: int = FEATURES) -> Model:
-    """Fits on varied notices against general and sampled paragraphs."""
+def holds_phrase(words: list[str]) -> bool:
+    """Whether words hold a key phrase, at the start of a word."""
+    return re.search(PHRASE, " ".join(words)) is not None
+
+
+def train(paragraphs: list[str], spread: tuple[dict[str, int], int] | None = None, *, seed: int = 7, features: int = FEATURES) -> Model:
+    """Fits on varied notices against general and sampled paragraphs.
+
+    spread: what ``word_spread`` counted over the corpus; without it, the paragraphs are counted."""
     rng, rows, labels = random.Random(seed), [], []
     background = [tokens(p)[:60] for p in [*GENERAL * 8, *paragraphs]]
     background = [b for b in background if b and not any(k in " ".join(b) for keys in KEYS.values() for k in keys)]
@@ -177,11 +187,11 @@ def train(paragraphs: list[str], *, seed: int = 7, features: int = FEATURES) ->
     labels += [len(NOTICES)] * len(background)
     # Only n-grams of notices can speak for a licence; the bias speaks for everything else. Those
     # made of words that are common anywhere speak for nothing.
-    spread: dict[str, int] = {}
-    for p in paragraphs:
-        for word in set(tokens(p)):
-            spread[word] = spread.get(word, 0) + 1
-    rare = lambda word: not word.isdigit() and spread.get(word, 0) <= COMMON * len(paragraphs)
+    if spread is None:
+        plain = [w for w in map(tokens, paragraphs) if not holds_phrase(w)]
+        spread = Counter(word for w in plain for word in set(w)), len(plain)
+    held_by, counted = spread
+    rare = lambda word: not word.isdigit() and held_by.get(word, 0) <= COMMON * counted
     vocabulary = sorted({g for notices in NOTICES.values() for notice in notices for g in grams(tokens(notice)) if any(map(rare, g.split()))})
     index = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(vocabulary) + 1), np.float32)
@@ -209,7 +219,7 @@ def train(paragraphs: list[str], *, seed: int = 7, features: int = FEATURES) ->
     best = min(((t, b) for t in (0.5, 0.75, 1.0, 1.5, 2.0) for b in (0.0, 1.0, 2.0, 3.0)), key=lambda tb: _loss(x[held] @ w, y[held], *tb))
     w = w * best[0]
     w[-1, -1] += best[1]
-    cues = {min(vocabulary[i].split(), key=lambda word: (spread.get(word, 0), word)) for i in strong if w[i, :-1].max() > w[i, -1]}
+    cues = {min(vocabulary[i].split(), key=lambda word: (held_by.get(word, 0), word)) for i in strong if w[i, :-1].max() > w[i, -1]}
     return Model({vocabulary[i]: [round(float(v), 4) for v in w[i]] for i in strong}, [round(float(v), 4) for v in w[-1]], sorted(cues))
 
 
@@ -261,10 +271,29 @@ def candidates(text: Column, model: Model) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda p: p.rlike(cue))
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    """Every paragraph of every row, with its place; blank ones left out."""
+    rows = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "p"))
+    return rows.where(F.length(F.btrim("p")) > 0)
+
+
+def word_spread(docs: DataFrame) -> tuple[dict[str, int], int]:
+    """In how many paragraphs each word of the notices is, and the number of paragraphs; those that
+    hold a licence phrase count in neither."""
+    own = sorted({w for notices in NOTICES.values() for notice in notices for w in tokens(notice)})
+    rows = _lines(docs).select(F.regexp_extract_all(ascii_lower(F.col("p")), F.lit(f"({WORD})"), 1).alias("w"))
+    # The empty word stands for the paragraph. An outer explode infers no filter, which would be
+    # pushed down and extract the words twice.
+    held = F.when(~F.array_join("w", " ").rlike(PHRASE), F.concat(F.array_intersect("w", F.array(*map(F.lit, own))), F.array(F.lit(""))))
+    counts = rows.select(F.explode_outer(held).alias("word")).groupBy("word").count().where("word IS NOT NULL")
+    found = {r["word"]: r["count"] for r in counts.collect()}
+    return found, found.pop("", 0)
+
+
 def sample_paragraphs(docs: DataFrame, size: int = SAMPLE) -> list[str]:
-    """A bounded sample: a paragraph each of the documents with the least hashes."""
-    rows = docs.where("length(text) > 0").select(F.xxhash64("doc_id", "text").alias("h"), F.substring_index("text", "\n", 1).alias("p"))
-    return [r["p"] for r in least_hashes(rows.withColumn("p", F.substring("p", 1, 600)), "h", size).collect()]
+    """A bounded sample of all paragraphs, those with the least hashes; training reads 60 words of each."""
+    rows = _lines(docs).select(F.xxhash64("doc_id", "pos", "p").alias("h"), F.substring("p", 1, 600).alias("p"))
+    return [r["p"] for r in least_hashes(rows, "h", size).collect()]
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
@@ -293,4 +322,4 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan(docs, train(sample_paragraphs(docs)))
+    return scan(docs, train(sample_paragraphs(docs), word_spread(docs)))

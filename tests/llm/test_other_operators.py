@@ -289,6 +289,37 @@ def test_licence_query(documents, pairs, folder):
     assert Counter(r["doc_id"] for r in got.collect()) == Counter(i for i, _ in pairs)
 
 
+@pytest.fixture(scope="module")
+def notices(spark, tmp_path_factory):
+    """1 document in 40 opens with a licence line; "conditions" is common, but in no first line."""
+    path, rng = str(tmp_path_factory.mktemp("notices")), np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        body = [" ".join("".join(rng.choice(list("abcdeht"), 4)) for _ in range(12)) for _ in range(3)]
+        body[1:] = [f"{b} conditions" for b in body[1:]]
+        rows.append((i, "\n".join((["Released under the MIT License."] if i % 40 == 0 else []) + body)))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def test_licence_lines_that_open_many_documents(spark, notices):
+    found = {r["doc_id"]: r["families"] for r in licenses.op10(spark, notices).collect()}
+    assert {i for i, f in found.items() if f} == set(range(0, 400, 40))
+    assert {found[i] for i in range(0, 400, 40)} == {"mit"}
+
+
+def test_licence_word_spread(spark, notices):
+    docs = spark.read.parquet(f"{notices}/documents.parquet")
+    held, counted = licenses.word_spread(docs)
+    bags = [set(licenses.tokens(p)) for r in docs.collect() for p in r["text"].split("\n") if "MIT License" not in p]
+    own = {w for ns in licenses.NOTICES.values() for n in ns for w in licenses.tokens(n)}
+    assert counted == len(bags) == 1200
+    assert held == Counter(w for bag in bags for w in bag & own)
+    assert held["conditions"] == 800
+    assert licenses.word_spread(docs.limit(0)) == ({}, 0)
+    assert any("conditions" in p for p in licenses.sample_paragraphs(docs, 50))
+
+
 def test_pipeline(documents, folder):
     import corpus_pipeline
 
