@@ -6,12 +6,14 @@ backoff model, built from continuation counts of both classes together, so an ex
 neither class has seen often is judged alike by both and its ratio stays near nought. A word's
 score is the sum of its log ratios. A text is summed up by its highest and second highest scoring
 words (over tokens, and over distinct words) and by its length-normalised ratio; a logistic curve,
-fitted to scores that halves of the sample give each other, turns these into 0..1.
+fitted to scores that halves of the labelled rows give each other, turns these into 0..1.
 
-Fitting uses a bounded sample of labelled rows: the ``SAMPLE`` smallest hashes of doc_id in each
-class among rows whose crc32(doc_id) mod 3 is not 1. Its word counts are summed by Spark before the
-driver sees them; the tables they give are as bounded and are broadcast. Scoring reads every whole
-text where it lies, in Arrow batches, without a shuffle.
+Fitting counts words and n-grams of all labelled rows whose crc32(doc_id) mod 3 is not 1. Spark sums
+them; the driver sees a number and a count for each distinct n-gram of a class, which grow with what
+the corpus holds, and the tables they give are broadcast. Only the logistic curve uses a bounded
+sample: the ``SAMPLE`` smallest hashes of doc_id in each class of those rows. Texts that are not held
+out are shuffled once, to meet their labels in a merge join. Scoring reads every whole text where it
+lies, in Arrow batches, without a shuffle.
 
 Edge cases. A null or blank text scores by the curve at zero evidence. A doc_id labelled twice is
 toxic if any row says so. Null labels and null doc_ids are not learnt from; null doc_ids are scored
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 
 from logweir.llm.common import least_hashes, table
 
-#: Labelled rows of each class that a fit may use, and the longest n-gram in characters.
+#: Labelled rows of each class that the curve is fitted to, and the longest n-gram in characters.
 SAMPLE, ORDER = 3000, 6
 THRESHOLD = 0.7
 CACHE_WORDS = 400_000
@@ -98,7 +100,11 @@ class RatioModel:
         vocabulary = sorted(bags[0].keys() | bags[1].keys())
         code, owner = _codes(vocabulary, order)
         grams, at = np.unique(code, return_inverse=True)
-        counts = [np.bincount(at, np.fromiter((bag.get(w, 0) for w in vocabulary), float, len(vocabulary))[owner], len(grams)) for bag in bags]
+        return cls.of_counts(grams, [np.bincount(at, np.fromiter((bag.get(w, 0) for w in vocabulary), float, len(vocabulary))[owner], len(grams)) for bag in bags], order)
+
+    @classmethod
+    def of_counts(cls, grams: np.ndarray, counts: list[np.ndarray], order: int = ORDER) -> "RatioModel":
+        """grams: distinct codes in rising order; counts: of each in ordinary and in toxic texts."""
         ones, twos = (sum(int((c == k).sum()) for c in counts) for k in (1, 2))
         discount = ones / (ones + 2 * twos) if ones and twos else 0.75
         # Shared backoff: a shorter n-gram counts its distinct left extensions in either class.
@@ -186,42 +192,82 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _sample(labels: DataFrame, size: int) -> DataFrame:
+def _labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, __y, __h, __half) for each labelled doc_id that is not held out."""
     one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("__y"))
     one = one.withColumns({"__h": F.xxhash64("doc_id"), "__y": (F.col("__y") > 0).cast("int")})
-    parts = [least_hashes(one.where(F.col("__y") == y), "__h", size) for y in (0, 1)]
-    return parts[0].union(parts[1]).select("doc_id", "__y", (F.pmod("__h", F.lit(2))).cast("int").alias("__half"))
+    return one.withColumn("__half", F.pmod("__h", F.lit(2)).cast("int"))
+
+
+def _sample(labelled: DataFrame, size: int) -> DataFrame:
+    parts = [least_hashes(labelled.where(F.col("__y") == y), "__h", size) for y in (0, 1)]
+    return parts[0].union(parts[1]).select("doc_id", "__y", "__half")
+
+
+def _gram_counts(rows: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of rows (text, __y, __half) in rising order, and counts by half, class, n-gram."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags: dict[tuple[int, int], Counter] = defaultdict(Counter)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (y, half), bag in bags.items():
+                kind = pa.array(np.full(len(bag), 2 * y + half, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(bag.keys(), pa.string()), kind, pa.array(bag.values(), pa.int64())], names=["w", "kind", "n"])
+            bags.clear()
+
+        for batch in batches:
+            for text, y, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                bags[y, half].update(words(text))
+            if sum(map(len, bags.values())) > CACHE_WORDS:
+                yield from flush()
+        yield from flush()
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ws, kinds, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            code, owner = _codes(ws, order)
+            keys, at = np.unique((code.astype(np.int64) << 2) | kinds[owner], return_inverse=True)
+            sums = np.zeros(len(keys), np.int64)
+            np.add.at(sums, at, n[owner])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["key", "n"])
+
+    bags = rows.mapInArrow(count, "w string, kind int, n long").groupBy("w", "kind").agg(F.sum("n").alias("n"))
+    # One number for an n-gram and its kind.
+    found = bags.mapInArrow(cut, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = (c.to_numpy() for c in found.columns)
+    grams, at = np.unique((keys >> 2).astype(np.uint64), return_inverse=True)
+    counts = np.zeros((2, 2, len(grams)))
+    counts[keys & 1, (keys >> 1) & 1, at] = n
+    return grams, counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, size: int = SAMPLE, order: int = ORDER) -> Scorer:
-    """Fits on at most ``size`` labelled rows of each class."""
-    spark = docs.sparkSession
+    """Counts all labelled rows, and fits the curve to at most ``size`` of each class."""
+    spark, labelled = docs.sparkSession, _labelled(labels)
     # At most 2 * size rows of two integers, so the driver may hold and send them.
-    chosen = {r["doc_id"]: (r["__y"], r["__half"]) for r in _sample(labels, size).collect()}
+    chosen = {r["doc_id"]: (r["__y"], r["__half"]) for r in _sample(labelled, size).collect()}
     if len({y for y, _ in chosen.values()}) < 2:
         return Scorer(None, None)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("__y", T.IntegerType()), T.StructField("__half", T.IntegerType())])
     picked = F.broadcast(spark.createDataFrame([(int(k), *v) for k, v in chosen.items()], schema))
     rows = docs.select("doc_id", "text").join(picked, "doc_id").select("text", "__y", "__half")
+    # By merging at every size: labels grow with the corpus, so they are no table to broadcast.
+    every = docs.select("doc_id", "text").join(labelled.select("doc_id", "__y", "__half").hint("merge"), "doc_id").select("text", "__y", "__half")
+    grams, counts = _gram_counts(every, order)
+    if not len(grams):
+        return Scorer(None, None)
+    both = counts.sum(axis=0)
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bags: dict[tuple[str, int, int], int] = defaultdict(int)
-        for batch in batches:
-            for text, y, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for w in words(text):
-                    bags[w, y, half] += 1
-        ws, ys, hs = zip(*bags, strict=True) if bags else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array(ys, pa.int32()), pa.array(hs, pa.int32()), pa.array(bags.values(), pa.int64())], names=["w", "y", "half", "n"])
-
-    bags = rows.mapInArrow(count, "w string, y int, half int, n long").groupBy("w", "y", "half").agg(F.sum("n").alias("n")).toArrow()
-    by = [[defaultdict(float), defaultdict(float)] for _ in range(3)]
-    for w, y, half, n in zip(*(c.to_pylist() for c in bags.columns), strict=True):
-        by[half][y][w] += n
-        by[2][y][w] += n
-    if not all(bag for half in by for bag in half):
-        by[0] = by[1] = by[2]
+    def model(own: np.ndarray) -> RatioModel:
+        met = own.any(axis=0)
+        return RatioModel.of_counts(grams[met], [c[met] for c in own], order)
+
+    split = counts.any(axis=2).all()
     # Each half is judged by the model of the other, as unseen texts will be.
-    halves = spark.sparkContext.broadcast([RatioModel.fit(tuple(by[1 - k]), order) for k in range(2)])
+    halves = spark.sparkContext.broadcast([model(counts[1 - k] if split else both) for k in range(2)])
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, size: int = SAMPLE, order: int =
     data = np.column_stack([c.to_numpy() for c in table_.columns]) if table_.num_rows else np.zeros((0, 6))
     if len(set(data[:, 0])) < 2:
         return Scorer(None, None)
-    return Scorer(RatioModel.fit(tuple(by[2]), order), logistic(data[:, 1:], data[:, 0]))
+    return Scorer(model(both), logistic(data[:, 1:], data[:, 0]))
 
 
 def scored(docs: DataFrame, scorer: Scorer, *, column: str = "score") -> DataFrame:

@@ -142,6 +142,18 @@ def test_toxicity_held_out(spark, insults):
     assert hit >= 0.97 * len(held) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
 
+def test_toxicity_counts_all_labelled_rows(spark, insults):
+    """The bound is the curve's only: n-grams are those of every labelled row that is not held out."""
+    docs, labels = (spark.read.parquet(f"{insults}/{name}.parquet") for name in ("documents", "labels"))
+    bags = [Counter(), Counter()]
+    for r in docs.collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            bags[r["doc_id"] % 6 == 0].update(toxicity.words(r["text"]))
+    want, got = toxicity.RatioModel.fit(tuple(bags)), toxicity.fit(docs, labels, size=30).model
+    assert np.array_equal(got.grams, want.grams) and np.allclose(got.ratio, want.ratio)
+    assert np.array_equal(got.contexts, want.contexts) and np.allclose(got.weight, want.weight)
+
+
 def test_toxicity_edges(documents, pairs, folder):
     spark = documents.sparkSession
     rows = toxicity.op9(spark, folder).collect()
