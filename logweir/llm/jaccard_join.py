@@ -25,8 +25,8 @@ Jaccard distance, 1 - J, is a metric; documents link at distance 0.25 or less.
 Components come from the links by distributed star rounds.
 
 Edge cases. Null, empty and blank texts have an empty set and link with nothing. Texts of fewer
-words than the width have one shingle. Rows that repeat a doc_id are one node; each row is
-returned. A null doc_id links with nothing and has a null component. Extra columns are not read by
+words than the width have one shingle. Rows that repeat a doc_id are one node with the links of all
+its texts; each row is returned. A null doc_id links with nothing and has a null component. Extra columns are not read by
 the join. An empty table gives an empty result.
 """
 
@@ -197,7 +197,10 @@ def _strips(percent: int, size: int):
 
 def find_links(sets: DataFrame, scratch: Scratch, *, percent: int = PERCENT, strip: int = STRIP) -> DataFrame:
     """Links (a, b) whose components are those of all linked pairs of ``sets``."""
-    sharing = scratch.write(sets.where("shared IS NOT NULL AND id IS NOT NULL").select("id", "n", "prefix", "shared"))
+    # Sets meet under numbers of their own, since different texts may have one doc_id.
+    numbered = sets.where("shared IS NOT NULL AND id IS NOT NULL").select(F.monotonically_increasing_id().alias("own"), "id", "n", "prefix", "shared")
+    numbered = scratch.write(numbered)
+    sharing = numbered.select(F.col("own").alias("id"), "n", "prefix", "shared")
     prefixes = scratch.write(sharing.select("id", "prefix", "shared").mapInArrow(_prefixes, "id long, token long"))
     # Aggregates are written out before they join what they were made from: a join need not keep
     # their partitioning then, and a shingle or pivot of very many documents can be split.
@@ -233,7 +236,11 @@ def find_links(sets: DataFrame, scratch: Scratch, *, percent: int = PERCENT, str
     task = task.unionByName(as_first).unionByName(as_second)
     loaded = task.join(sharing.select("id", "n", "shared"), "id")
     more = loaded.groupBy("pivot", "s", "t").applyInArrow(_strips(percent, strip), "a long, b long")
-    return links.union(more)
+    named = links.union(more)
+    for end in ("a", "b"):
+        name = numbered.select(F.col("own").alias(end), F.col("id").alias("__id"))
+        named = named.join(name, end).drop(end).withColumnRenamed("__id", end)
+    return named.select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -144,6 +144,16 @@ def test_strips_split_large_regions(documents, spark):
     assert {i: got.get(i, i) for i, _ in texts} == brute_components(texts)
 
 
+def test_texts_of_one_id_keep_their_links(spark):
+    """Two texts of doc_id 5 meet in the region of pivot 1; each is near one other document."""
+    sets = {(1, 0): range(300, 339), (5, 1): range(100, 139), (5, 2): range(200, 239), (7, 3): [*range(100, 138), 900], (8, 4): [*range(200, 238), 901]}
+    rows = [(h, h, i, 40, 1, np.array([1, *own], np.uint64).tobytes()) for (i, h), own in sets.items()]
+    scratch = Scratch(spark, "one-id")
+    frame = scratch.write(spark.createDataFrame([(a, b, i, n, p, bytearray(s)) for a, b, i, n, p, s in rows], jaccard_join._SETS))
+    got = components(jaccard_join.find_links(frame, scratch), scratch)
+    assert {r["node"]: r["component"] for r in got.collect()} == {7: 5, 8: 5}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 101), (103, 200)]
     random.Random(2).shuffle(chain)
