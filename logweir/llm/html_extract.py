@@ -33,10 +33,16 @@ _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"[a-z]+")
 
 #: Elements whose text is never shown, or is no running text.
-RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "math", "object", "noembed", "noframes", "canvas", "audio", "video", "xmp"}
+RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "noembed", "noframes", "xmp"}
+#: Elements with text that is shown only where they fail; one without an end tag of its own hides nothing.
+FALLBACK = {"object", "canvas", "audio", "video"}
+#: Drawings and notes on formulas, which end at their end tag or at the first of these HTML tags.
+FOREIGN = {"svg", "annotation", "annotation-xml"}
+_BREAKOUT = r"<(?:b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|listing|menu|meta|nobr|ol|p|pre|ruby|s|small|span|strong|strike|sub|sup|table|tt|u|ul|var)(?=[\s/>])"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "output", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "center", "nobr", "picture", "map", "bdo"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"}}
+INLINE |= {"math", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd", "semantics"}
 STOPS = {"ul", "ol", "dl", "table", "select", "body", "html"}
 SIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "select", "button", "fieldset", "head"}
 SIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "note", "status"}
@@ -146,6 +152,18 @@ def blocks(html: str) -> list[Block]:
                 at = close.end() if close else size
             block.parts.append(" ")
             continue
+        if tag in FOREIGN:
+            if not m[3].endswith("/"):
+                end = re.compile(rf"</{tag}\b[^>]*>|(?={_BREAKOUT})", re.I).search(html, at)
+                at = end.end() if end else size
+            block.parts.append(" ")
+            continue
+        if tag in FALLBACK:
+            if not m[3].endswith("/"):
+                end = re.compile(rf"</{tag}\b[^>]*>|<{tag}\b", re.I).search(html, at)
+                at = end.end() if end and end[0][1] == "/" else at
+            block.parts.append(" ")
+            continue
         if tag in INLINE:
             links += tag == "a"
             continue

@@ -191,6 +191,19 @@ def test_html():
     assert html_extract.extract("<div>" * 3000 + "<p>Deep down, there is a text.") == "Deep down, there is a text."
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "canvas", "audio", "video"])
+def test_html_open_element_keeps_the_rest(tag):
+    for rest in ("", f"<{tag}>x</{tag}>"):
+        got = html_extract.extract(f"<article><p>One text.</p><{tag} width=1><p>The rest of it.</p>{rest}<p>The end.</p></article>")
+        assert got.replace(" x", "") == "One text. The rest of it. The end."
+
+
+def test_html_hidden_and_math_text():
+    assert html_extract.extract("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p></article>") == "Let x=2 be."
+    assert html_extract.extract("<article><p>A <svg><text>icon</text></svg>text <object>none</object>stays.</p></article>") == "A text stays."
+    assert html_extract.extract("<article><p>A text.</p><script>x <p>never</p></article>") == "A text."
+
+
 def test_html_query(spark, tmp_path):
     rows = [(1, "u", PAGE), (None, None, None), (2, "v", ""), (2, "v", "")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
