@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
         sets = shingle_sets(part.texts, width)
         return np.concatenate(sets) if sets else np.zeros(0, np.uint64)
 
-    chunks.count_keys(1, keys, exact=False)
+    chunks.count_keys(1, keys)
     sets = scratch.write(chunks.each(lambda part: _sets(part, width, percent), _SETS))
     found = components(find_links(sets, scratch, percent=percent).union(_same_id(chunks)), scratch)
     group = sets.select("h1", "h2", "id", "n").join(found, sets["id"] == found["node"], "left")

@@ -8,6 +8,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_TOO = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 #: Bytes that are hashed at once.
 BATCH = 1 << 18
@@ -31,11 +32,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash; element i covers the first i bytes."""
+def prefix_hash(data: np.ndarray, second: bool = False) -> np.ndarray:
+    """Running polynomial hash, or a second independent one; element i covers the first i bytes."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:-1], out=out[1:])
+    np.cumsum((_BYTE_TOO if second else _BYTE)[data] * up[:-1], out=out[1:])
     return out
 
 
