@@ -16,8 +16,10 @@ def is_int(text: Column) -> Column:
 
 def to_int(text: Column) -> Column:
     """The integer; 0 where there is none; the nearest end of the range where it does not fit."""
-    edge = F.when(text.startswith("-"), F.lit(MIN)).otherwise(F.lit(MAX))
-    return F.when(F.coalesce(text.rlike(_INTEGER), F.lit(False)), F.coalesce(text.try_cast("bigint"), edge)).otherwise(F.lit(0).cast("bigint"))
+    # A number that does not fit is one of sign and digits only; a cast alone would also take blanks.
+    edge = F.when(F.coalesce(~text.rlike(_INTEGER), F.lit(True)), 0).when(text.startswith("-"), F.lit(MIN)).otherwise(F.lit(MAX))
+    plain = F.when(~text.rlike("[^0-9+-]"), text.try_cast("bigint"))
+    return F.coalesce(plain, edge, F.lit(0)).cast("bigint")
 
 
 def from_int(number: Column) -> Column:
@@ -30,9 +32,6 @@ FNV_BASIS, FNV_PRIME = 2166136261, 16777619
 
 def fnv1_32(text: Column) -> Column:
     """FNV-1 (multiply, then xor) of the UTF-8 bytes. Products stay below 2**57."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-    count = F.octet_length(text)
-    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    byte = lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint")
-    step = lambda h, i: (h * F.lit(FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(byte(i))
-    return F.aggregate(places, F.lit(FNV_BASIS).cast("bigint"), step)
+    pairs = F.filter(F.split(F.hex(F.encode(text, "UTF-8")), "(?<=\\G..)"), lambda x: x != "")
+    step = lambda h, x: (h * F.lit(FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(F.conv(x, 16, 10).cast("bigint"))
+    return F.aggregate(pairs, F.lit(FNV_BASIS).cast("bigint"), step)

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import threading
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweir.errors import CursorNotIncreasing, InvalidId
+from logweir.schema import CursorColumns
+from logweir.storage import Versions
+
+#: Seconds after which a waiting set is flushed.
+FLUSH_PERIOD = 5.0
 
 
 def typed(cursor: Column, strings: bool) -> Column:
@@ -64,12 +73,16 @@ class MemoryCursors:
 
 
 class BufferedCursors:
-    """A store that only goes forward; unless ``buffered`` is off, sets wait for a flush."""
+    """A store that only goes forward; unless ``buffered`` is off, sets wait for a flush.
+
+    With a ``period`` in seconds, a set that still waits after it is flushed in the background. A
+    failure there is raised by the next set or flush. ``on_set`` is told of each stored cursor."""
 
-    def __init__(self, *, strings: bool = False, buffered: bool = True, on_set=None):
-        self.strings, self.buffered, self.on_set = strings, buffered, on_set
+    def __init__(self, *, strings: bool = False, buffered: bool = True, period: float | None = None, on_set=None):
+        self.strings, self.buffered, self.period, self.on_set = strings, buffered, period, on_set
         self.stored: dict[str, str] = {}
         self.waiting: dict[str, str] = {}
+        self._lock, self._timer, self._failure = threading.RLock(), None, None
 
     def _key(self, cursor: str):
         if self.strings:
@@ -82,22 +95,87 @@ class BufferedCursors:
     def get(self, consumer: str) -> str:
         return self.stored.get(consumer, "")
 
+    def _store(self, consumer: str, cursor: str) -> None:
+        old = self.stored.get(consumer)
+        self._check(consumer, old, cursor)
+        self.stored[consumer] = cursor
+
+    def _check(self, consumer: str, old: str | None, cursor: str) -> None:
+        if old is not None and self._key(cursor) <= self._key(old):
+            raise CursorNotIncreasing(f"{consumer}: {cursor} after {old}")
+
     def set(self, consumer: str, cursor: str) -> None:
         self._key(cursor)
-        self.waiting[consumer] = cursor
+        with self._lock:
+            self._raise()
+            self.waiting[consumer] = cursor
+            if self.buffered and self.period and self._timer is None:
+                self._timer = threading.Timer(self.period, self._on_time)
+                self._timer.daemon = True
+                self._timer.start()
         if not self.buffered:
             self.flush()
 
+    def _raise(self) -> None:
+        failure, self._failure = self._failure, None
+        if failure is not None:
+            raise failure
+
+    def _on_time(self) -> None:
+        try:
+            self.flush()
+        except Exception as e:
+            self._failure = e
+
     def flush(self) -> None:
-        # Detached first: what a failing flush has not written is lost, and is read again.
-        waiting, self.waiting = self.waiting, {}
-        for consumer, cursor in waiting.items():
-            old = self.stored.get(consumer)
-            if old is not None and self._key(cursor) <= self._key(old):
-                raise CursorNotIncreasing(f"{consumer}: {cursor} after {old}")
-            self.stored[consumer] = cursor
-            if self.on_set:
-                self.on_set(consumer)
+        with self._lock:
+            if self._timer is not None:
+                self._timer.cancel()
+                self._timer = None
+            self._raise()
+            # Detached first: what a failing flush has not written is lost, and is read again.
+            waiting, self.waiting = self.waiting, {}
+            for consumer, cursor in waiting.items():
+                self._store(consumer, cursor)
+                if self.on_set:
+                    self.on_set(consumer)
+
+
+class TableCursors(BufferedCursors):
+    """Cursors that outlive the session: a table in a folder on any file system that Spark writes.
+
+    A consumer's cursor is a small record; each set creates its next version and fails if another
+    writer was first with a cursor that is not below. ``table`` shows the store as a table with
+    ``columns``' names."""
+
+    def __init__(self, spark: SparkSession, url: str, *, columns: CursorColumns = CursorColumns(), period: float | None = FLUSH_PERIOD, **options):
+        super().__init__(period=period, **options)
+        self.spark, self.url, self.columns = spark, url, columns
+        self.records = Versions(spark, url)
+
+    def clone(self, **changes) -> "TableCursors":
+        same = {"columns": self.columns, "period": self.period, "strings": self.strings, "buffered": self.buffered, "on_set": self.on_set}
+        return TableCursors(self.spark, changes.pop("url", self.url), **same | changes)
+
+    def get(self, consumer: str) -> str:
+        raw = self.records.last(consumer)[1]
+        return json.loads(raw)["cursor"] if raw else ""
+
+    def _store(self, consumer: str, cursor: str) -> None:
+        while True:
+            number, raw = self.records.last(consumer)
+            self._check(consumer, json.loads(raw)["cursor"] if raw else None, cursor)
+            record = {"consumer": consumer, "cursor": cursor, "updated_at": datetime.now(timezone.utc).isoformat(), "version": number + 1}
+            if self.records.create(consumer, number + 1, json.dumps(record).encode()):
+                return
+
+    def table(self) -> DataFrame:
+        c = self.columns
+        if not self.records.names():
+            return self.spark.createDataFrame([], f"`{c.consumer}` string, `{c.cursor}` string, `{c.updated_at}` timestamp")
+        rows = self.spark.read.schema("consumer string, cursor string, updated_at timestamp, version long").option("recursiveFileLookup", "true").json(self.url)
+        last = rows.where("version IS NOT NULL").groupBy("consumer").agg(F.max_by(F.struct("cursor", "updated_at"), "version").alias("x"))
+        return last.select(F.col("consumer").alias(c.consumer), F.col("x.cursor").alias(c.cursor), F.col("x.updated_at").alias(c.updated_at))
 
 
 class ReadThroughCursors:

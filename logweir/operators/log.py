@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweir.errors import InvalidEvent
-from logweir.operators.ordering import with_position, with_previous
+from logweir.errors import InvalidEvent, NotIncreasing
+from logweir.operators.ordering import with_position
 from logweir.schema import EVENT, EventColumns
 
 #: Events in a page, and what a limit of 0 or less stands for.
@@ -68,12 +70,30 @@ def lagged_prefix(events: DataFrame, now: Column, lag: Column) -> DataFrame:
 
 
 def checked_increasing(events: DataFrame) -> DataFrame:
-    """The events; fails on an id that does not rise above the one before it."""
-    rows = with_previous(events.withColumn("__n", F.monotonically_increasing_id()), "__n", "__p")
-    last = events.withColumn("__p", F.monotonically_increasing_id()).select("__p", F.col("id").alias("__last"))
-    rows = rows.join(last, "__p", "left")
-    bad = F.col("__last").isNotNull() & (F.col("id") <= F.col("__last"))
-    return rows.where(~bad | F.raise_error(F.lit("event ids do not increase")).isNull()).drop("__n", "__p", "__last")
+    """The events as they come; fails on an id that does not rise above the one before it.
+
+    Each partition checks its own order where it lies; what is left is one row a partition, its first
+    and last id, for the steps from one partition to the next."""
+    rows = events.withColumn("__part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("id"))
+            if len(ids):
+                before = pa.concat_arrays([pa.array([last], ids.type), ids[:-1]])
+                if pc.any(pc.less_equal(ids, before)).as_py():
+                    raise NotIncreasing("event ids do not increase")
+                last = ids[-1].as_py()
+            yield batch
+
+    def order(row: Column) -> Column:
+        return F.max(row).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+
+    edges = rows.groupBy("__part").agg(F.min("id").alias("__lo"), F.max("id").alias("__hi"))
+    bad = edges.select((F.col("__lo") <= order(F.col("__hi"))).alias("bad")).agg(F.coalesce(F.bool_or("bad"), F.lit(False)))
+    checked = events.mapInArrow(run, events.schema)
+    return checked.where(~bad.scalar() | F.raise_error(F.lit("event ids do not increase")).isNull())
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,20 +31,17 @@ class Sequence:
     """The same, one step at a time, for a live consumer: ids that are being done, and done."""
 
     def __init__(self):
-        self.doing_: set[int] = set()
-        self.done_: set[int] = set()
+        self.doing_: list[int] = []
+        self.done_: list[int] = []
         self.top = 0
 
     def doing(self, i: int) -> None:
-        self.doing_.add(i)
+        heapq.heappush(self.doing_, i)
 
     def done(self, i: int) -> int:
-        self.done_.add(i)
+        heapq.heappush(self.done_, i)
         # An id that was never outstanding blocks those after it.
-        for k in sorted(self.doing_ | self.done_):
-            if k not in self.done_ or k not in self.doing_:
-                break
-            self.doing_.discard(k)
-            self.done_.discard(k)
-            self.top = max(self.top, k)
+        while self.done_ and self.doing_ and self.done_[0] == self.doing_[0]:
+            heapq.heappop(self.doing_)
+            self.top = max(self.top, heapq.heappop(self.done_))
         return self.top

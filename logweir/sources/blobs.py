@@ -8,13 +8,14 @@ may be given. Blobs are split among tasks by file; a cursor prunes files by name
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.errors import CursorAtEnd, CursorOutOfRange, LogError
+from logweir.errors import CursorAtEnd, CursorOutOfRange, LogError, Stopped
 from logweir.functions import blobs as cursors
 from logweir.options import StreamOptions
 
@@ -32,14 +33,31 @@ def json_values(blob: bytes) -> Iterator[bytes]:
         at = end
 
 
+class MissingBucket(LogError):
+    """A bucket that is not there."""
+
+
+#: Seconds between two listings.
+BACKOFF = 60.0
+
+
 class Bucket:
-    """A folder of blobs, on any file system that Spark reads."""
+    """A folder of blobs, on any file system that Spark reads. After ``close`` nothing is read."""
 
     def __init__(self, url: str, prefix: str = "", decoder: Callable[[bytes], Iterable[bytes]] = json_values):
         self.url, self.prefix, self.decoder = url.rstrip("/"), prefix, decoder
+        self.closed = False
+
+    def close(self) -> None:
+        self.closed = True
 
     def blobs(self, spark: SparkSession) -> DataFrame:
         """(key, at, content); keys are paths below the bucket."""
+        if self.closed:
+            raise Stopped(self.url)
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.url)
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            raise MissingBucket(self.url)
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.url)
         key = F.substring_index(F.col("path"), self.url.split("://")[-1].rstrip("/") + "/", -1)
         return files.select(F.url_decode(key).alias("key"), F.col("modificationTime").alias("at"), "content").where(F.col("key").startswith(self.prefix))
@@ -79,3 +97,30 @@ class Bucket:
             cursors.render(F.col("key"), F.col("offset"), F.col("last")).alias("id"),
             F.lit(0).alias("type"), F.lit("").alias("foreign_id"), F.col("at").alias("timestamp"), F.col("record").alias("metadata"), F.lit(None).cast("binary").alias("trace"),
         )
+
+    def follow(self, spark: SparkSession, consume: Callable[[DataFrame], None], cursors, name: str, *, backoff: float = BACKOFF, sleep: Callable[[float], None] = time.sleep, rounds: int | None = None, metrics=None) -> None:
+        """Hands over what lies behind a consumer's cursor and sets it; then waits and lists again.
+
+        Ends with ``Stopped`` once the bucket is closed."""
+        done = 0
+        while rounds is None or done < rounds:
+            rows = self.stream(spark, cursors.get(name)).persist()
+            try:
+                # In cursor order; the last id is the new cursor.
+                last = rows.agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("n")).first()
+                if last["n"]:
+                    consume(rows)
+                    cursors.set(name, last["id"])
+                    cursors.flush()
+                if metrics:
+                    metrics.add("blobs_listed", name)
+                    metrics.add("decoded_rows", name, last["n"])
+            except Exception:
+                if metrics:
+                    metrics.add("blob_errors", name)
+                raise
+            finally:
+                rows.unpersist()
+            done += 1
+            if rounds is None or done < rounds:
+                sleep(backoff)

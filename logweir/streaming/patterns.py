@@ -1,23 +1,26 @@
 """Ways to consume a live log: own acknowledgement, batches, rows in tasks, shards, awaiting.
 
-Each gives a Consumer or Specs for ``run``. Consumers that set cursors themselves need no checkpoint
-to resume: a run with a fresh one starts at the stored cursor.
+Each gives a Consumer or Specs for ``run``, which starts behind the stored cursor: what a consumer did
+not acknowledge, or held in an open batch, is read again.
 """
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from datetime import timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.errors import BatchState, InvalidBatchConfig
 from logweir.operators import batching, shards
+from logweir.operators.filters import outcome
 from logweir.operators.waiting import awaited
+from logweir.options import StreamOptions
 from logweir.streaming.run import Consumer, CursorStore, Spec
 
 
@@ -31,49 +34,97 @@ def acknowledging(name: str, consume: Callable[[DataFrame, Callable[[int], None]
     return Consumer(name, lambda batch, _: consume(batch, ack), sets_cursor=False, **options)
 
 
+#: Seconds that a batch whose time is over already still waits for more.
+LEAST_WAIT = 0.1
+
+
 class Batcher:
     """Hands over batches of a length, or of a period from their first event, across micro-batches.
 
     What is open between micro-batches is only its first and last id: the events of a batch are read
-    from the log by id range when it closes. The cursor moves with closed batches alone."""
+    from the log by id range when it closes. The cursor moves with closed batches alone. A timer, due a
+    period after the first event, closes a batch that no further event closes; if that fails, so
+    does the next step."""
 
-    def __init__(self, name: str, log: Callable[[], DataFrame], consume: Callable[[DataFrame], None], cursors: CursorStore, *, length: int = 0, period: timedelta = timedelta(0), now: Callable[[], float] = time.time):
+    def __init__(self, name: str, log: Callable[[], DataFrame], consume: Callable[[DataFrame], None], cursors: CursorStore, *, length: int = 0, period: timedelta = timedelta(0), now: Callable[[], float] = time.time, buffered: Callable[[int], None] | None = None):
         if length <= 0 and period <= timedelta(0):
             raise InvalidBatchConfig("a batch needs a length or a period")
         self.name, self.log, self.consume, self.cursors = name, log, consume, cursors
-        self.length, self.period, self.now = length, period // timedelta(microseconds=1), now
+        self.length, self.period, self.now, self.buffered = length, period // timedelta(microseconds=1), now, buffered
+        self.lock, self.timer = threading.RLock(), None
         self.reset()
 
     def reset(self) -> None:
-        self.first: int | None = None
-        self.failed = False
-
-    def step(self, batch: DataFrame, batch_id: int) -> None:
-        if self.failed:
-            raise BatchState(self.name)
-        edge = batch.agg(F.min("id"), F.max("id")).first()
-        if edge[0] is None:
-            return
-        first, last = self.first if self.first is not None else edge[0], edge[1]
-        rows = self.log().where(F.col("id").between(first, last))
-        spans = batching.fold(rows, length=self.length, period_micros=self.period).join(rows.select(F.col("id").alias("first_id"), F.unix_micros("timestamp").alias("at")), "first_id")
-        # One row a batch; a micro-batch's size bounds them.
-        self.first = None
-        for span in sorted(spans.collect(), key=lambda r: r["batch"]):
-            closed = span["last_id"] != last or self.length and span["n"] == self.length or self.period and self.now() * 1e6 >= span["at"] + self.period
-            if not closed:
-                self.first = span["first_id"]
-                break
+        self.stop()
+        with self.lock:
+            self.first: int | None = None
+            self.last: int | None = None
+            self.failed = False
+
+    def stop(self) -> None:
+        with self.lock:
+            if self.timer is not None:
+                self.timer.cancel()
+            self.timer = None
+
+    def _hand_over(self, rows: DataFrame, first: int, last: int) -> None:
+        try:
+            self.consume(rows.where(F.col("id").between(first, last)).orderBy("id"))
+        except Exception:
+            self.failed = True
+            raise
+        self.cursors.set(self.name, str(last))
+
+    def _on_time(self, first: int) -> None:
+        with self.lock:
+            # A batch that closed in the meantime has another timer, or none.
+            if self.failed or self.first != first:
+                return
             try:
-                self.consume(rows.where(F.col("id").between(span["first_id"], span["last_id"])).orderBy("id"))
+                self._hand_over(self.log(), first, self.last)
+                self.cursors.flush()
             except Exception:
                 self.failed = True
-                raise
-            self.cursors.set(self.name, str(span["last_id"]))
-        self.cursors.flush()
+            self.first, self.timer = None, None
+            if self.buffered:
+                self.buffered(0)
+
+    def step(self, batch: DataFrame, batch_id: int) -> None:
+        with self.lock:
+            if self.failed:
+                raise BatchState(self.name)
+            self.stop()
+            edge = batch.agg(F.min("id"), F.max("id")).first()
+            if edge[0] is None:
+                if self.first is not None:
+                    self._wait(self.due)
+                return
+            first, last = self.first if self.first is not None else edge[0], edge[1]
+            rows = self.log().where(F.col("id").between(first, last))
+            spans = batching.fold(rows, length=self.length, period_micros=self.period).join(rows.select(F.col("id").alias("first_id"), F.unix_micros("timestamp").alias("at")), "first_id")
+            # One row a batch; a micro-batch's size bounds them.
+            self.first, held = None, 0
+            for span in sorted(spans.collect(), key=lambda r: r["batch"]):
+                due = span["at"] / 1e6 + self.period / 1e6
+                full = self.length and span["n"] == self.length
+                if span["last_id"] == last and not full:
+                    self.first, self.last, self.due, held = span["first_id"], last, due, span["n"]
+                    break
+                self._hand_over(rows, span["first_id"], span["last_id"])
+            self.cursors.flush()
+            if self.buffered:
+                self.buffered(held)
+            if self.first is not None:
+                self._wait(self.due)
+
+    def _wait(self, due: float) -> None:
+        if self.period:
+            self.timer = threading.Timer(max(LEAST_WAIT, due - self.now()), self._on_time, (self.first,))
+            self.timer.daemon = True
+            self.timer.start()
 
     def consumer(self, **options) -> Consumer:
-        return Consumer(self.name, self.step, sets_cursor=False, reset=self.reset, **options)
+        return Consumer(self.name, self.step, sets_cursor=False, reset=self.reset, stop=self.stop, **options)
 
 
 def in_tasks(batch: DataFrame, handle: Callable[[dict], None], *, retries: int | None = None) -> DataFrame:
@@ -101,10 +152,14 @@ def in_tasks(batch: DataFrame, handle: Callable[[dict], None], *, retries: int |
     return batch.mapInArrow(run, "id long, tries long, error string")
 
 
-def concurrent(name: str, handle: Callable[[dict], None], cursors: CursorStore, **options) -> Consumer:
-    """Events of a micro-batch in any order; the cursor is the last event with no failed one before it."""
+def concurrent(name: str, handle: Callable[[dict], None], cursors: CursorStore, *, max_in_flight: int | None = None, **options) -> Consumer:
+    """Events of a micro-batch in any order; the cursor is the last event with no failed one before it.
+
+    At most ``max_in_flight`` events are handled at a time; by default, one a core."""
 
     def consume(batch: DataFrame, _: int) -> None:
+        if max_in_flight:
+            batch = batch.coalesce(max_in_flight)
         done = in_tasks(batch, handle).persist()
         try:
             bad = done.where("error IS NOT NULL").agg(F.min("id").alias("id"), F.min_by("error", "id").alias("error")).first()
@@ -128,29 +183,55 @@ def dead_letter(name: str, handle: Callable[[dict], None], record: Callable[[Dat
     def consume(batch: DataFrame, _: int) -> None:
         done = in_tasks(batch, handle, retries=retries).persist()
         try:
+            # Every event is handled, whatever the recorder reads.
+            done.count()
             lost = done.where("error IS NOT NULL").select(F.col("id").alias("seq"), F.lit(name).alias("consumer"), F.col("id").alias("event_id"), F.col("error").alias("error_msg"), F.current_timestamp().alias("at"))
             if record:
                 record(lost)
-            else:
-                done.count()
         finally:
             done.unpersist()
 
     return Consumer(name, consume, **options)
 
 
-def parallel_specs(base: Spec, n: int, consumer: Callable[[int, str], Consumer], *, by=shards.BY_ID, formatter: Callable[[str, int, int], str] | None = None) -> list[Spec]:
-    """One spec a shard, each with a cursor of its own, for consumers that run apart."""
-    from logweir.operators.filters import outcome
+@dataclass(frozen=True)
+class ConsumerShard:
+    """One of n consumers side by side: its name, its number from 0, and the events that are its own."""
+
+    name: str
+    number: int
+    total: int
+    by: str | Column = shards.BY_ID
 
+    def event_filter(self) -> Column:
+        return outcome(shards.shard(self.total, self.by) == self.number + 1)
+
+    def wire(self, consumer: Consumer) -> Consumer:
+        """The consumer under the shard's name, for the shard's events."""
+        return replace(consumer, name=self.name, event_filter=self.event_filter())
+
+
+def consumer_shards(base: str, n: int, *, by: str | Column = shards.BY_ID, formatter: Callable[[str, int, int], str] | None = None) -> list[ConsumerShard]:
+    return [ConsumerShard(name, m, n, by) for m, name in enumerate(shards.shard_names(base, n, formatter))]
+
+
+def parallel_specs(base: Spec, n: int, consumer: Callable[[int, str], Consumer], *, by=shards.BY_ID, formatter: Callable[[str, int, int], str] | None = None, options: StreamOptions | None = None, consumer_options: Callable[[int], dict] | None = None) -> list[Spec]:
+    """One spec a shard, each with a cursor of its own, for consumers that run apart.
+
+    ``options`` go to every stream, ``consumer_options`` to the consumer of a shard's number."""
     specs = []
-    for m, name in enumerate(shards.shard_names(base.consumer.name, n, formatter)):
-        own = consumer(m, name)
-        own.name, own.event_filter = name, outcome(shards.shard(n, by) == m + 1)
-        specs.append(replace(base, consumer=own))
+    for own in consumer_shards(base.consumer.name, n, by=by, formatter=formatter):
+        made = own.wire(consumer(own.number, own.name))
+        made = replace(made, **(consumer_options(own.number) if consumer_options else {}))
+        specs.append(replace(base, consumer=made, options=options or base.options))
     return specs
 
 
+def parallel_ack_specs(base: Spec, n: int, consume: Callable[[DataFrame, Callable[[int], None]], None], **options) -> list[Spec]:
+    """The same with consumers that acknowledge by themselves."""
+    return parallel_specs(base, n, lambda _, name: acknowledging(name, consume, base.cursors), **options)
+
+
 def wait_for(log: Callable[[], DataFrame], head: int, foreign_id: str, types: Sequence[int], *, poll: Callable[[], bool] | None = None, period: float = 1.0, timeout: float = 15.0, sleep: Callable[[float], None] = time.sleep):
     """Blocks until an event for an entity comes behind the head, or ``poll`` says that it is done."""
     end = time.monotonic() + timeout

@@ -3,26 +3,36 @@
 A spec names a stream, a cursor store and a consumer. Each micro-batch is handed over as a DataFrame;
 its cursor is set after the consumer returns, so that a failure reads the batch again. Skipped
 events move the cursor as consumed ones do.
+
+The cursor store is all that a run remembers. Each run starts behind the stored cursor with a
+streaming checkpoint of its own, which it removes: a checkpoint may be ahead of a consumer that
+acknowledges by itself, and going on from it would lose what was not acknowledged.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.errors import is_expected
+from logweir.errors import FilterError, is_expected
 from logweir.operators.filters import consumer_outcome
+from logweir.operators.health import ACTIVITY_TTL, LAG_ALERT
 from logweir.operators.log import is_noop
 from logweir.options import StreamOptions
-from logweir.streaming.source import register
+from logweir.storage import delete
+from logweir.streaming.metrics import Metrics
+from logweir.streaming.notify import Notifier
+from logweir.streaming.source import head_of, register
 
-#: Seconds before a run is repeated after an expected error, and after any other.
-EXPECTED_WAIT, FAILED_WAIT = 0.1, 60.0
+#: Seconds before a run is repeated after an expected error, and after any other; and between looks
+#: at the head of a log whose readers are woken by a notifier.
+EXPECTED_WAIT, FAILED_WAIT, BACKOFF = 0.1, 60.0, 10.0
 
 
 class CursorStore(Protocol):
@@ -45,14 +55,15 @@ class Consumer:
     #: A consumer that acknowledges itself keeps the loop from setting its cursor.
     sets_cursor: bool = True
     counts: dict[str, int] = field(default_factory=dict)
+    #: Seconds of lag that raise an alert, and of silence after which it counts as idle; none: not reported.
+    lag_alert: float | None = LAG_ALERT
+    activity_ttl: float | None = ACTIVITY_TTL
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         outcome = consumer_outcome(self.types, self.event_filter)
         try:
             failed = batch.where(outcome == "failed").limit(1).count() if self.event_filter is not None else 0
             if failed:
-                from logweir.errors import FilterError
-
                 raise FilterError(self.name)
             self.consume(batch.where(outcome == "processed"), batch_id)
         except Exception as e:
@@ -70,40 +81,100 @@ class Spec:
     options: StreamOptions = StreamOptions()
     source_options: dict[str, str] = field(default_factory=dict)
     include_noops: bool = False
+    #: Ids in one micro-batch, at most.
+    limit: int | None = None
+    metrics: Metrics | None = None
 
     def bootstrapped(self) -> "Spec":
         """From the head, unless there is a cursor."""
         none = not self.cursors.get(self.consumer.name)
-        return Spec(self.path, self.cursors, self.consumer, StreamOptions(self.options.lag, none, self.options.to_head), self.source_options, self.include_noops)
+        return replace(self, options=StreamOptions(self.options.lag, none, self.options.to_head))
 
 
-def run(spark: SparkSession, spec: Spec, checkpoint: str, *, interval: str = "1 second", timeout: float | None = None) -> Any:
-    """Runs until the query ends: at the head with ``to_head``, else when it is stopped or fails."""
-    register(spark)
-    consumer = spec.consumer
-    if consumer.reset:
-        consumer.reset()
-    source = spark.readStream.format("eventlog").options(path=spec.path, after=spec.cursors.get(consumer.name) or "0", **spec.options.as_source_options(), **spec.source_options)
+class _Run:
+    def __init__(self, spark: SparkSession, spec: Spec, checkpoint: str):
+        self.spark, self.spec, self.checkpoint = spark, spec, checkpoint
+        self.options = dict(spec.source_options) | spec.options.as_source_options()
+        if spec.limit:
+            self.options["limit"] = str(spec.limit)
+        #: The end of what was handed over in this run.
+        self.at = int(spec.cursors.get(spec.consumer.name) or 0)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+    def step(self, batch: DataFrame, batch_id: int) -> None:
+        spec, consumer = self.spec, self.spec.consumer
+        batch, began = batch.persist(), time.monotonic()
         try:
             top = batch.agg(F.max("id")).first()[0]
+            if top is None:
+                # A query that starts at the head begins with an empty batch.
+                return
             rows = batch if spec.include_noops else batch.where(~is_noop())
-            consumer(rows.orderBy("id"), batch_id)
-            if top is not None and consumer.sets_cursor:
+            try:
+                consumer(rows.orderBy("id"), batch_id)
+            finally:
+                if spec.metrics:
+                    spec.metrics.consumed(consumer, rows, time.monotonic() - began)
+            if consumer.sets_cursor:
                 spec.cursors.set(consumer.name, str(top))
+                if spec.metrics:
+                    spec.metrics.add("cursor_sets", consumer.name)
+            self.at = top
         finally:
             batch.unpersist()
 
-    writer = source.load().writeStream.queryName(consumer.name).option("checkpointLocation", checkpoint).foreachBatch(step)
-    query = (writer.trigger(availableNow=True) if spec.options.to_head else writer.trigger(processingTime=interval)).start()
+    def query(self, trigger: dict, timeout: float | None = None):
+        """One streaming query from where the run is."""
+        place = f"{self.checkpoint}/{uuid.uuid4().hex}"
+        source = self.spark.readStream.format("eventlog").options(path=self.spec.path, after=str(self.at), **self.options)
+        if self.spec.metrics:
+            self.spec.metrics.add("polls", self.spec.consumer.name)
+        query = source.load().writeStream.queryName(self.spec.consumer.name).option("checkpointLocation", place).foreachBatch(self.step).trigger(**trigger).start()
+        try:
+            query.awaitTermination(timeout)
+        finally:
+            query.stop()
+            delete(self.spark, place)
+        return query
+
+    def drain(self):
+        """To the head as it is now, in as many queries as the limit of a batch makes."""
+        self.options.pop("fromHead", None)
+        last, query = None, None
+        while last is None or self.spec.limit and self.at != last:
+            last = self.at
+            query = self.query({"availableNow": True})
+        return query
+
+
+def run(spark: SparkSession, spec: Spec, checkpoint: str, *, interval: str = "1 second", timeout: float | None = None, notifier: Notifier | None = None, backoff: float = BACKOFF) -> Any:
+    """Runs until the query ends: at the head with ``to_head``, else when it is stopped or fails.
+
+    With a notifier the run sleeps at the head until it is woken, or for ``backoff`` seconds."""
+    register(spark)
+    consumer, now = spec.consumer, _Run(spark, spec, checkpoint)
+    end = None if timeout is None else time.monotonic() + timeout
+    if consumer.reset:
+        consumer.reset()
+    if spec.metrics:
+        spec.metrics.started(consumer)
     try:
-        query.awaitTermination(timeout)
+        if spec.options.from_head and (spec.options.to_head or notifier):
+            now.at = head_of(spec.path)
+        if spec.options.to_head:
+            return now.drain()
+        if notifier is None:
+            return now.query({"processingTime": interval}, timeout)
+        while end is None or time.monotonic() < end:
+            woken = notifier.register()
+            query = now.drain()
+            woken.wait(backoff if end is None else max(0.0, min(backoff, end - time.monotonic())))
+        return query
     finally:
-        query.stop()
         spec.cursors.flush()
-    return query
+        if consumer.stop:
+            consumer.stop()
+        if spec.metrics:
+            spec.metrics.stopped(consumer)
 
 
 def run_forever(start: Callable[[], Any], stop: Callable[[], None] | None = None, *, sleep: Callable[[float], None] = time.sleep, rounds: int | None = None) -> None:

@@ -1,18 +1,26 @@
 """The log as a streaming source whose offset is the cursor.
 
 ``latestOffset`` is the end of the contiguous, old-enough prefix: rows behind a hole, or younger than
-the lag, stay unread and are never lost. Batches are planned as id ranges, one partition each, and
-read with the range pushed down to the files. With ``availableNow`` a query drains to that head.
+the lag, stay unread and are never lost. It is found from the statistics in the files' footers: a row
+group whose ids fill their range needs no look inside. Only groups with holes or young events are
+read, their id and time alone, one group at a time, and what a file tells is kept until the file
+changes. Batches are planned as id ranges, one partition each, and read with the range pushed down to
+the files. With ``availableNow`` a query drains to that head.
+
+Paths may be on any file system that pyarrow knows by URL: local, HDFS, S3, GCS.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -29,12 +37,75 @@ class IdRange(InputPartition):
         self.start, self.end = start, end
 
 
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 def _files(path: str) -> ds.Dataset:
-    return ds.dataset(path.removeprefix("file://"), format="parquet")
+    system, inner = _place(path)
+    return ds.dataset(inner, filesystem=system, format="parquet")
+
+
+def _micros(column) -> pa.Array:
+    return pc.cast(pc.cast(column, pa.timestamp("us")), pa.int64())
+
+
+class Intervals:
+    """The ids of a log's files as sorted runs (first, last, time of the youngest), file by file."""
+
+    def __init__(self, path: str):
+        self.path, self.known = path, {}
+
+    def _group(self, file: pq.ParquetFile, g: int, old: int | None) -> list[tuple[int, int, int | None]]:
+        meta = file.metadata.row_group(g)
+        # Times of 96 bits have no statistics that can be read.
+        at = {c.path_in_schema: c.statistics for c in map(meta.column, range(meta.num_columns)) if c.physical_type != "INT96"}
+        ids, times = at["id"], at.get("timestamp")
+        top = _micros(pa.array([times.max])).to_pylist()[0] if old is not None and times is not None and times.has_min_max else None
+        aged = old is None or top is not None and top <= old
+        if aged and ids is not None and ids.has_min_max and ids.max - ids.min + 1 == meta.num_rows:
+            return [(ids.min, ids.max, top)]
+        table = file.read_row_group(g, columns=["id"] if aged else ["id", "timestamp"]).sort_by("id")
+        number = table["id"].to_numpy()
+        if not len(number):
+            return []
+        starts = {0, *(np.flatnonzero(np.diff(number) > 1) + 1).tolist()}
+        micros = None if aged else _micros(table["timestamp"]).to_numpy()
+        if not aged:
+            starts |= set(np.flatnonzero(micros > old)[:1].tolist())
+        ends = [*sorted(starts)[1:], len(number)]
+        return [(int(number[a]), int(number[b - 1]), top if aged else int(micros[a:b].max())) for a, b in zip(sorted(starts), ends, strict=True)]
+
+    def runs(self, after: int, old: int | None) -> list[tuple[int, int, int | None]]:
+        """Runs that end behind ``after``; with ``old`` (micros), one starts at each group's first younger event."""
+        system, inner = _place(self.path)
+        out, seen = [], {}
+        for info in system.get_file_info(fs.FileSelector(inner, recursive=True)):
+            name = info.path[len(inner) :]
+            if not info.is_file or not info.path.endswith(".parquet") or any(p[:1] in "_." for p in name.strip("/").split("/")):
+                continue
+            key = (info.path, info.size, info.mtime_ns)
+            # Events only grow older: a file that held none too young is not looked at again.
+            kept = self.known.get(key)
+            if kept is None or old is not None and any(t is None or t > old for _, _, t in kept):
+                with system.open_input_file(info.path) as raw:
+                    file, kept = pq.ParquetFile(raw), []
+                    for g in range(file.metadata.num_row_groups):
+                        kept += self._group(file, g, old)
+            seen[key] = kept
+            out += [r for r in kept if r[1] > after]
+        self.known = seen
+        return sorted(out)
+
+
+def head_of(path: str) -> int:
+    """The last id of a log, 0 if it is empty."""
+    return max((b for _, b, _ in Intervals(path).runs(0, None)), default=0)
 
 
 class EventLogSource(DataSource):
-    """Options: path, after, fromHead, lagMicros, gaps (block, the default, or skip), rangeIds."""
+    """Options: path, after, fromHead, lagMicros, gaps (block, the default, or skip), rangeIds, and
+    limit, the ids in a micro-batch at most."""
 
     @classmethod
     def name(cls) -> str:
@@ -53,45 +124,51 @@ class EventLogStreamReader(DataSourceStreamReader):
         self.options = StreamOptions.from_source_options(options)
         self.block = options.get("gaps", "block") == "block"
         self.range = int(options.get("rangeIds", RANGE))
+        self.limit = int(options.get("limit") or 0)
+        self.files = Intervals(self.path)
         self.end: int | None = None
 
-    def _columns(self, after: int, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
-        return _files(self.path).scanner(columns=list(names), filter=ds.field("id") > after).to_batches()
-
     def initialOffset(self) -> dict:
-        if self.options.from_head:
-            return {"after": max((pc.max(b.column(0)).as_py() or 0 for b in self._columns(0, ["id"]) if len(b)), default=0)}
-        return {"after": self.after}
+        return {"after": head_of(self.path) if self.options.from_head else self.after}
 
     def latestOffset(self) -> dict:
         """The end of what may be read now."""
-        known = self.end if self.end is not None else self.initialOffset()["after"]
-        now = time.time_ns() // 1000
-        ids, young = [], None
-        for b in self._columns(known, ["id", "timestamp"]):
-            ids.append(b.column(0).to_numpy())
-            if self.options.lag:
-                micros = pc.cast(pc.cast(b.column(1), pa.timestamp("us")), pa.int64())
-                late = b.column(0).filter(pc.greater(micros, now - int(self.options.lag.total_seconds() * 1e6)))
-                if len(late):
-                    least = pc.min(late).as_py()
-                    young = least if young is None else min(young, least)
-        import numpy as np
-
-        every = np.sort(np.concatenate(ids)) if ids else np.zeros(0, np.int64)
-        if young is not None:
-            every = every[every < young]
-        if self.block and len(every):
+        if self.end is None:
+            self.end = self.initialOffset()["after"]
+        lag = int(self.options.lag.total_seconds() * 1e6)
+        old = time.time_ns() // 1000 - lag if lag else None
+        runs = self.files.runs(self.end, old)
+        # A run with an event too young ends the prefix; runs are cut where that matters.
+        young = min((a for a, _, t in runs if old is not None and t > old), default=None)
+        end = self.end
+        for a, b, _ in runs:
+            if young is not None and a >= young:
+                break
             # The empty cursor takes the first id as it is.
-            steps = np.diff(np.concatenate([[known if known else every[0] - 1], every]))
-            holes = np.flatnonzero(steps > 1)
-            every = every[: holes[0]] if len(holes) else every
-        self.end = int(every[-1]) if len(every) else known
+            if self.block and end and a > end + 1:
+                break
+            end = max(end, b if young is None else min(b, young - 1))
+        if self.limit and end > self.end:
+            # From the empty cursor, ids are counted from the first there is.
+            first = self.end if self.end else min(a for a, _, _ in runs) - 1
+            end = min(end, first + self.limit)
+        self.end = end
         return {"after": self.end}
 
     def partitions(self, start: dict, end: dict) -> list[IdRange]:
+        """Ranges of at most so many ids that exist, however far apart they lie."""
         lo, hi = start["after"], end["after"]
-        return [IdRange(a, min(hi, a + self.range)) for a in range(lo, hi, self.range)]
+        parts, first, held = [], lo, 0
+        for a, b, _ in self.files.runs(lo, None):
+            a = max(a, first + 1)
+            while a <= min(b, hi):
+                stop = min(b, hi, a + self.range - held - 1)
+                held += stop - a + 1
+                a = stop + 1
+                if held >= self.range:
+                    parts.append(IdRange(first, stop))
+                    first, held = stop, 0
+        return parts + [IdRange(first, hi)] * (held > 0)
 
     def read(self, part: IdRange) -> Iterator[pa.RecordBatch]:
         want = (ds.field("id") > part.start) & (ds.field("id") <= part.end)

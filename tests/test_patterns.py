@@ -45,6 +45,7 @@ def test_batches_span_micro_batches(spark, path):
     batcher = patterns.Batcher("b", lambda: log, lambda b: seen.append([r["id"] for r in b.collect()]), cursors, period=timedelta(seconds=5), now=lambda: T0.timestamp())
     for n, (lo, hi) in enumerate([(1, 3), (4, 8), (9, 12)]):
         batcher.step(log.where(F.col("id").between(lo, hi)), n)
+    batcher.stop()
     assert seen == [[1, 2, 3, 4, 5], [6, 7, 8, 9, 10]] and cursors.get("b") == "10"
     with pytest.raises(errors.InvalidBatchConfig):
         patterns.Batcher("b", None, None, cursors)
@@ -66,6 +67,35 @@ def test_batch_failure_needs_a_reset(spark, path):
         batcher.step(log, 2)
 
 
+def test_batch_timer(spark, path):
+    """A batch closes when its time is over though nothing follows; at once means after a least wait."""
+    import time
+
+    cursors, seen, held = MemoryCursors(), [], []
+    log = spark.read.parquet(path)
+    batcher = patterns.Batcher("b", lambda: log, lambda b: seen.append((time.monotonic(), b.count())), cursors, period=timedelta(hours=1), buffered=held.append)
+    batcher.step(log.where("id <= 3"), 0)
+    began = time.monotonic()
+    assert seen == [] and held == [3]
+    while not seen and time.monotonic() < began + 20:
+        time.sleep(0.05)
+    time.sleep(0.5)
+    assert seen[0][1] == 3 and cursors.get("b") == "3" and held == [3, 0]
+
+    def fail(rows):
+        raise ValueError("no")
+
+    batcher.consume = fail
+    batcher.step(log.where("id = 4"), 1)
+    while not batcher.failed and time.monotonic() < began + 40:
+        time.sleep(0.05)
+    with pytest.raises(errors.BatchState):
+        batcher.step(log.where("id = 5"), 2)
+    assert cursors.get("b") == "3"
+    batcher.reset()
+    batcher.stop()
+
+
 def failing_on_seven():
     """A closure, so that tasks get it by value."""
 
@@ -92,6 +122,60 @@ def test_dead_letter(spark, path, tmp_path):
     assert tries["tries"] == 3
 
 
+def test_dead_letter_handles_all(spark, path, tmp_path):
+    """Every event is handled though the recorder reads nothing."""
+    done = tmp_path / "done"
+    done.mkdir()
+
+    def handle(row, folder=str(done)):
+        open(f"{folder}/{row['id']}", "w").close()
+
+    consumer = patterns.dead_letter("d", handle, lambda rows: rows.limit(0).collect())
+    consumer.consume(spark.read.parquet(path), 0)
+    assert len(list(done.iterdir())) == 20
+
+
+def test_shard_objects(spark, path, tmp_path):
+    acked, cursors = {}, MemoryCursors()
+    parts = patterns.consumer_shards("p", 3, by="foreign_id", formatter=lambda b, m, n: f"{b}-{m}")
+    log = spark.read.parquet(path)
+    counts = [log.where(p.event_filter()["ok"]).count() for p in parts]
+    assert [p.name for p in parts] == ["p-0", "p-1", "p-2"] and sum(counts) == 20
+
+    def consume(batch, ack):
+        for r in batch.collect():
+            ack(r["id"])
+            acked[r["id"]] = True
+
+    specs = patterns.parallel_ack_specs(Spec(path, cursors, Consumer("p", None)), 2, consume, options=TO_HEAD, consumer_options=lambda m: {"lag_alert": None if m else 60.0})
+    assert [s.consumer.lag_alert for s in specs] == [60.0, None] and not any(s.consumer.sets_cursor for s in specs)
+    for n, spec in enumerate(specs):
+        run(spark, spec, str(tmp_path / f"cp{n}"))
+    assert sorted(acked) == list(range(1, 21))
+
+
+def test_concurrent_in_flight(spark, path, tmp_path):
+    """At most two events at a time, seen by files that mark what is being handled."""
+    place = tmp_path / "now"
+    place.mkdir()
+
+    def handle(row, folder=str(place)):
+        import os
+        import time
+
+        own = f"{folder}/{row['id']}"
+        open(own, "w").close()
+        time.sleep(0.02)
+        held = len(os.listdir(folder))
+        os.remove(own)
+        if held > 2:
+            raise ValueError("too many")
+
+    cursors = MemoryCursors()
+    patterns.concurrent("c", handle, cursors, max_in_flight=2).consume(spark.read.parquet(path).repartition(8), 0)
+    assert cursors.get("c") == "20"
+
+
 def test_parallel_specs(spark, path, tmp_path):
     cursors, seen = MemoryCursors(), {}
 
@@ -118,6 +202,34 @@ def test_waiting(spark, path):
         patterns.wait_for_cursor(MemoryCursors(a=5), "a", 6, timeout=0)
 
 
+def test_serving_over_tcp(spark, tmp_path):
+    log = MemoryLog()
+    for n in range(7):
+        log.insert(str(n), n + 1, b"m")
+    tcp = serving.TcpServer(serving.Server(log.stream))
+    host, port = tcp.address
+    open_stream = serving.client(serving.tcp_call(host, port))
+    got = []
+    with pytest.raises(errors.HeadReached):
+        for row in open_stream("5", TO_HEAD):
+            got.append(row[0])
+    assert got == ["6", "7"]
+    spark.dataSource.register(serving.RemoteLog)
+    query = spark.readStream.format("remotelog").options(host=host, port=str(port), after="1", pageSize="4").load().writeStream.format("memory").queryName("remote").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        import time
+
+        end = time.monotonic() + 60
+        while spark.table("remote").count() < 6 and time.monotonic() < end:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert [r["id"] for r in spark.table("remote").orderBy("id").collect()] == list("234567")
+    tcp.stop()
+    with pytest.raises(OSError):
+        next(open_stream(""))
+
+
 def test_serving():
     log = MemoryLog()
     for n in range(4):

@@ -106,6 +106,93 @@ def test_filter_errors_and_recovery(spark, tmp_path):
     assert cursors.get("calm") == "1" and calm.counts == {"errors": 1}
 
 
+def test_limit_bounds_micro_batches(spark, tmp_path):
+    path, sizes = str(tmp_path / "log"), []
+    write(spark, path, range(1001, 1011))
+    consumer = Consumer("small", lambda batch, _: sizes.append(batch.count()))
+    run(spark, Spec(path, MemoryCursors(), consumer, TO_HEAD, limit=4), str(tmp_path / "cp"))
+    assert sizes == [4, 4, 2]
+
+
+def test_offsets_come_from_footers(spark, tmp_path):
+    """Runs of ids by file; a run ends before the first event that is too young."""
+    from logweir.streaming.source import EventLogStreamReader, Intervals
+
+    path, now = str(tmp_path / "log"), datetime.now(timezone.utc)
+    write(spark, path, [1, 2, 3, 7])
+    write(spark, path, [4, 5])
+    write(spark, path, [6], at=now)
+    files = Intervals(path)
+    assert [(a, b) for a, b, _ in files.runs(0, None)] == [(1, 3), (4, 5), (6, 6), (7, 7)]
+    assert files.runs(5, None)[0][:2] == (6, 6)
+    end = lambda **options: EventLogStreamReader({"path": path, **options}).latestOffset()["after"]
+    assert end() == 7 and end(lagMicros="3600000000") == 5 and end(limit="2") == 2 and end(after="7") == 7
+    write(spark, path, [9])
+    assert end() == 7 and end(gaps="skip") == 9
+    reader = EventLogStreamReader({"path": path, "rangeIds": "3"})
+    assert [(p.start, p.end) for p in reader.partitions({"after": 0}, {"after": 7})] == [(0, 3), (3, 6), (6, 7)]
+
+
+def test_acknowledged_part_of_a_batch(spark, tmp_path):
+    """What was not acknowledged comes again, also on the same checkpoint folder."""
+    from logweir.streaming import patterns
+
+    path, cursors, seen = str(tmp_path / "log"), BufferedCursors(), []
+    write(spark, path, range(1, 11))
+
+    def consume(batch, ack):
+        seen.append([r["id"] for r in batch.collect()])
+        if len(seen) == 1:
+            ack(6)
+
+    spec = Spec(path, cursors, patterns.acknowledging("ack", consume, cursors), TO_HEAD)
+    run(spark, spec, str(tmp_path / "cp"))
+    write(spark, path, range(11, 13))
+    run(spark, spec, str(tmp_path / "cp"))
+    assert seen == [list(range(1, 11)), list(range(7, 13))]
+
+
+def test_open_batch_comes_again(spark, tmp_path):
+    from logweir.streaming import patterns
+
+    path, cursors, seen = str(tmp_path / "log"), BufferedCursors(), []
+    write(spark, path, range(1, 11))
+    for _ in range(2):
+        batcher = patterns.Batcher("b", lambda: spark.read.parquet(path), lambda b: seen.append([r["id"] for r in b.collect()]), cursors, length=4)
+        run(spark, Spec(path, cursors, batcher.consumer(), TO_HEAD), str(tmp_path / "cp"))
+        write(spark, path, range(11, 20))
+    assert seen == [[1, 2, 3, 4], [5, 6, 7, 8], [9, 10, 11, 12], [13, 14, 15, 16]] and cursors.get("b") == "16"
+
+
+def test_notifier_stop_and_metrics(spark, tmp_path):
+    import threading
+
+    from logweir.streaming.metrics import Metrics
+    from logweir.streaming.notify import Notifier
+
+    path, notifier, metrics, stops = str(tmp_path / "log"), Notifier(), Metrics(), []
+    write(spark, path, [1, 2])
+    consumer = Collect("woken", types=[1], stop=lambda: stops.append(1))
+    take, seen = consumer.take, threading.Event()
+
+    def taken(batch, batch_id):
+        take(batch, batch_id)
+        if len(consumer.seen) == 2:
+            write(spark, path, [3])
+            write(spark, path, [4], kind=2)
+            notifier.notify()
+
+    consumer.consume = taken
+    spec = Spec(path, MemoryCursors(), consumer, metrics=metrics)
+    run(spark, spec, str(tmp_path / "cp"), notifier=notifier, backoff=300, timeout=25)
+    assert consumer.seen == [1, 2, 3] and spec.cursors.get("woken") == "4" and stops == [1] and not seen.is_set()
+    assert metrics.value("consumer_skipped", "woken") == 1 and metrics.value("cursor_sets", "woken") == 2
+    assert metrics.value("consumer_lag_seconds", "woken") is None and metrics.value("consumer_lag_alert", "woken") == 1
+    assert metrics.value("consumer_active", "woken") == 1
+    counts = {b: v for n, label, b, v in metrics.samples() if n == "consumer_age_seconds"}
+    assert counts["count"] == 4 and counts["0.1"] == 0 and 'consumer_skipped{label="woken"} 1' in metrics.text()
+
+
 def test_run_forever():
     ends, waits, stops = iter([errors.Stopped(), ValueError()]), [], []
 
