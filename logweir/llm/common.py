@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweir.storage import delete, shared_dir
+
 #: The six characters that separate words and are stripped from lines.
 BLANKS = "\t\n\x0b\x0c\r "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,27 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is unset (tests, a local master) a folder of this machine is used.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    local = getattr(scratch_dir, "local", None)
-    if local is None:
-        local = scratch_dir.local = "file://" + tempfile.mkdtemp(prefix="logweir-")
-    return local
-
-
 class Scratch:
     """Tables written to the shared folder, to cut lineage and to outlive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -50,9 +35,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table of this scratch that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, df.scratch_path)
 
 
 def ascii_lower(text: Column) -> Column:
