@@ -27,13 +27,17 @@ Inserter = Callable[[DataFrame, str], None]
 
 
 def append_parquet(rows: DataFrame, path: str) -> None:
-    """Writes a batch aside and moves it in as a whole, so that batches side by side do not meet."""
-    spark, name = rows.sparkSession, uuid.uuid4().hex
-    rows.write.parquet(f"{path}/_batch-{name}")
+    """Writes a batch aside and moves its files in, so that batches side by side do not meet. Files
+    that a failure leaves behind are a hole in the ids, at which readers wait."""
+    spark, aside = rows.sparkSession, f"{path}/_batch-{uuid.uuid4().hex}"
+    rows.write.parquet(aside)
     place = spark._jvm.org.apache.hadoop.fs.Path
     system = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.rename(place(f"{path}/_batch-{name}"), place(f"{path}/batch-{name}")):
-        raise OSError(f"cannot move a batch into {path}")
+    for status in system.listStatus(place(aside)):
+        name = status.getPath().getName()
+        if name.endswith(".parquet") and not system.rename(status.getPath(), place(f"{path}/{name}")):
+            raise OSError(f"cannot move {name} into {path}")
+    system.delete(place(aside), True)
 
 
 @dataclass(frozen=True)
