@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweir.llm import chunks, jaccard_join, line_dedup, mixing, suffix_dedup
-from logweir.llm.common import Scratch, least_hashes, scratch_dir
+from logweir.llm.common import Scratch, least_hashes
 from logweir.llm.components import components
+from logweir.storage import shared_dir
 
 BLANKS = "\t\n\x0b\x0c\r "
 FOLD = {c: c + 32 for c in range(65, 91)}
@@ -249,4 +250,4 @@ def test_samples_and_scratch(spark):
     rows = spark.range(5000).select(F.xxhash64("id").alias("h"), "id")
     want = sorted(tuple(r) for r in rows.collect())[:40]
     assert sorted(tuple(r) for r in least_hashes(rows, "h", 40).collect()) == want
-    assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir", scratch_dir(spark)).rstrip("/")
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir", shared_dir(spark)).rstrip("/")
