@@ -1,12 +1,15 @@
 """Toxicity: class-conditional Kneser-Ney models of expressions, compared by likelihood ratio.
 
-Model. Each class, toxic and ordinary, has a Kneser-Ney model of the characters of a word between
-word marks. Its longest contexts use the class's own counts; what they discount goes to one
+Model. Each class, toxic and ordinary, has a Kneser-Ney model of the bytes of a word between word
+marks. Its longest contexts use the class's own counts; what they discount goes to one
 backoff model, built from continuation counts of both classes together, so an expression that
-neither class has seen often is judged alike by both and its ratio stays near nought. A word's
-score is the sum of its log ratios. A text is summed up by its highest and second highest scoring
-words (over tokens, and over distinct words) and by its length-normalised ratio; a logistic curve,
-fitted to scores that halves of the labelled rows give each other, turns these into 0..1.
+neither class has seen often is judged alike by both and its ratio stays near nought.
+
+Score. The log-likelihoods of a run of words under both classes are summed, and their difference is
+divided by the run's length in bytes. This is taken for the whole text and for each run of ``PASSAGE``
+words, of which the highest, and the highest apart from it, stand for the text: an insult must not get
+lost in a long text around it. A logistic curve of these three normalised differences, fitted to those
+that halves of the labelled rows give each other, is the score.
 
 Fitting counts words and n-grams of all labelled rows whose crc32(doc_id) mod 3 is not 1. Spark sums
 them; the driver sees a number and a count for each distinct n-gram of a class, which grow with what
@@ -23,7 +26,6 @@ alike. Extra columns pass through ``scored`` untouched; an empty table gives an
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -36,8 +38,8 @@ from pyspark.sql import types as T
 
 from logweir.llm.common import least_hashes, table
 
-#: Labelled rows of each class that the curve is fitted to, and the longest n-gram in characters.
-SAMPLE, ORDER = 3000, 6
+#: Labelled rows of each class that the curve is fitted to; the longest n-gram in bytes; words of a passage.
+SAMPLE, ORDER, PASSAGE = 3000, 7, 2
 THRESHOLD = 0.7
 CACHE_WORDS = 400_000
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»„“”‘’…–—"
@@ -51,23 +53,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-#: Bits of a character in an n-gram code; rare characters beyond them share codes.
-_BITS = 10
-_CHAR = (1 << _BITS) - 1
+#: Bits of a symbol in an n-gram code: words are read as UTF-8 bytes, so every character counts as itself.
+_BITS = 8
 
 
 def _codes(bag: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram ending at each character of each marked word, as a number, and its word's index.
+    """The n-gram ending at each byte of each marked word, as a number, and its word's index.
 
-    An n-gram has up to ``order`` characters and none before the word's opening mark."""
-    text = np.frombuffer("".join(f"\x02{w}\x03" for w in bag).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    chars = np.where(text <= _CHAR, text, 1 + text % _CHAR)
-    sizes = np.fromiter((len(w) + 2 for w in bag), np.int64, len(bag))
+    An n-gram has up to ``order`` bytes and none before the word's opening mark. Byte 0 is read as 1."""
+    raw = [b"\x02" + w.encode("utf-8", "replace").replace(b"\0", b"\1") + b"\x03" for w in bag]
+    symbols = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, raw), np.int64, len(bag))
     owner = np.repeat(np.arange(len(bag)), sizes)
-    at = np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    code = chars.copy()
+    at = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    code = symbols.copy()
     for k in range(1, order):
-        code[k:] |= np.where(at[k:] >= k, chars[:-k] << np.uint64(_BITS * k), np.uint64(0))
+        code[k:] |= np.where(at[k:] >= k, symbols[:-k] << np.uint64(_BITS * k), np.uint64(0))
     return code[at > 0], owner[at > 0]
 
 
@@ -82,7 +83,7 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _by_context(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts, each gram's context index, and each context's total and number of next characters."""
+    """Contexts, each gram's context index, and each context's total and number of next bytes."""
     contexts, at = np.unique(grams >> np.uint64(_BITS), return_inverse=True)
     return contexts, at, np.bincount(at, counts, len(contexts)), np.bincount(at, counts > 0, len(contexts))
 
@@ -92,7 +93,8 @@ class RatioModel:
 
     def __init__(self, grams: np.ndarray, ratio: np.ndarray, contexts: np.ndarray, weight: np.ndarray, order: int):
         self.grams, self.ratio, self.contexts, self.weight, self.order = grams, ratio, contexts, weight, order
-        self.known: dict[str, float] = {}
+        #: Log ratio and bytes, with the closing mark, of words met so far.
+        self.known: dict[str, tuple[float, int]] = {}
 
     @classmethod
     def fit(cls, bags: tuple[dict[str, float], dict[str, float]], order: int = ORDER) -> "RatioModel":
@@ -143,28 +145,33 @@ class RatioModel:
         i, there = _find(self.grams, code)
         j, near = _find(self.contexts, code >> np.uint64(_BITS))
         step = np.where(there, self.ratio[i], np.where(near, self.weight[j], 0.0))
-        self.known.update(zip(new, np.bincount(owner, step, len(new)).tolist(), strict=True))
+        ratios = np.bincount(owner, step, len(new)).tolist()
+        sizes = np.bincount(owner, minlength=len(new)).tolist()
+        self.known.update(zip(new, zip(ratios, sizes, strict=True), strict=True))
 
-    def features(self, text: str | None) -> tuple[float, float, float, float]:
-        """Highest and second highest word score, second highest of distinct words, mean a character."""
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        """Difference of log-likelihoods a byte: that of the most toxic passage, of the most toxic one
+        that does not overlap it (itself if there is none), and of the whole text."""
         every = words(text)
         if not every:
-            return 0.0, 0.0, 0.0, 0.0
-        distinct = set(every)
+            return 0.0, 0.0, 0.0
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        self.learn(distinct)
-        scores = {w: self.known[w] for w in distinct}
-        best = heapq.nlargest(2, scores, key=scores.__getitem__)
-        first, second = scores[best[0]], scores[best[-1]] if len(best) > 1 else 0.0
-        again = first if every.count(best[0]) > 1 else second
-        mean = sum(map(scores.__getitem__, every)) / sum(len(w) + 1 for w in every)
-        return first, again, second, mean
+        self.learn(set(every))
+        known = self.known
+        sums = np.zeros((len(every) + 1, 2))
+        np.cumsum(np.array([known[w] for w in every]), axis=0, out=sums[1:])
+        k = min(PASSAGE, len(every))
+        runs = sums[k:] - sums[:-k]
+        rates = runs[:, 0] / runs[:, 1]
+        first = int(rates.argmax())
+        apart = [part.max() for part in (rates[: max(0, first - k + 1)], rates[first + k :]) if len(part)]
+        return float(rates[first]), float(max(apart, default=rates[first])), float(sums[-1, 0] / sums[-1, 1])
 
 
-def _squash(f: tuple[float, ...]) -> list[float]:
-    """Word scores saturate: an expression far beyond doubt counts little more than one near it."""
-    return [1.0, *(math.tanh(x / 8) for x in f[:3]), math.tanh(f[3])]
+def _inputs(f: tuple[float, float, float]) -> list[float]:
+    """Passages saturate: one far beyond doubt counts little more than one near it."""
+    return [1.0, math.tanh(f[0] / 2), math.tanh(f[1] / 2), math.tanh(f[2])]
 
 
 def logistic(rows: np.ndarray, labels: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -188,7 +195,7 @@ class Scorer:
     def score(self, text: str | None) -> float:
         if self.model is None:
             return 0.0
-        z = sum(a * b for a, b in zip(self.curve, _squash(self.model.features(text)), strict=True))
+        z = sum(a * b for a, b in zip(self.curve, _inputs(self.model.features(text)), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -271,13 +278,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, size: int = SAMPLE, order: int =
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(y, *_squash(halves.value[half].features(text))) for text, y, half in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            cols = list(zip(*found, strict=True)) if found else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in cols], names=list("yabcde"))
+            found = [(y, *_inputs(halves.value[half].features(text))) for text, y, half in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            cols = list(zip(*found, strict=True)) if found else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in cols], names=list("yabcd"))
 
-    table_ = rows.mapInArrow(judge, ", ".join(f"{k} double" for k in "yabcde")).toArrow()
+    table_ = rows.mapInArrow(judge, ", ".join(f"{k} double" for k in "yabcd")).toArrow()
     halves.unpersist()
-    data = np.column_stack([c.to_numpy() for c in table_.columns]) if table_.num_rows else np.zeros((0, 6))
+    data = np.column_stack([c.to_numpy() for c in table_.columns]) if table_.num_rows else np.zeros((0, 5))
     if len(set(data[:, 0])) < 2:
         return Scorer(None, None)
     return Scorer(model(both), logistic(data[:, 1:], data[:, 0]))

@@ -165,12 +165,80 @@ def test_toxicity_edges(documents, pairs, folder):
     assert toxicity.scored(documents.limit(0), scorer).count() == 0
 
 
+class PlainKneserNey:
+    """The model written out: interpolated, with continuation counts of both classes below the top."""
+
+    def __init__(self, bags, order):
+        self.order, self.counts = order, [Counter(), Counter()]
+        for counts, bag in zip(self.counts, bags, strict=True):
+            for word, n in bag.items():
+                raw = b"\x02" + word.encode() + b"\x03"
+                for i in range(1, len(raw)):
+                    counts[raw[max(0, i - order + 1) : i + 1]] += n
+        ones, twos = (sum(c == k for counts in self.counts for c in counts.values()) for k in (1, 2))
+        self.discount = ones / (ones + 2 * twos)
+        own = set(self.counts[0]) | set(self.counts[1])
+        self.follows, longer = {}, set()
+        for n in range(order, 1, -1):
+            grams = {g for g in own if len(g) == n} | longer
+            self.follows[n - 1] = Counter(g[1:] for g in grams)
+            longer = set(self.follows[n - 1])
+
+    def below(self, gram):
+        """The shared probability of a gram's last byte after the others."""
+        counts = self.follows[len(gram)]
+        if len(gram) == 1:
+            return (counts[gram] + 1) / (sum(counts.values()) + len(counts) + 1)
+        same = [c for g, c in counts.items() if g[:-1] == gram[:-1]]
+        if not same:
+            return self.below(gram[1:])
+        return (max(counts[gram] - self.discount, 0) + self.discount * len(same) * self.below(gram[1:])) / sum(same)
+
+    def p(self, y, gram):
+        same = [c for g, c in self.counts[y].items() if g[:-1] == gram[:-1]]
+        if not same:
+            return self.below(gram[1:])
+        return (max(self.counts[y][gram] - self.discount, 0) + self.discount * len(same) * self.below(gram[1:])) / sum(same)
+
+    def ratio(self, word):
+        raw = b"\x02" + word.encode() + b"\x03"
+        grams = [raw[max(0, i - self.order + 1) : i + 1] for i in range(1, len(raw))]
+        return sum(np.log(self.p(1, g) / self.p(0, g)) for g in grams), len(grams)
+
+
+BAGS = ({"abc": 3, "abd": 1, "xyz": 2, "абв": 1, "日本": 1, "abcdefghij": 2}, {"abc": 1, "xyw": 4, "idiot": 2, "абг": 1, "日本語": 2, "abcdefgxyz": 1})
+
+
+def test_kneser_ney_against_the_formulas():
+    plain, model = PlainKneserNey(BAGS, 7), toxicity.RatioModel.fit(BAGS)
+    unseen = ["", "q", "ab", "abcx", "idiots", "xyzw", "2в", "абв2", "日", "語", "日本語", "abcdefgh", "abcdefghijk"]
+    every = [w for w in [*BAGS[0], *BAGS[1], *unseen] if w]
+    model.learn(every)
+    for word in every:
+        ratio, size = plain.ratio(word)
+        assert model.known[word] == (pytest.approx(ratio), size), word
+    # Characters beyond one byte count as themselves.
+    assert model.known["日本語"] != model.known["日本"] and plain.ratio("а") != plain.ratio("2")
+
+
 def test_kneser_ney_probabilities_sum_to_one():
-    """Checked through ratios: both classes alike give ratios of nought everywhere."""
-    bag = {"abc": 3.0, "abd": 1.0, "xyz": 2.0}
-    model = toxicity.RatioModel.fit((bag, dict(bag)))
-    assert abs(model.ratio).max() < 1e-9 and abs(model.weight).max() < 1e-9
-    assert model.features("abc xyz unknown 日本語")[:3] == (0.0, 0.0, 0.0)
+    plain = PlainKneserNey(BAGS, 7)
+    letters = [*plain.follows[1], b"?"]
+    for y in (0, 1):
+        for context in {g[:-1] for g in plain.counts[y]} | {b"ab", b"\x02q"}:
+            if len(context) < 7:
+                assert sum(plain.p(y, context + c) for c in letters) == pytest.approx(1)
+
+
+def test_toxicity_features():
+    model = toxicity.RatioModel.fit(BAGS)
+    rate = lambda *ws: sum(model.known[w][0] for w in ws) / sum(model.known[w][1] for w in ws)
+    first, second, whole = model.features("abc abd idiot xyz xyw xyw")
+    assert first == pytest.approx(max(rate("xyw", "xyw"), rate("idiot", "xyz"), rate("abd", "idiot")))
+    assert second <= first and whole == pytest.approx(rate("abc", "abd", "idiot", "xyz", "xyw", "xyw"))
+    assert model.features("abc") == pytest.approx((rate("abc"),) * 3) and model.features(" \n") == model.features(None) == (0.0,) * 3
+    same = toxicity.RatioModel.fit((BAGS[0], dict(BAGS[0])))
+    assert abs(same.ratio).max() < 1e-9 and abs(same.weight).max() < 1e-9
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head><body class="page">
