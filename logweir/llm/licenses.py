@@ -3,21 +3,25 @@
 Model. Multinomial logistic regression over word unigrams and bigrams with a class for each licence
 family and one for everything else. It is trained here, on the driver, from notices of each family
 (varied by dropping and adding words) against general sentences and at most ``SAMPLE`` paragraphs of
-the documents, drawn from all their lines. Which words of notices are common, and so speak for
-nothing, is counted over every paragraph of every document that holds no licence phrase. Its temperature is fitted on variants kept out of training, which calibrates the
-unknown class: a paragraph is a candidate where the licence classes together have probability 0.5
-or more. Weights are then pruned to the ``FEATURES`` strongest n-grams, a bounded table.
-
-Confirmation. A candidate keeps its family only if it holds at least ``COVER`` of the n-grams of one
-of the family's key phrases; otherwise it counts as an unknown licence.
-
-Plan. Only DataFrame functions run on the executors. A paragraph is a line. A paragraph that has none
+the documents, drawn from all of them, of which training reads ``SAMPLE_CHARS`` characters each. Which
+words of notices are common, and so speak for nothing, is counted over every paragraph of every
+document that holds no licence phrase. Temperature and the bias of the unknown class are calibrated on
+notices whose wordings a first fit has not seen: a paragraph is a candidate where the licence classes
+together have probability 0.5 or more. Weights are then pruned to the ``FEATURES`` strongest n-grams,
+a bounded table.
+
+Confirmation. A candidate is compared with the whole notices of its family, as templates: the share of
+a template's n-grams that the paragraph holds, each weighed by the rarity of its rarest word in the
+corpus. The family stands if one template is covered by ``COVER``; else it is an unknown licence.
+
+Plan. Only DataFrame functions run on the executors. A paragraph is a run of lines without a blank one
+between them, so a notice that is wrapped is seen whole. A paragraph that has none
 of the words that speak for a licence cannot pass the threshold, so one regular expression drops it
 first, before anything is exploded; for what is left, features are looked up in a map literal and
 summed by higher-order functions. Results are added up for each document by an aggregation that
 combines before its exchange. Equal paragraphs score alike and are never gathered.
 
-Edge cases. A null or empty text has no paragraphs; blank lines are no paragraphs. Rows that repeat
+Edge cases. A null or empty text has no paragraphs. Rows that repeat
 a doc_id are returned one by one. Null doc_ids are scanned like others. Very long paragraphs are
 scanned whole. Extra columns are not read. An empty table gives an empty result.
 """
@@ -25,6 +29,7 @@ scanned whole. Extra columns are not read. An empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import math
 import random
 import re
 from collections import Counter
@@ -35,11 +40,13 @@ from pyspark.sql import functions as F
 
 from logweir.llm.common import ascii_lower, least_hashes, table
 
-SAMPLE, FEATURES, COVER, THRESHOLD = 1500, 600, 0.75, 0.5
+SAMPLE, SAMPLE_CHARS, FEATURES, COVER, THRESHOLD = 1500, 4000, 600, 0.6, 0.5
+#: What parts paragraphs, and words around a notice in training.
+BREAK, AROUND = "\n[ \t\r\x0b\x0c]*\n\\s*", (0, 4, 12, 60, 400)
 #: Share of background paragraphs from which on a word is common.
 COMMON = 0.005
 OTHER = "none"
-# Short public notices of each family, and the phrases that must be there for it to be confirmed.
+# Short public notices of each family, which are its templates.
 NOTICES = {
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
@@ -103,6 +110,7 @@ NOTICES = {
         "This material is proprietary and confidential; unauthorized copying is prohibited.",
     ],
 }
+#: Phrases that leave no doubt; paragraphs that hold one are not counted as general text.
 KEYS = {
     "apache": ["apache license", "apache 2.0", "apache-2.0"],
     "mit": ["mit license", "permission is hereby granted free of charge", "license-identifier mit"],
@@ -145,13 +153,19 @@ def grams(words: list[str]) -> set[str]:
     return set(words) | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
 
 
+def rarity(word_counts: dict[str, int], counted: int) -> dict[str, float]:
+    """The weight of each n-gram of the notices: how rare its rarest word is in general text."""
+    own = {g for notices in NOTICES.values() for notice in notices for g in grams(tokens(notice))}
+    return {g: round(max(math.log((counted + 2) / (word_counts.get(w, 0) + 1)) for w in g.split()), 4) for g in own}
+
+
 class Model:
     """Pruned weights: n-gram to one weight a class; classes are families in order, then OTHER."""
 
-    def __init__(self, weights: dict[str, list[float]], bias: list[float], cues: list[str]):
+    def __init__(self, weights: dict[str, list[float]], bias: list[float], cues: list[str], rare: dict[str, float]):
         """cues: each n-gram that lifts some family over OTHER has one of these words, so that a
-        paragraph without any scores no more than the biases give."""
-        self.weights, self.bias, self.cues, self.classes = weights, bias, cues, [*NOTICES, OTHER]
+        paragraph without any scores no more than the biases give. rare: weights of templates' n-grams."""
+        self.weights, self.bias, self.cues, self.rare, self.classes = weights, bias, cues, rare, [*NOTICES, OTHER]
         if self.probabilities("")[-1] <= 1 - THRESHOLD:
             raise ValueError("the biases alone pass the threshold")
 
@@ -162,29 +176,60 @@ class Model:
         e = np.exp(z - z.max())
         return e / e.sum()
 
+    def coverage(self, family: str, text: str) -> float:
+        """The best cover of a template of the family."""
+        have = grams(tokens(text))
+        return max(sum(self.rare[g] for g in need & have) / sum(self.rare[g] for g in need) for need in (grams(tokens(n)) for n in NOTICES[family]))
+
 
 def holds_phrase(words: list[str]) -> bool:
     """Whether words hold a key phrase, at the start of a word."""
     return re.search(PHRASE, " ".join(words)) is not None
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def _shares(y: np.ndarray) -> np.ndarray:
+    """What each row counts: families alike, and all of them together as much as the class of no licence."""
+    share = y / np.maximum(y.sum(axis=0), 1)
+    share[:, -1] *= y.shape[1] - 1
+    share = share.sum(axis=1)
+    return share / share.sum()
+
+
+def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights by gradient steps with momentum."""
+    w = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    share, speed = _shares(y)[:, None], np.zeros_like(w)
+    for _ in range(300):
+        speed = 0.9 * speed - 4.0 * (x.T @ (share * (_softmax(x @ w) - y)) + 1e-4 * w)
+        w += speed
+    return w
+
+
 def train(paragraphs: list[str], spread: tuple[dict[str, int], int] | None = None, *, seed: int = 7, features: int = FEATURES) -> Model:
     """Fits on varied notices against general and sampled paragraphs.
 
     spread: what ``word_spread`` counted over the corpus; without it, the paragraphs are counted."""
-    rng, rows, labels = random.Random(seed), [], []
-    background = [tokens(p)[:60] for p in [*GENERAL * 8, *paragraphs]]
-    background = [b for b in background if b and not any(k in " ".join(b) for keys in KEYS.values() for k in keys)]
+    rng, rows, labels, unseen = random.Random(seed), [], [], []
+    background = [tokens(p) for p in [*GENERAL * 8, *paragraphs]]
+    background = [b for b in background if b and not holds_phrase(b)]
     for c, notices in enumerate(NOTICES.values()):
-        for notice in notices:
+        for n, notice in enumerate(notices):
             words = tokens(notice)
             for k in range(24):
                 own = [w for w in words if k == 0 or rng.random() > 0.08]
-                around = rng.choice(background)[: rng.randrange(12)] if k % 3 else []
+                around = rng.choice(background)[: rng.choice(AROUND)] if k % 3 else []
                 rows.append([*around, *own] if k % 2 else [*own, *around])
                 labels.append(c)
+                # One wording of each family is new to the fit that calibrates.
+                unseen.append(n == len(notices) - 1)
     rows += background
     labels += [len(NOTICES)] * len(background)
+    unseen += [k % 5 == 4 for k in range(len(background))]
     # Only n-grams of notices can speak for a licence; the bias speaks for everything else. Those
     # made of words that are common anywhere speak for nothing.
     if spread is None:
@@ -198,29 +243,19 @@ def train(paragraphs: list[str], spread: tuple[dict[str, int], int] | None = Non
     x[:, -1] = 1
     for i, r in enumerate(rows):
         x[i, [index[g] for g in grams(r) if g in index]] = 1
-    y = np.eye(len(NOTICES) + 1, dtype=np.float32)[labels]
-    held = np.arange(len(rows)) % 5 == 4
-    w = np.zeros((x.shape[1], y.shape[1]), np.float32)
-    share = (y / y.sum(axis=0)).sum(axis=1)[~held, None]
-    share = share / share.sum()
-    speed = np.zeros_like(w)
-    for _ in range(300):
-        z = x[~held] @ w
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        speed = 0.9 * speed - 4.0 * (x[~held].T @ (share * (p - y[~held])) + 1e-4 * w)
-        w += speed
+    y, held = np.eye(len(NOTICES) + 1, dtype=np.float32)[labels], np.array(unseen)
+    guess = x[held] @ _fit(x[~held], y[~held])
+    best = min(((t, b) for t in (0.5, 0.75, 1.0, 1.5, 2.0) for b in (0.0, 1.0, 2.0, 3.0)), key=lambda tb: _loss(guess, y[held], *tb))
+    w = _fit(x, y)
     strong = np.argsort(-(w[:-1, :-1].max(axis=1) - w[:-1, -1]), kind="stable")[:features]
     kept = np.zeros(len(w), bool)
     kept[strong] = True
     kept[-1] = True
     w[~kept] = 0
-    # Temperature and the bias of OTHER, on what training has not seen.
-    best = min(((t, b) for t in (0.5, 0.75, 1.0, 1.5, 2.0) for b in (0.0, 1.0, 2.0, 3.0)), key=lambda tb: _loss(x[held] @ w, y[held], *tb))
     w = w * best[0]
     w[-1, -1] += best[1]
     cues = {min(vocabulary[i].split(), key=lambda word: (held_by.get(word, 0), word)) for i in strong if w[i, :-1].max() > w[i, -1]}
-    return Model({vocabulary[i]: [round(float(v), 4) for v in w[i]] for i in strong}, [round(float(v), 4) for v in w[-1]], sorted(cues))
+    return Model({vocabulary[i]: [round(float(v), 4) for v in w[i]] for i in strong}, [round(float(v), 4) for v in w[-1]], sorted(cues), rarity(held_by, counted))
 
 
 def _loss(z: np.ndarray, y: np.ndarray, temperature: float, bias: float) -> float:
@@ -228,7 +263,7 @@ def _loss(z: np.ndarray, y: np.ndarray, temperature: float, bias: float) -> floa
     z[:, -1] += bias
     z = z - z.max(axis=1, keepdims=True)
     own = -(y * (z - np.log(np.exp(z).sum(axis=1, keepdims=True)))).sum(axis=1)
-    return float((own / y.sum(axis=0)[y.argmax(axis=1)]).sum())
+    return float((own * _shares(y)).sum())
 
 
 def _lower(text: Column) -> Column:
@@ -253,13 +288,15 @@ def classified(paragraphs: DataFrame, model: Model, *, threshold: float = THRESH
     families = F.slice("__p", 1, len(model.classes) - 1)
     best = F.array_position(families, F.array_max(families)).cast("int")
     guess = F.element_at(F.array(*[F.lit(c) for c in NOTICES]), best)
+    rare = F.from_json(F.lit(json.dumps(model.rare)), "map<string,double>")
     confirmed = F.lit(False)
-    for family, phrases in KEYS.items():
+    for family, notices in NOTICES.items():
         shares = []
-        for phrase in phrases:
-            need = sorted(grams(phrase.split()))
-            shares.append(F.size(F.array_intersect("__g", F.array(*[F.lit(g) for g in need]))) / len(need))
-        confirmed = F.when(F.col("__guess") == family, F.greatest(*shares) >= cover if len(shares) > 1 else shares[0] >= cover).otherwise(confirmed)
+        for notice in notices:
+            need = sorted(grams(tokens(notice)))
+            held = F.aggregate(F.array_intersect("__g", F.array(*map(F.lit, need))), F.lit(0.0), lambda s, g: s + F.element_at(rare, g))
+            shares.append(held / sum(model.rare[g] for g in need))
+        confirmed = F.when(F.col("__guess") == family, F.greatest(*shares) >= cover).otherwise(confirmed)
     rows = rows.withColumn("__guess", guess)
     family = F.when(F.col("probability") >= threshold, F.when(confirmed, F.col("__guess")).otherwise("unknown"))
     return rows.withColumn("family", family).drop("__w", "__g", "__z", "__p", "__guess")
@@ -268,13 +305,17 @@ def classified(paragraphs: DataFrame, model: Model, *, threshold: float = THRESH
 def candidates(text: Column, model: Model) -> Column:
     """The paragraphs of a text that may pass the threshold."""
     cue = "(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in model.cues) + ")(?![a-z0-9])"
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda p: p.rlike(cue))
+    return F.filter(paragraphs_of(text), lambda p: p.rlike(cue))
+
+
+def paragraphs_of(text: Column) -> Column:
+    """Runs of lines that are not blank."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), BREAK, -1), lambda p: p.rlike("[^ \\t\\r\\n\\x0b\\x0c]"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Every paragraph of every row, with its place; blank ones left out."""
-    rows = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "p"))
-    return rows.where(F.length(F.btrim("p")) > 0)
+    """Every paragraph of every row, with its place."""
+    return docs.select("doc_id", F.posexplode(paragraphs_of(F.col("text"))).alias("pos", "p"))
 
 
 def word_spread(docs: DataFrame) -> tuple[dict[str, int], int]:
@@ -291,8 +332,8 @@ def word_spread(docs: DataFrame) -> tuple[dict[str, int], int]:
 
 
 def sample_paragraphs(docs: DataFrame, size: int = SAMPLE) -> list[str]:
-    """A bounded sample of all paragraphs, those with the least hashes; training reads 60 words of each."""
-    rows = _lines(docs).select(F.xxhash64("doc_id", "pos", "p").alias("h"), F.substring("p", 1, 600).alias("p"))
+    """A bounded sample of all paragraphs, those with the least hashes."""
+    rows = _lines(docs).select(F.xxhash64("doc_id", "pos", "p").alias("h"), F.substring("p", 1, SAMPLE_CHARS).alias("p"))
     return [r["p"] for r in least_hashes(rows, "h", size).collect()]
 
 
@@ -305,7 +346,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     per = found.groupBy("doc_id", "__row").agg(
         F.count("family").alias("hits"), F.count_if(F.col("family") == "unknown").alias("unknown"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("probability")
     ).withColumnsRenamed({"doc_id": "__d", "__row": "__r"})
-    lines = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), lambda p: F.length(F.btrim(p)) > 0))
+    lines = F.size(paragraphs_of(F.col("text")))
     rows = docs.select("doc_id", F.xxhash64("text").alias("__row"), lines.cast("long").alias("n_paragraphs"))
     copies = rows.groupBy("doc_id", "__row").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").withColumnsRenamed({"doc_id": "__d2", "__row": "__r2"})
     out = rows.join(per, rows["doc_id"].eqNullSafe(per["__d"]) & (rows["__row"] == per["__r"]), "left")

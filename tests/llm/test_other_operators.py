@@ -346,12 +346,14 @@ def brute_family(model, paragraph):
     p = model.probabilities(paragraph)
     if 1 - p[-1] < licenses.THRESHOLD:
         return None
-    family, have = model.classes[int(p[:-1].argmax())], licenses.grams(licenses.tokens(paragraph))
-    for phrase in licenses.KEYS[family]:
-        need = licenses.grams(phrase.split())
-        if len(need & have) / len(need) >= licenses.COVER:
-            return family
-    return "unknown"
+    family = model.classes[int(p[:-1].argmax())]
+    return family if model.coverage(family, paragraph) >= licenses.COVER else "unknown"
+
+
+def brute_paragraphs(text):
+    import re
+
+    return [p for p in re.split("\n[ \t\r\x0b\x0c]*\n\\s*", text or "") if p.strip(" \t\r\n\x0b\x0c")]
 
 
 PARAGRAPHS = [
@@ -360,12 +362,12 @@ PARAGRAPHS = [
 
 
 def test_licences(spark, model):
-    texts = ["\n".join(PARAGRAPHS[k : k + 3]) for k in range(0, len(PARAGRAPHS), 3)] + [None, "", " \n\n", PARAGRAPHS[4], PARAGRAPHS[4]]
+    texts = [("\n\n" if k % 2 else "\n \t\n\n").join(PARAGRAPHS[k : k + 3]) for k in range(0, len(PARAGRAPHS), 3)] + [None, "", " \n\n", PARAGRAPHS[4], PARAGRAPHS[4]]
     frame = spark.createDataFrame([(None if n == 0 else min(n, len(texts) - 2), t, 1, "x") for n, t in enumerate(texts)], "doc_id long, text string, hits int, paragraph string")
     want = Counter()
     for n, t in enumerate(texts):
-        found = [f for p in (t or "").split("\n") if (f := brute_family(model, p))]
-        want[None if n == 0 else min(n, len(texts) - 2), sum(bool(p.strip()) for p in (t or "").split("\n")), len(found), found.count("unknown"), ",".join(sorted(set(found)))] += 1
+        found = [f for p in brute_paragraphs(t) if (f := brute_family(model, p))]
+        want[None if n == 0 else min(n, len(texts) - 2), len(brute_paragraphs(t)), len(found), found.count("unknown"), ",".join(sorted(set(found)))] += 1
     got = licenses.scan(frame, model)
     assert Counter(tuple(r)[:5] for r in got.collect()) == want
     assert licenses.scan(frame.limit(0), model).count() == 0
@@ -377,6 +379,22 @@ def test_licence_families_of_notices(model):
     assert not any(brute_family(model, g) for g in licenses.GENERAL)
 
 
+def test_licence_wordings_that_training_has_not_seen(model):
+    """Whole notices, wrapped over lines and amid other text, and words that only sound alike."""
+    new = {
+        "apache": "This file is made available to you under the\nApache License, Version 2.0, as it is.",
+        "mit": "All of this is licensed under\nthe MIT license, if you please.",
+        "gpl": "This program is free software; you may redistribute it and modify it under the terms of the\nGNU General Public License as published by the Free Software Foundation, version 2.",
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted, provided that the following conditions are met:",
+        "cc-by-nc": "Our photographs are licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.",
+        "mpl": "This file is subject to the terms of the Mozilla Public License, v. 2.0; see there.",
+    }
+    words = " ".join(["the river was long and the day was short"] * 10)
+    assert {f: brute_family(model, f"{words}\n{t}\n{words}") for f, t in new.items()} == {f: f for f in new}
+    for text in ("A gnu met an apache in a public garden, free of any license.", "Permission is not needed to redistribute a smile.", "Creative people attribute much to their students at MIT."):
+        assert brute_family(model, text) is None or brute_family(model, text) == "unknown"
+
+
 def test_licence_query(documents, pairs, folder):
     got = licenses.op10(documents.sparkSession, folder)
     assert Counter(r["doc_id"] for r in got.collect()) == Counter(i for i, _ in pairs)
@@ -404,11 +422,11 @@ def test_licence_lines_that_open_many_documents(spark, notices):
 def test_licence_word_spread(spark, notices):
     docs = spark.read.parquet(f"{notices}/documents.parquet")
     held, counted = licenses.word_spread(docs)
-    bags = [set(licenses.tokens(p)) for r in docs.collect() for p in r["text"].split("\n") if "MIT License" not in p]
+    bags = [set(licenses.tokens(r["text"])) for r in docs.collect() if "MIT License" not in r["text"]]
     own = {w for ns in licenses.NOTICES.values() for n in ns for w in licenses.tokens(n)}
-    assert counted == len(bags) == 1200
+    assert counted == len(bags) == 390
     assert held == Counter(w for bag in bags for w in bag & own)
-    assert held["conditions"] == 800
+    assert held["conditions"] == 390
     assert licenses.word_spread(docs.limit(0)) == ({}, 0)
     assert any("conditions" in p for p in licenses.sample_paragraphs(docs, 50))
 
