@@ -249,6 +249,64 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><
 <section class="comments"><h2>Comments</h2><p>Nice article, I liked it very much.</p></section><footer>&copy; site</footer>"""
 
 
+def test_html_cut_improves_unseen_pages():
+    """On laid-out pages that neither the fit nor the choice of edges has seen, the cut changes labels of
+    the classifier, and more for the better than for the worse."""
+    from logweir.llm import html_training
+
+    pages, how = html_training.labelled(range(50_000, 50_200)), html_extract.labeller()
+    alone = html_extract.Labeller(how.weights, 0, 0)
+    n = sum(len(p) for p, _ in pages)
+    changed = sum(a != b for p, _ in pages for a, b in zip(how.labels(p), alone.labels(p), strict=True))
+    assert changed > 0.005 * n
+    assert html_training.mistakes(pages, how) < 0.8 * html_training.mistakes(pages, alone) and html_training.mistakes(pages, how) < 0.025 * n
+
+
+@pytest.mark.parametrize("name", ["post-comments-enabled", "search-results-main", "comments-open has-ads", "main-sidebar-left", "page-search"])
+def test_html_wrappers_do_not_empty_the_page(name):
+    text = "A long text that stays here, for all to read it whenever they like."
+    for inner, want in ((f"<h1>A title</h1><p>{text}</p>", f"A title {text}"), (f"<p>{text}</p><p>{text}</p>", f"{text} {text}")):
+        assert html_extract.extract(f'<div class="{name}"><article>{inner}</article></div>') == want
+        assert html_extract.extract(f'<article><div class="{name}">{inner}</div></article>') == want or name == "main-sidebar-left"
+    assert html_extract.extract(f"<form id=page><h1>A title</h1><p>{text}</p></form>") == f"A title {text}"
+
+
+def test_html_links_around_blocks():
+    article = "<article><p>A text that stays here, for all to read.</p></article>"
+    teasers = '<div><a href="/q"><h3>Another story, told elsewhere</h3></a><a href="/z"><h3>Yet another one of them</h3></a></div>'
+    assert html_extract.extract(article + teasers) == "A text that stays here, for all to read."
+    linked = {b.text: b.linked for b in html_extract.blocks(f"{article}{teasers}<p>after</p>")}
+    assert linked["Another story, told elsewhere"] == len("Another story, told elsewhere") and linked["after"] == 0
+
+
+def test_html_comments_in_articles():
+    page = '<main><h1>Title of it</h1><p>A text that stays here, for all to read.</p></main><section id="comments"><article><p>I liked it very much, thank you.</p></article></section>'
+    assert html_extract.extract(page) == "Title of it A text that stays here, for all to read."
+
+
+def test_html_hostile_pages_take_linear_time():
+    import time
+
+    def took(n):
+        start = time.process_time()
+        html_extract.extract("<div><p>x" * n + "</b></section></table>" * n)
+        return time.process_time() - start
+
+    took(500)
+    assert took(16_000) < 12 * max(0.05, took(4_000))
+
+
+def test_html_tables(spark, tmp_path):
+    """An empty table, extra columns with working names, and a very long page."""
+    paragraph = "<p>A sentence of the article, as long as many others are.</p>"
+    rows = [(1, "u", f"<nav><a href=x>n</a></nav><article>{paragraph * 30_000}</article>", "t", 5)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int").write.parquet(str(tmp_path / "pages.parquet"))
+    got = html_extract.op5(spark, str(tmp_path)).collect()
+    assert len(got) == 1 and got[0]["n_chars"] == 30_000 * 55 - 1 and got[0]["text"].startswith("A sentence")
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_extract.extract_pages(empty).collect() == []
+
+
 def test_html():
     assert html_extract.extract(PAGE) == "Headline one First bold paraégraph. More Second: a<b. Item one Item two Last."
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<nav>x</nav>") == ""
