@@ -7,10 +7,11 @@ source, so no loop is needed.
 
 Curriculum. Each source has a schedule whose weight runs linearly from ``start`` to ``end`` over
 the training time 0..1. Its integral, scaled to the target, is the source's cumulative demand.
-Documents of a source stand in a fixed pseudo-random order (md5 of doc_id); the stream repeats
-them in whole epochs and then as far as the target goes, cutting the last document. A document
-copy that starts after ``c`` of the source's words gets the position at which the demand reaches
-``c``, by inverting the integral in closed form; documents are range-sorted by position.
+Documents of a source stand in a fixed pseudo-random order (md5 of doc_id), over and over. A
+document's copy that starts after ``c`` of the source's words gets the position at which the demand
+reaches ``c``, by inverting the integral in closed form; where the demand never comes so far by the
+end of training, it has no position. What a copy gives is the demand between its own position and that at which it ends,
+or the end of training: so the last copy is cut. Copies are range-sorted by position.
 
 Scale. Running sums over a source are taken in two steps: 4096 buckets of the md5 order give
 bucket totals and their running sum, then each (source, bucket) is summed alone. A source with a
@@ -60,19 +61,29 @@ def source_targets(sizes: DataFrame, *, weights=WEIGHTS, max_repeats: int = MAX_
     return found.select("source", "source_size", "rank", "weight", target.alias("target"))
 
 
-def _position(share: Column, rank: Column, schedules) -> Column:
-    """Inverts the integral of a linear schedule: the time at which ``share`` of the demand is met."""
+def _by_rank(rank: Column, schedules, of) -> Column:
+    """``of(start, end)`` of the schedule of a source's rank."""
     out = None
     for k, (a, b) in enumerate(schedules):
-        at = share if a == b else (F.sqrt(F.lit(a * a) + F.lit(b * b - a * a) * share) - a) / (b - a)
         case = rank % len(schedules) == k
-        out = F.when(case, at) if out is None else out.when(case, at)
+        out = F.when(case, of(a, b)) if out is None else out.when(case, of(a, b))
     return out
 
 
+def _position(share: Column, rank: Column, schedules) -> Column:
+    """Inverts the integral of a linear schedule: the time at which ``share`` of the demand is met."""
+    return _by_rank(rank, schedules, lambda a, b: share if a == b else (F.sqrt(F.lit(float(a * a)) + F.lit(float(b * b - a * a)) * share) - F.lit(float(a))) / F.lit(float(b - a)))
+
+
+def _demand(at: Column, rank: Column, schedules) -> Column:
+    """The share of a source's demand up to a time: the integral of its schedule."""
+    return _by_rank(rank, schedules, lambda a, b: (F.lit(float(a)) * at + F.lit((b - a) / 2.0) * at * at) / F.lit((a + b) / 2.0))
+
+
 def mixed(docs: DataFrame, *, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES) -> DataFrame:
-    """``docs`` plus size, source_size, target, taken, __before (words of its source before it)
-    and __rank. ``docs`` needs doc_id, text and source; other columns pass through."""
+    """``docs`` plus __size, __source_size, __target, __copies and __taken, their words together.
+    __copies has the training position and the words of each copy in training, in order. ``docs``
+    needs doc_id, text and source; other columns pass through."""
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.withColumns({"__size": word_count(F.col("text")), "__key": order, "__row": F.xxhash64("text")})
     rows = rows.withColumn("__bucket", F.substring("__key", 1, 3))
@@ -89,44 +100,54 @@ def mixed(docs: DataFrame, *, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, s
     rows = rows.join(starts, rows["source"].eqNullSafe(starts["__src"]) & (rows["__bucket"] == starts["__b"]))
     before = F.col("__start") + F.col("__inside")
     goal = F.floor("__target").cast("long")
-    epochs = F.when(F.col("__source_size") > 0, F.floor(goal / F.col("__source_size"))).otherwise(0).cast("long")
-    rest = goal - epochs * F.col("__source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("__size"), rest - before)).cast("long")
+    rows = rows.withColumns({"__before": before.cast("long"), "__goal": goal})
+    # A copy for each time that the source's words begin anew before the goal.
+    times = F.when((F.col("__size") > 0) & (F.col("__before") < goal), F.sequence(F.lit(0).cast("long"), F.floor((goal - 1 - F.col("__before")) / F.col("__source_size")).cast("long")))
+
+    def copy(epoch: Column) -> Column:
+        begins = epoch * F.col("__source_size") + F.col("__before")
+        return F.struct(epoch.alias("epoch"), _position(begins / F.col("__target"), F.col("__rank"), schedules).alias("at"), _position(F.least(begins + F.col("__size"), goal) / F.col("__target"), F.col("__rank"), schedules).alias("until"))
+
+    def words(c: Column) -> Column:
+        # Whole words: doubles hold the demand to far less than half a word.
+        met = F.col("__target") * (_demand(c["until"], F.col("__rank"), schedules) - _demand(c["at"], F.col("__rank"), schedules))
+        return F.struct(c["epoch"].alias("epoch"), c["at"].alias("at"), F.round(met).cast("long").alias("words"))
+
+    rows = rows.withColumn("__copies", F.coalesce(F.transform(F.transform(times, copy), words), F.array().cast("array<struct<epoch:bigint,at:double,words:bigint>>")))
     return rows.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        "__size", "__source_size", "__target", "__rank",
-        before.cast("long").alias("__before"), epochs.alias("__epochs"), part.alias("__part"),
-        (epochs * F.col("__size") + part).cast("long").alias("__taken"),
+        "__size", "__source_size", "__target", "__copies",
+        F.aggregate("__copies", F.lit(0).cast("long"), lambda s, c: s + c["words"]).alias("__taken"),
     )
 
 
-def copy_position(epoch: Column, schedules=SCHEDULES) -> Column:
-    """Training position of a document's copy in an epoch (0-based)."""
-    begins = epoch * F.col("__source_size") + F.col("__before")
-    share = F.when(F.col("__target") > 0, F.least(F.lit(1.0), begins / F.col("__target"))).otherwise(F.lit(0.0))
-    return _position(share, F.col("__rank"), schedules)
-
-
 def curriculum(docs: DataFrame, *, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES) -> DataFrame:
     """The training order: one row a copy of a document, with the columns of ``docs``, sorted by
     position. The copy that the target cuts keeps its first words only, up to the cut."""
     m = mixed(docs, weights=weights, max_repeats=max_repeats, schedules=schedules)
-    whole = F.transform(F.when(F.col("__size") > 0, F.sequence(F.lit(1).cast("long"), F.col("__epochs") + 1)).otherwise(F.array().cast("array<bigint>")), lambda e: e - 1)
-    copies = m.withColumn("__epoch", F.explode(whole))
-    copies = copies.where((F.col("__epoch") < F.col("__epochs")) | (F.col("__part") > 0))
-    cut = (F.col("__epoch") == F.col("__epochs")) & (F.col("__part") < F.col("__size"))
-    words = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), F.col("__part").cast("int"))
+    copies = m.withColumn("__copy", F.explode("__copies"))
+    cut = F.col("__copy.words") < F.col("__size")
+    words = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), F.col("__copy.words").cast("int"))
     text = F.when(cut, F.array_join(words, " ")).otherwise(F.col("text"))
-    copies = copies.withColumn("text", text).withColumn("__at", copy_position(F.col("__epoch"), schedules))
+    copies = copies.withColumn("text", text)
     if "n_chars" in docs.columns:
         copies = copies.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return copies.orderBy("__at", "doc_id", "__epoch").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return copies.orderBy("__copy.at", "doc_id", "__copy.epoch").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    out = m.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"), copy_position(F.lit(0)).alias("__at"))
-    return out.orderBy("__at", "doc_id").drop("__at")
+    at = F.transform("__copies", lambda c: c["at"])
+    out = m.select(
+        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"),
+        F.size("__copies").cast("long").alias("n_copies"), F.round(F.get(at, F.lit(0)), 9).alias("first_position"), F.round(F.get(at, F.size("__copies") - 1), 9).alias("last_position"),
+    )
+    return out.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+
+
+def _sql_position(begins: str) -> str:
+    cases = [f"WHEN {k} THEN " + (f"({begins}) / target" if a == b else f"(sqrt({a * a}::DOUBLE + {b * b - a * a}::DOUBLE * (({begins}) / target)) - {a}::DOUBLE) / {b - a}::DOUBLE") for k, (a, b) in enumerate(SCHEDULES)]
+    return f"CASE WHEN n_copies > 0 THEN round(CASE r % {len(SCHEDULES)} {' '.join(cases)} END, 9) END"
 
 
 OP3_SQL = f"""
@@ -143,14 +164,15 @@ WITH d AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
             / sum(weight) OVER (ORDER BY cap / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
 ), v AS (SELECT *, max(CASE WHEN level <= cap / weight THEN level END) OVER () AS water FROM l),
-t AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(water * weight, cap::DOUBLE)) AS target FROM v),
+t AS (SELECT source, source_size, r, least(cap::DOUBLE, coalesce(water * weight, cap::DOUBLE)) AS target FROM v),
 x AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS goal,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.r, floor(t.target)::BIGINT AS goal,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
        (CASE WHEN source_size > 0 THEN (goal // source_size) * size
-        + greatest(0, least(size, goal - (goal // source_size) * source_size - before)) ELSE 0 END)::BIGINT AS taken
-FROM x
+        + greatest(0, least(size, goal - (goal // source_size) * source_size - before)) ELSE 0 END)::BIGINT AS taken,
+       n_copies, {_sql_position("before")} AS first_position, {_sql_position("(n_copies - 1) * source_size + before")} AS last_position
+FROM (SELECT *, CASE WHEN size > 0 AND before < goal THEN (goal - 1 - before) // source_size + 1 ELSE 0 END::BIGINT AS n_copies FROM x)
 """

@@ -240,6 +240,26 @@ def test_curriculum_takes_what_the_mix_says(documents):
     assert mixing.curriculum(documents.limit(0)).count() == 0
 
 
+def test_schedules_decide_the_order(documents):
+    """Positions invert the cumulative demand, and with other schedules they move, not the amounts."""
+    rows = mixing.mixed(documents).collect()
+    kinds = {s: k % 3 for k, s in enumerate(sorted({r["source"] for r in rows if r["source"] is not None}, key=lambda s: s.encode()) + [None])}
+    for r in rows:
+        start, end = mixing.SCHEDULES[kinds[r["source"]]]
+        for n, c in enumerate(r["__copies"]):
+            assert 0 <= c["at"] < 1 and c["epoch"] == n and 0 < c["words"] <= r["__size"]
+            # The demand up to the position is a whole number of words, those before the copy.
+            steps = np.linspace(0, c["at"], 2001)
+            met = np.trapezoid(start + (end - start) * steps, steps) * r["__target"]
+            assert abs(met - round(met)) < 1e-3
+    flat = {(r["doc_id"], r["text"]): r["__taken"] for r in mixing.mixed(documents, schedules=((1.0, 1.0),)).collect()}
+    assert flat == {(r["doc_id"], r["text"]): r["__taken"] for r in rows}
+    # A source that fades comes earlier on the whole than one that grows.
+    early = [c["at"] for r in rows if kinds[r["source"]] == 0 for c in r["__copies"]]
+    late = [c["at"] for r in rows if kinds[r["source"]] == 2 for c in r["__copies"]]
+    assert np.mean(early) < np.mean(late)
+
+
 def test_sql_on_documents(folder):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet' where doc_id < 200")
