@@ -208,9 +208,16 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 def pack(docs: DataFrame, path: str | None = None, *, window: int = WINDOW, end_id: int = END_ID, group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
     """One row a piece, with the sequence that holds it and its offset there."""
     path = path or tokenizer_path()
-    groups = max(1, -(-docs.count() // group_pieces))
+    if with_ids:
+        # A piece then carries its ids, 16 kB for a full window of 4096.
+        group_pieces = max(1, group_pieces * 64 // window)
+    count, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # A document has one rest at most, and a token one byte at least: both kinds of groups are bounded.
+    rests, whole = (max(1, -(-n // group_pieces)) for n in (count, size // window))
     cut = pieces(docs, path, window=window, end_id=end_id, with_ids=with_ids)
-    cut = cut.withColumn("__group", F.pmod(F.xxhash64("__uid"), F.lit(groups)))
+    # Full windows need no partner: they are dealt evenly, apart from the rests, however long a document is.
+    own = F.xxhash64("__uid")
+    cut = cut.withColumn("__group", F.when(F.col("length") < window, F.pmod(own, F.lit(rests))).otherwise(F.lit(rests) + F.pmod(own, F.lit(whole))))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
 
     def place(key, rows):

@@ -38,6 +38,21 @@ def test_packing(documents, pairs, folder):
     assert zlib.crc32(kept["ids"]) == kept["ids_crc32"]
 
 
+def test_packing_in_many_groups(spark, documents):
+    """A document of very many windows is dealt over groups; numbers of sequences stay apart."""
+    long = spark.createDataFrame([(9000, "word and other things " * 40_000)], "doc_id long, text string")
+    rows = packing.pack(documents.select("doc_id", "text").union(long), group_pieces=4).collect()
+    assert len({r["sequence_id"] >> 32 for r in rows if r["doc_id"] == 9000}) > 3
+    by = defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 4096
+    assert all(len(by[r["sequence_id"]]) == 1 for r in rows if r["length"] == 4096)
+    starts = sorted((r["start"], r["length"]) for r in rows if r["doc_id"] == 9000)
+    assert [s for s, _ in starts] == [4096 * k for k in range(len(starts))]
+
+
 @pytest.mark.parametrize("text", ["don't STOP, it's 12.5!?! o'clock", "<|endoftext|> x", "İstanbul ΣΑΣ", "a b", "x÷y ×3 ...,,, !?", "ß ÿ Ÿ Œuvre", " \t\n", "naïve—dash", "é", "ab" * 500])
 def test_words_encode_as_texts(text):
     encoder = packing.Encoder.of(packing.tokenizer_path())
