@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,11 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables written to the shared folder, to cut lineage and to outlive lost executors."""
+    """Tables written to the shared folder, to cut lineage and to outlive lost executors.
+
+    They stay as long as a result may read them: to the end of the program, or until ``discard``."""
+
+    opened: list["Scratch"] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        if not Scratch.opened:
+            atexit.register(Scratch.discard_since, 0)
+        Scratch.opened.append(self)
+
+    @staticmethod
+    def discard_since(mark: int) -> None:
+        """Deletes the tables of all that were opened from the ``mark``-th on."""
+        late, Scratch.opened[mark:] = Scratch.opened[mark:], []
+        for scratch in late:
+            try:
+                delete(scratch.spark, scratch.root)
+            except Exception:
+                # The session may be gone; then what is left is the owner of the folder's to remove.
+                return
 
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
