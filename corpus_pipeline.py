@@ -60,8 +60,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, mark = docs, len(Scratch.opened)
         docs = scratch.write(stage(spark, docs, sf_dir))
+        # Nothing reads the stage's own tables, or its input, any more.
+        Scratch.discard_since(mark)
+        if k:
+            scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
