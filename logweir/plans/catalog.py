@@ -6,6 +6,7 @@ is a fixed time, so that results do not change.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,12 @@ from pyspark.sql import functions as F
 from logweir.functions import ages, blobs, ids, traces
 from logweir.operators import batching, cursors, filters, gaps, health, log, progress, retries, shards, waiting
 from logweir.operators.ordering import with_position
+from logweir.options import StreamOptions
 from logweir.sources import polling, tables
+from logweir.sources.blobs import Bucket
+from logweir.sources.stored import ErrorStore, StoredLog, append_parquet, fill_gaps
+from logweir.storage import shared_dir
+from logweir.streaming.run import Consumer, Spec, run
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -110,9 +116,9 @@ def noop_filtered(spark, folder):
     return _plain(log.without_noops(_noops(spark, folder)))
 
 
-@query(f"WITH {LOG}, {NOOPS} SELECT id, type, foreign_id FROM noops WHERE id % 25 = 0")
+@query(f"WITH {LOG}, {NOOPS} SELECT id, type, foreign_id FROM noops")
 def noop_included(spark, folder):
-    return _noops(spark, folder).where(F.col("id") % 25 == 0).select("id", "type", "foreign_id")
+    return _noops(spark, folder).select("id", "type", "foreign_id")
 
 
 @query(f"WITH {LOG}, {NOOPS}, p AS (SELECT * FROM noops WHERE id > 300 ORDER BY id LIMIT 200) SELECT count(*) FILTER (WHERE NOT (foreign_id = '0' AND type = 0)) AS returned, count(*) FILTER (WHERE foreign_id = '0' AND type = 0) AS dropped, coalesce(max(id), 300)::BIGINT AS next_cursor FROM p")
@@ -120,11 +126,11 @@ def noop_page_override(spark, folder):
     return log.page_with_override(_noops(spark, folder), 300, 200)
 
 
-@query(f"WITH {LOG} SELECT id, type, foreign_id, NULL::VARCHAR AS metadata FROM log WHERE id <= 100")
+@query(f"WITH {LOG} SELECT id, type, foreign_id, NULL::VARCHAR AS metadata FROM log")
 def projection_without_metadata(spark, folder):
     from logweir.schema import EventColumns
 
-    rows = EventColumns().read(_log(spark, folder)).where("id <= 100")
+    rows = EventColumns().read(_log(spark, folder))
     return rows.select("id", "type", "foreign_id", F.col("metadata").cast("string").alias("metadata"))
 
 
@@ -146,19 +152,30 @@ def gap_fill(spark, folder):
     return _plain(gaps.filled(_holes(spark, folder)))
 
 
-@query(f"WITH {LOG}, {HOLES} SELECT id FROM holes WHERE id > 996 AND id < 0")
+def _behind(cursor: int) -> str:
+    return f"(SELECT id FROM holes WHERE id > {cursor} AND id < coalesce((SELECT min(next) FROM (SELECT coalesce(lag(id) OVER (ORDER BY id), {cursor}) AS prev, id AS next FROM holes WHERE id > {cursor}) WHERE next <> prev + 1), 9223372036854775807))"
+
+
+@query(f"WITH {LOG}, {HOLES} SELECT 990 AS cursor, id FROM {_behind(990)} UNION ALL SELECT 996, id FROM {_behind(996)} UNION ALL SELECT 997, id FROM {_behind(997)}")
 def gap_to_head(spark, folder):
-    """Cursor right before a hole: nothing more is delivered."""
-    return gaps.contiguous(_holes(spark, folder), 996).select("id")
+    """Cursors some events before a hole, right before it, and in it."""
+    held = _holes(spark, folder)
+    parts = [gaps.contiguous(held, c).select(F.lit(c).alias("cursor"), "id") for c in (990, 996, 997)]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
-@query(f"WITH {LOG}, l AS (SELECT id FROM log WHERE id >= 100), p AS (SELECT coalesce(lag(id) OVER (ORDER BY id), 98) AS prev, id AS next FROM l) SELECT 'empty' AS cursor, count(*) AS n FROM l WHERE false UNION ALL SELECT 'set', count(*) FILTER (WHERE next <> prev + 1) FROM p")
+@query(f"WITH {LOG}, l AS (SELECT id FROM log WHERE id >= 100), p AS (SELECT lag(id) OVER (ORDER BY id) AS prev, id AS next FROM l) SELECT 'empty' AS cursor, count(*) FILTER (WHERE prev IS NOT NULL AND next <> prev + 1) AS n FROM p UNION ALL SELECT 'set', count(*) FILTER (WHERE next <> coalesce(prev, 98) + 1) FROM p")
 def gap_empty_cursor_vs_cursor(spark, folder):
     late = _log(spark, folder).where("id >= 100")
     one = lambda name, c: gaps.gaps(late, c).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("cursor"), "n")
     return one("empty", 0).union(one("set", 98))
 
 
+@query(f"WITH {LOG} SELECT id, type FROM log")
+def log_order_check(spark, folder):
+    return log.checked_increasing(_log(spark, folder).orderBy("id")).select("id", "type")
+
+
 # Filters.
 
 
@@ -386,14 +403,79 @@ def poll_pages(spark, folder):
 # Inserts.
 
 
-@query(f"WITH {LOG}, h AS (SELECT max(id) AS head FROM log), o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS k, o_custkey FROM orders WHERE o_orderkey % 10 = 1) SELECT k + head AS id, 3 AS type, CAST(o_custkey AS VARCHAR) AS foreign_id FROM o, h")
+@query(f"WITH {LOG}, h AS (SELECT max(id) AS head FROM log), o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS k, o_custkey FROM orders) SELECT k + head AS id, 3 AS type, CAST(o_custkey AS VARCHAR) AS foreign_id FROM o, h")
 def insert_events(spark, folder):
-    """A tenth of the orders as new events behind the head."""
-    rows = tables.parquet(spark, folder, "orders").where("o_orderkey % 10 = 1").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("foreign_id"), F.lit(3).alias("type"))
+    """The orders as new events behind the head."""
+    rows = tables.parquet(spark, folder, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("foreign_id"), F.lit(3).alias("type"))
     head = log.head_id(_log(spark, folder))
     return log.new_events(spark, rows, head, now=_now()).select("id", "type", "foreign_id")
 
 
+# Stored tables: written to the shared folder, and read again.
+
+
+def _place(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS id, o_custkey FROM orders), n AS (SELECT count(*) AS n FROM o), c AS (SELECT row_number() OVER (ORDER BY c_custkey) AS k, c_nationkey FROM customer) SELECT id, 3 AS type, CAST(o_custkey AS VARCHAR) AS foreign_id, NULL AS metadata FROM o UNION ALL SELECT k + n, 4, CAST(c_nationkey AS VARCHAR), 'customer' FROM c, n")
+def log_append(spark, folder):
+    """Orders, then customers, appended to a log in two batches."""
+    stored = StoredLog(spark, _place(spark, "log"))
+    stored.append(tables.parquet(spark, folder, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("foreign_id"), F.lit(3).alias("type")))
+    stored.append(tables.parquet(spark, folder, "customer").select(F.col("c_custkey").alias("seq"), F.col("c_nationkey").alias("foreign_id"), F.lit(4).alias("type"), F.encode(F.lit("customer"), "UTF-8").alias("metadata")))
+    return stored.events().select("id", "type", "foreign_id", F.col("metadata").cast("string").alias("metadata"))
+
+
+@query(f"WITH {LOG}, {HOLES}, m AS (SELECT max(id) AS top FROM holes) SELECT id, type, foreign_id FROM holes UNION ALL SELECT id, 0, '0' FROM log, m WHERE (id - 1) % 997 = 996 AND id < top")
+def gap_fill_log(spark, folder):
+    """Holes closed in the log itself by the listener's filler."""
+    stored = StoredLog(spark, _place(spark, "log"))
+    append_parquet(stored.columns.write(_holes(spark, folder)), stored.path)
+    fill_gaps(stored).poll()
+    return stored.events().select("id", "type", "foreign_id")
+
+
+@query(f"WITH {LOG} SELECT 'c' || type AS id, CAST(max(id) AS VARCHAR) AS last_event_id FROM log GROUP BY 1")
+def cursor_table(spark, folder):
+    """A consumer a type: its cursor is set twice, and read by another store of the same table."""
+    url = _place(spark, "cursors")
+    store = cursors.TableCursors(spark, url, buffered=False)
+    # One row a type.
+    for row in _log(spark, folder).groupBy("type").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).collect():
+        for c in sorted({row["lo"], row["hi"]}):
+            store.set(f"c{row['type']}", str(c))
+    return cursors.TableCursors(spark, url).table().select("id", "last_event_id")
+
+
+def _calls(spark, folder) -> DataFrame:
+    rows = _log(spark, folder).where("type = 2")
+    return rows.select(F.col("id").alias("seq"), F.concat(F.lit("c"), F.col("id") % 3).alias("consumer"), F.col("foreign_id").alias("event_id"), F.concat(F.lit("e"), "id").alias("error_msg"), F.col("timestamp").alias("at"))
+
+
+@query(f"WITH {LOG}, c AS (SELECT id, 'c' || (id % 3) AS consumer, foreign_id AS event_id FROM log WHERE type = 2) SELECT consumer, event_id, 'e' || min(id) AS error_msg, 1 AS error_status, count(*) AS events FROM c GROUP BY 1, 2")
+def error_store(spark, folder):
+    """Failed calls in two batches: those of the second that exist stay as they are; an event a call."""
+    store, calls = ErrorStore(spark, _place(spark, "errors")), _calls(spark, folder)
+    middle = calls.agg(F.expr("percentile(seq, 0.5)")).first()[0] or 0
+    store.record(calls.where(F.col("seq") <= middle))
+    store.record(calls.where(F.col("seq") > middle))
+    events = store.events.events().groupBy("foreign_id").agg(F.count(F.lit(1)).alias("events"))
+    rows = store.errors()
+    return rows.join(events, rows["id"].cast("string") == events["foreign_id"]).select("consumer", "event_id", "error_msg", "error_status", "events")
+
+
+@query(f"WITH {LOG}, {NOOPS} SELECT id, type, foreign_id FROM noops WHERE NOT (foreign_id = '0' AND type = 0)")
+def live_to_head(spark, folder):
+    """The streaming source and the run loop: a stored log drained to its head in bounded batches."""
+    path, out = _place(spark, "log"), _place(spark, "seen")
+    _noops(spark, folder).write.parquet(path)
+    held = cursors.TableCursors(spark, _place(spark, "cursors"))
+    consumer = Consumer("live", lambda batch, _: append_parquet(batch.select("id", "type", "foreign_id"), out))
+    run(spark, Spec(path, held, consumer, StreamOptions(to_head=True)), _place(spark, "checkpoint"))
+    return spark.read.schema("id long, type int, foreign_id string").parquet(out)
+
+
 # Blob cursors: a blob a day.
 
 
@@ -415,10 +497,18 @@ def blob_ids(spark, folder):
     return _blob_ids(spark, folder).select("id", "cursor")
 
 
-@query(f"WITH {_BLOBS} SELECT id, cursor FROM b WHERE key > '2024/01/02' OR key = '2024/01/02' AND offset_ > 5")
+@query(f"WITH {_BLOBS} SELECT id, key AS day FROM b WHERE key > '2024/01/02' OR key = '2024/01/02' AND offset_ > 5")
 def blob_resume(spark, folder):
-    at = F.lit("2024/01/02")
-    return _blob_ids(spark, folder).where((F.col("key") > at) | (F.col("key") == at) & (F.col("offset") > 5)).select("id", "cursor")
+    """A blob of JSON records for each day, read on from the sixth record of the second of January."""
+    url = _place(spark, "blobs")
+    rows = _log(spark, folder).select(F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "id", F.to_json(F.struct("id", "foreign_id")).alias("value"))
+    rows.repartition("day").sortWithinPartitions("day", "id").select("day", "value").write.partitionBy("day").text(url)
+    bucket = Bucket(url, "day=")
+    # One key a day.
+    keys = [r["key"] for r in bucket.blobs(spark).select("key").where(F.col("key").startswith("day=2024-01-02/")).collect()]
+    events = bucket.stream(spark, f"{keys[0]}|01|5" if keys else "")
+    record = F.from_json(F.col("metadata").cast("string"), "id long, foreign_id string")
+    return events.select(record["id"].alias("id"), F.translate(F.substring("id", 5, 10), "-", "/").alias("day"))
 
 
 @query(f"WITH {_BLOBS} SELECT id, key, CASE WHEN offset_ = n_1 THEN NULL ELSE offset_ END AS offset_, offset_ = n_1 AS eof FROM (SELECT b.*, max(offset_) OVER (PARTITION BY key) AS n_1 FROM b)")
