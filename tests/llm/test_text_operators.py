@@ -138,7 +138,7 @@ def test_strips_split_large_regions(documents, spark):
     frame = spark.createDataFrame(texts, "doc_id long, text string")
     scratch = Scratch(spark, "strips")
     parts = chunks.Chunks(frame, scratch)
-    parts.count_keys(1, lambda d: np.concatenate(jaccard_join.shingle_sets(d.texts, 5)), exact=False)
+    parts.count_keys(1, lambda d: np.concatenate(jaccard_join.shingle_sets(d.texts, 5)))
     sets = scratch.write(parts.each(lambda d: jaccard_join._sets(d, 5, 75), jaccard_join._SETS))
     found = components(jaccard_join.find_links(sets, scratch, strip=8), scratch)
     got = {r["node"]: r["component"] for r in found.collect()}
