@@ -1,5 +1,7 @@
 """Every registered log query against its SQL, on the smallest tables."""
 
+import ast
+import inspect
 import os
 
 import duckdb
@@ -38,3 +40,25 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
+
+
+def test_catalog_defines_each_name_once():
+    names = [node.name for node in ast.parse(inspect.getsource(catalog)).body if isinstance(node, ast.FunctionDef)]
+    assert sorted(names) == sorted(set(names))
+
+
+@pytest.fixture
+def twelve(spark, tmp_path):
+    """Events 1 to 12: the retries of 4, 5, 10 and 11 run out; the error of 5 is expected."""
+    kinds = {4: "click", 5: "error", 11: "view"}
+    events = [(i - 1, i, kinds.get(i, "purchase"), "{}") for i in range(1, 13)]
+    frame = spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string")
+    frame.selectExpr("*", "timestamp_ntz '2024-01-01 00:00:00' AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def test_dead_letter_rows(spark, twelve):
+    got = catalog.queries()["dead_letter_rows"](spark, twelve).orderBy("id").collect()
+    assert [(r["id"], r["consumer"], r["event_id"], r["error_msg"], r["error_status"]) for r in got] == [
+        (1, "consumer_1", "4", "failure 0", 1), (2, "consumer_3", "10", "failure 0", 1), (3, "consumer_5", "11", "failure 0", 1),
+    ]
