@@ -62,3 +62,10 @@ def test_dead_letter_rows(spark, twelve):
     assert [(r["id"], r["consumer"], r["event_id"], r["error_msg"], r["error_status"]) for r in got] == [
         (1, "consumer_1", "4", "failure 0", 1), (2, "consumer_3", "10", "failure 0", 1), (3, "consumer_5", "11", "failure 0", 1),
     ]
+
+
+def test_dead_letter_events(spark, twelve):
+    got = catalog.queries()["dead_letter_events"](spark, twelve).orderBy("id").collect()
+    assert [(r["id"], r["type"], r["foreign_id"], r["metadata"]) for r in got] == [
+        (1, 1, "1", "consumer_1"), (2, 1, "1", "consumer_1"), (3, 1, "2", "consumer_3"), (4, 1, "2", "consumer_3"), (5, 1, "3", "consumer_5"), (6, 1, "3", "consumer_5"),
+    ]
