@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,43 @@ class Scratch:
         delete(self.spark, df.scratch_path)
 
 
+class Recent(dict):
+    """What a worker keeps by word: words met lately, in two generations of about ``size``.
+
+    A full generation becomes the old one, and the old one's words that are not met again go with
+    it. Most distinct words of a corpus occur once, so a bound costs little; workers outlive their
+    tasks and stages, so without one each holds what all of them met."""
+
+    def __init__(self, size: int):
+        self.size, self.old = size, {}
+
+    def __missing__(self, word):
+        value = self[word] = self.old[word]
+        return value
+
+    def absent(self, words: Iterable) -> list:
+        """Those of ``words`` that neither generation holds."""
+        old = self.old
+        return [w for w in words if w not in self and w not in old]
+
+    def age(self) -> None:
+        """Begins a generation if this one is full; no word may be in use meanwhile."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+
+#: Rows of a batch that become Python objects at once.
+SLICE = 500
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in small batches, which share their memory."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only.
 

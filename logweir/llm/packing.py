@@ -9,8 +9,8 @@ takes it. A segment tree over the room left, 0..window, finds that window in a d
 group's memory is fixed, and only its last windows may be loosely filled.
 
 Tokenising. A text of ordinary Latin characters splits at white space, and no token of this
-vocabulary spans white space, so ids of each distinct word are computed once, by the tokenizer or,
-for words of letters, by the same merges in a faster library, and kept. Any other text, and any that
+vocabulary spans white space, so ids are computed by distinct word, by the tokenizer or, for words
+of letters, by the same merges in a faster library, and kept for the words met lately. Any other text, and any that
 may hold a special token, goes to the tokenizer whole.
 
 Edge cases. A null or empty text is the closing id alone. Repeated rows and null doc_ids are packed
@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm.common import table
+from logweir.llm.common import Recent, slices, table
 
 WINDOW, END_ID = 4096, 2
 #: Pieces in one packing group, on average.
 GROUP_PIECES = 32_768
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 1_000_000
+#: Distinct words of a generation (``Recent``) whose ids a worker keeps.
+CACHE_WORDS = 200_000
 #: Anything else than ASCII text and plain Latin letters, whose case and composition are settled.
 _OTHER = re.compile("[^\\x09-\\x0d\\x20-\\x7e\\u00c0-\\u0100\\u0101-\\u012f\\u0131-\\u0148\\u014a-\\u017e]|<\\|")
 
@@ -89,7 +89,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), Recent(CACHE_WORDS)
         self.merge = _word_merger(path)
 
     @classmethod
@@ -104,10 +104,10 @@ class Encoder:
     def _learn(self, new: Iterable[str]) -> None:
         """Adds words: letters, letters before closing marks, and others as they are."""
         stems = {w: w.rstrip(".,!?") for w in new}
-        marks = {m for w, s in stems.items() if (m := w[len(s) :]) and m not in self.known}
+        marks = self.known.absent({m for w, s in stems.items() if (m := w[len(s) :])})
         odd = [w for w, s in stems.items() if not s.isalpha()]
         self.known.update(zip([*marks, *odd], self._ids([*marks, *odd]), strict=True) if marks or odd else ())
-        plain = [s for s in {s for s in stems.values() if s.isalpha()} if s not in self.known]
+        plain = self.known.absent({s for s in stems.values() if s.isalpha()})
         if self.merge is None:
             self.known.update(zip(plain, self._ids(plain), strict=True) if plain else ())
         else:
@@ -124,12 +124,11 @@ class Encoder:
         if _OTHER.search(text):
             return self._ids([text])[0]
         words = text.lower().split()
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        self.known.age()
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            self._learn({w for w in words if w not in self.known})
+            self._learn(self.known.absent(set(words)))
         return b"".join(map(self.known.__getitem__, words))
 
 
@@ -142,7 +141,7 @@ def pieces(docs: DataFrame, path: str, *, window: int = WINDOW, end_id: int = EN
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encoder.encode(text) + end

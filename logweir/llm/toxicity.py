@@ -36,12 +36,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweir.llm.common import least_hashes, table
+from logweir.llm.common import Recent, least_hashes, slices, table
 
 #: Labelled rows of each class that the curve is fitted to; the longest n-gram in bytes; words of a passage.
 SAMPLE, ORDER, PASSAGE = 3000, 7, 2
 THRESHOLD = 0.7
-CACHE_WORDS = 400_000
+#: Distinct words that a task counts before it hands them on; words of a generation (``Recent``) whose ratios it keeps.
+CACHE_WORDS, KNOWN_WORDS = 400_000, 100_000
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»„“”‘’…–—"
 
 
@@ -94,7 +95,7 @@ class RatioModel:
     def __init__(self, grams: np.ndarray, ratio: np.ndarray, contexts: np.ndarray, weight: np.ndarray, order: int):
         self.grams, self.ratio, self.contexts, self.weight, self.order = grams, ratio, contexts, weight, order
         #: Log ratio and bytes, with the closing mark, of words met so far.
-        self.known: dict[str, tuple[float, int]] = {}
+        self.known: dict[str, tuple[float, int]] = Recent(KNOWN_WORDS)
 
     @classmethod
     def fit(cls, bags: tuple[dict[str, float], dict[str, float]], order: int = ORDER) -> "RatioModel":
@@ -138,7 +139,7 @@ class RatioModel:
 
     def learn(self, bag: Iterable[str]) -> None:
         """Scores words that are not known yet."""
-        new = [w for w in bag if w not in self.known]
+        new = self.known.absent(bag)
         if not new:
             return
         code, owner = _codes(new, self.order)
@@ -155,8 +156,7 @@ class RatioModel:
         every = words(text)
         if not every:
             return 0.0, 0.0, 0.0
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        self.known.age()
         self.learn(set(every))
         known = self.known
         sums = np.zeros((len(every) + 1, 2))
@@ -223,7 +223,7 @@ def _gram_counts(rows: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(bag.keys(), pa.string()), kind, pa.array(bag.values(), pa.int64())], names=["w", "kind", "n"])
             bags.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, y, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 bags[y, half].update(words(text))
             if sum(map(len, bags.values())) > CACHE_WORDS:
@@ -277,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, size: int = SAMPLE, order: int =
     halves = spark.sparkContext.broadcast([model(counts[1 - k] if split else both) for k in range(2)])
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [(y, *_inputs(halves.value[half].features(text))) for text, y, half in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             cols = list(zip(*found, strict=True)) if found else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in cols], names=list("yabcd"))
@@ -298,7 +298,7 @@ def scored(docs: DataFrame, scorer: Scorer, *, column: str = "score") -> DataFra
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = pa.array([sent.value.score(t) for t in batch.column(at).to_pylist()], pa.float64())
+            scores = pa.array([sent.value.score(t) for part in slices([batch]) for t in part.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, column])
 
     return docs.mapInArrow(add, out)

@@ -6,9 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logweir.llm import html_extract, licenses, media, packing, registry, toxicity, vector_dedup
+from logweir.llm.common import slices
 
 
 def test_packing(documents, pairs, folder):
@@ -59,6 +61,49 @@ def test_words_encode_as_texts(text):
     assert encoder.encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def distinct_words(n, each=1000):
+    """Texts of ``n`` different words of letters, with one word that all texts hold."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    every = ["".join(letters[i // 26**k % 26] for k in range(5)) for i in range(n)]
+    return [" ".join(["everywhere", *every[i : i + each]]) for i in range(0, n, each)]
+
+
+def held(known):
+    return len(known) + len(known.old)
+
+
+def test_words_a_packing_worker_keeps_are_bounded(monkeypatch):
+    encoder = packing.Encoder(packing.tokenizer_path())
+    for text in distinct_words(600_000):
+        encoder.encode(text)
+    assert len(encoder.known) + len(getattr(encoder.known, "old", ())) <= 2 * 201_001
+    # Old words are met again, new ones learnt and others forgotten: the ids stay the same.
+    monkeypatch.setattr(packing, "CACHE_WORDS", 8)
+    small, texts = packing.Encoder(packing.tokenizer_path()), distinct_words(60, 6) * 2 + ["It's 12.5, it's 13!?", "stop. STOP! stop", "it's stop, 13!?"] * 3
+    for text in texts:
+        assert small.encode(text) == small._ids([text])[0]
+        assert held(small.known) < 60
+
+
+def test_words_a_toxicity_worker_keeps_are_bounded(monkeypatch):
+    model = toxicity.RatioModel.fit(BAGS)
+    for text in distinct_words(300_000):
+        model.features(text)
+    assert len(model.known) + len(getattr(model.known, "old", ())) <= 2 * 101_001
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 8)
+    small, texts = toxicity.RatioModel.fit(BAGS), distinct_words(60, 6) * 2 + ["abc abd idiot xyz", "idiot", "xyw xyw abc"] * 3
+    for text in texts:
+        assert small.features(text) == model.features(text)
+        assert held(small.known) < 60
+
+
+def test_batches_become_objects_in_slices():
+    batches = [pa.RecordBatch.from_pydict({"n": list(range(n))}) for n in (1201, 0, 3)]
+    found = list(slices(batches))
+    assert max(b.num_rows for b in found) == 500
+    assert [n for b in found for n in b.column(0).to_pylist()] == [*range(1201), *range(3)]
+
+
 def test_best_fit_matches_a_scan():
     rng = np.random.default_rng(4)
     lengths = np.sort(rng.integers(1, 101, 400))[::-1]
