@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import html_extract, jaccard_join, licenses, line_dedup, media, mixing, packing, suffix_dedup, toxicity, vector_dedup
+from logweir.llm import filter_audit, html_extract, jaccard_join, licenses, line_dedup, media, mixing, packing, phrases, quality_rules, suffix_dedup, toxicity, vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": packing.op7,
         "op8_media_columns": media.op8,
         "op10_license_scans": licenses.op10,
+        "op11_filter_audit": filter_audit.op11,
+        "op12_phrase_mining": phrases.op12,
+        "op13_quality_rules": quality_rules.op13,
         "op9_toxicity": toxicity.op9,
     }
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.OP1_SQL,
         "op3_mixing": mixing.OP3_SQL,
+        "op11_filter_audit": filter_audit.OP11_SQL,
+        "op12_phrase_mining": phrases.OP12_SQL,
     }
