@@ -39,6 +39,10 @@ class InvalidEvent(LogError):
     """An event that may not be inserted."""
 
 
+class ReservationLost(LogError):
+    """Ids that a writer had reserved were given to another in the meantime."""
+
+
 class DeserializationError(LogError):
     """Metadata that its reader cannot decode."""
 

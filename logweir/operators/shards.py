@@ -36,7 +36,7 @@ def with_shards(events: DataFrame, n: int, by: str | Column = BY_ID) -> DataFram
 
 def parallel(events: DataFrame, n: int, by: str | Column = BY_ID) -> DataFrame:
     """Events dealt to n partitions by shard, each in order of ids."""
-    return with_shards(events, n, by).repartition(n, "shard").sortWithinPartitions("shard", "id")
+    return with_shards(events, n, by).repartitionByRange(n, "shard").sortWithinPartitions("shard", "id")
 
 
 def names_table(spark: SparkSession, base: str, n: int) -> DataFrame:

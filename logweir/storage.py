@@ -9,6 +9,8 @@ from urllib.parse import quote, unquote
 
 from pyspark.sql import SparkSession
 
+from logweir.commits import create_once
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -31,17 +33,16 @@ def delete(spark: SparkSession, url: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Marks a file that was written to its end.
-_WHOLE = b"\n"
 #: Versions of a record that stay.
-_KEEP = 3
+_KEEP = 8
 
 
 class Versions:
-    """Records by name, each a series of numbered versions that are created and never changed.
+    """Records by name, each a series of numbered versions that are created whole and never changed.
 
     A version is created only if its number is free, so that of two writers one wins; the other reads
-    again and decides anew. A version that broke off while it was written does not count."""
+    again and decides anew. Old versions are deleted; a writer that slept while that happened
+    may create one of their numbers again, finds far higher ones, and takes that as lost."""
 
     def __init__(self, spark: SparkSession, url: str):
         self.spark, self.url = spark, url.rstrip("/")
@@ -55,35 +56,36 @@ class Versions:
         root = self.path(self.url)
         return sorted(unquote(s.getPath().getName()) for s in self.fs.listStatus(root)) if self.fs.exists(root) else []
 
-    def last(self, name: str) -> tuple[int, bytes | None]:
-        """The highest number taken, and the last whole record."""
+    def _number(self, name: str) -> int:
         folder = self._folder(name)
         if not self.fs.exists(folder):
-            return 0, None
-        numbers = sorted((int(s.getPath().getName()) for s in self.fs.listStatus(folder) if s.getPath().getName().isdigit()), reverse=True)
-        for number in numbers:
-            stream = self.fs.open(self.path(folder, f"{number:020d}"))
+            return 0
+        return max((int(s.getPath().getName()) for s in self.fs.listStatus(folder) if s.getPath().getName().isdigit()), default=0)
+
+    def last(self, name: str) -> tuple[int, bytes | None]:
+        """The highest number, and its record."""
+        while number := self._number(name):
+            try:
+                stream = self.fs.open(self.path(self._folder(name), f"{number:020d}"))
+            except Exception:
+                # Between the look and the reading, enough versions came to have this one deleted.
+                if self._number(name) == number:
+                    raise
+                continue
             try:
-                raw = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+                return number, bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
             finally:
                 stream.close()
-            if raw.endswith(_WHOLE):
-                return numbers[0], raw[: -len(_WHOLE)]
-        return (numbers[0] if numbers else 0), None
+        return 0, None
 
     def create(self, name: str, number: int, record: bytes) -> bool:
         """Whether this writer got the number."""
-        folder = self._folder(name)
-        try:
-            stream = self.fs.create(self.path(folder, f"{number:020d}"), False)
-        except Exception as e:
-            if "already exists" in str(e).lower() or "alreadyexists" in str(e).lower():
-                return False
-            raise
-        try:
-            stream.write(bytearray(record + _WHOLE))
-        finally:
-            stream.close()
+        folder = f"{self.url}/{quote(name, safe='')}"
+        if not create_once(self.spark, f"{folder}/{number:020d}", record):
+            return False
+        if self._number(name) >= number + _KEEP:
+            self.fs.delete(self.path(f"{folder}/{number:020d}"), False)
+            return False
         if number > _KEEP:
-            self.fs.delete(self.path(folder, f"{number - _KEEP:020d}"), False)
+            self.fs.delete(self.path(f"{folder}/{number - _KEEP:020d}"), False)
         return True

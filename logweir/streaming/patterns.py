@@ -6,21 +6,23 @@ not acknowledge, or held in an open batch, is read again.
 
 from __future__ import annotations
 
-import threading
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from datetime import timedelta
+from multiprocessing.pool import ThreadPool
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweir.errors import BatchState, InvalidBatchConfig
-from logweir.operators import batching, shards
-from logweir.operators.filters import outcome
+from logweir.errors import FilterError, InvalidBatchConfig, Stopped, is_expected
+from logweir.operators import shards
+from logweir.operators.filters import consumer_outcome, outcome
 from logweir.operators.waiting import awaited
 from logweir.options import StreamOptions
+from logweir.schema import EVENT
+from logweir.streaming import batches
 from logweir.streaming.run import Consumer, CursorStore, Spec
 
 
@@ -34,122 +36,82 @@ def acknowledging(name: str, consume: Callable[[DataFrame, Callable[[int], None]
     return Consumer(name, lambda batch, _: consume(batch, ack), sets_cursor=False, **options)
 
 
-#: Seconds that a batch whose time is over already still waits for more.
-LEAST_WAIT = 0.1
+@dataclass
+class BatchConsumer(Consumer):
+    """Hands over batches of a length, or of a period from their first event, across micro-batches.
 
+    The events that pass the consumer's filters go to a stateful operator that holds the open batch
+    (``streaming.batches``); a timer closes a batch that no event closes. ``consume`` gets the closed
+    batches in order, each as a DataFrame; with ``together``, all that a micro-batch closed at once, told apart
+    by the column ``batch``. The cursor follows closed batches alone, so a run that ends in an open batch
+    reads it again. One consumer's events pass one task; ``Spec.limit`` bounds a micro-batch."""
+
+    cursors: CursorStore | None = None
+    length: int = 0
+    period: timedelta = timedelta(0)
+    together: bool = False
+    #: Told how many events are held after each micro-batch.
+    buffered: Callable[[int], None] | None = None
+    sets_cursor: bool = False
+
+    def __post_init__(self):
+        if self.length <= 0 and self.period <= timedelta(0):
+            raise InvalidBatchConfig("a batch needs a length or a period")
 
-class Batcher:
-    """Hands over batches of a length, or of a period from their first event, across micro-batches.
+    def shape(self, stream: DataFrame) -> DataFrame:
+        return batches.closed(passed(self, stream), length=self.length, period=self.period)
 
-    What is open between micro-batches is only its first and last id: the events of a batch are read
-    from the log by id range when it closes. The cursor moves with closed batches alone. A timer, due a
-    period after the first event, closes a batch that no further event closes; if that fails, so
-    does the next step."""
+    def __call__(self, closed: DataFrame, batch_id: int) -> None:
+        self.guarded(lambda: self.hand_over(closed))
+
+    def hand_over(self, closed: DataFrame) -> None:
+        rows = closed.where("id IS NOT NULL")
+        # One row a batch.
+        spans = [] if self.together else rows.groupBy("batch").agg(F.max("id").alias("last")).collect()
+        for span in sorted(spans, key=lambda r: r["last"]):
+            self.consume(rows.where(F.col("batch") == span["batch"]).select(*EVENT.names).orderBy("id"))
+            self.cursors.set(self.name, str(span["last"]))
+        if self.together and (last := rows.agg(F.max("id")).first()[0]) is not None:
+            self.consume(rows.select("batch", *EVENT.names).orderBy("id"))
+            self.cursors.set(self.name, str(last))
+        self.cursors.flush()
+        held = closed.where("id IS NULL").agg(F.sum("held")).first()[0]
+        if self.buffered and held is not None:
+            self.buffered(held)
 
-    def __init__(self, name: str, log: Callable[[], DataFrame], consume: Callable[[DataFrame], None], cursors: CursorStore, *, length: int = 0, period: timedelta = timedelta(0), now: Callable[[], float] = time.time, buffered: Callable[[int], None] | None = None):
-        if length <= 0 and period <= timedelta(0):
-            raise InvalidBatchConfig("a batch needs a length or a period")
-        self.name, self.log, self.consume, self.cursors = name, log, consume, cursors
-        self.length, self.period, self.now, self.buffered = length, period // timedelta(microseconds=1), now, buffered
-        self.lock, self.timer = threading.RLock(), None
-        self.reset()
-
-    def reset(self) -> None:
-        self.stop()
-        with self.lock:
-            self.first: int | None = None
-            self.last: int | None = None
-            self.failed = False
-
-    def stop(self) -> None:
-        with self.lock:
-            if self.timer is not None:
-                self.timer.cancel()
-            self.timer = None
-
-    def _hand_over(self, rows: DataFrame, first: int, last: int) -> None:
-        try:
-            self.consume(rows.where(F.col("id").between(first, last)).orderBy("id"))
-        except Exception:
-            self.failed = True
-            raise
-        self.cursors.set(self.name, str(last))
-
-    def _on_time(self, first: int) -> None:
-        with self.lock:
-            # A batch that closed in the meantime has another timer, or none.
-            if self.failed or self.first != first:
-                return
-            try:
-                self._hand_over(self.log(), first, self.last)
-                self.cursors.flush()
-            except Exception:
-                self.failed = True
-            self.first, self.timer = None, None
-            if self.buffered:
-                self.buffered(0)
-
-    def step(self, batch: DataFrame, batch_id: int) -> None:
-        with self.lock:
-            if self.failed:
-                raise BatchState(self.name)
-            self.stop()
-            edge = batch.agg(F.min("id"), F.max("id")).first()
-            if edge[0] is None:
-                if self.first is not None:
-                    self._wait(self.due)
-                return
-            first, last = self.first if self.first is not None else edge[0], edge[1]
-            rows = self.log().where(F.col("id").between(first, last))
-            spans = batching.fold(rows, length=self.length, period_micros=self.period).join(rows.select(F.col("id").alias("first_id"), F.unix_micros("timestamp").alias("at")), "first_id")
-            # One row a batch; a micro-batch's size bounds them.
-            self.first, held = None, 0
-            for span in sorted(spans.collect(), key=lambda r: r["batch"]):
-                due = span["at"] / 1e6 + self.period / 1e6
-                full = self.length and span["n"] == self.length
-                if span["last_id"] == last and not full:
-                    self.first, self.last, self.due, held = span["first_id"], last, due, span["n"]
-                    break
-                self._hand_over(rows, span["first_id"], span["last_id"])
-            self.cursors.flush()
-            if self.buffered:
-                self.buffered(held)
-            if self.first is not None:
-                self._wait(self.due)
-
-    def _wait(self, due: float) -> None:
-        if self.period:
-            self.timer = threading.Timer(max(LEAST_WAIT, due - self.now()), self._on_time, (self.first,))
-            self.timer.daemon = True
-            self.timer.start()
-
-    def consumer(self, **options) -> Consumer:
-        return Consumer(self.name, self.step, sets_cursor=False, reset=self.reset, stop=self.stop, **options)
+
+def passed(consumer: Consumer, stream: DataFrame) -> DataFrame:
+    """The events of a stream that pass a consumer's filters; a filter that fails fails the stream."""
+    kind = consumer_outcome(consumer.types, consumer.event_filter)
+    failed = F.raise_error(F.lit(f"{FilterError.__name__}: {consumer.name}")).cast("boolean")
+    return stream.where(F.when(kind == "failed", failed).otherwise(kind == "processed"))
 
 
 def in_tasks(batch: DataFrame, handle: Callable[[dict], None], *, retries: int | None = None) -> DataFrame:
-    """(id, tries, error) of a function run on every event, side by side in the tasks of a job.
+    """(id, tries, error, expected) of a function run on every event, side by side in the tasks of a job.
 
-    With ``retries`` an event that keeps failing is given up after so many more tries."""
+    With ``retries`` an event that keeps failing is given up after so many more tries. ``expected``
+    tells errors that end a run in the ordinary way."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for row in b.to_pylist():
-                tries, error = 0, None
+                tries, error, expected = 0, None, False
                 while tries <= (retries or 0):
                     tries += 1
                     try:
                         handle(row)
-                        error = None
+                        error, expected = None, False
                         break
                     except Exception as e:
-                        error = f"{type(e).__name__}: {e}"
-                out.append((row["id"], tries, error))
-            ids, tries_, errors = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tries_, pa.int64()), pa.array(errors, pa.string())], names=["id", "tries", "error"])
+                        error, expected = f"{type(e).__name__}: {e}", is_expected(e)
+                out.append((row["id"], tries, error, expected))
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "tries", "error", "expected"])
 
-    return batch.mapInArrow(run, "id long, tries long, error string")
+    return batch.mapInArrow(run, "id long, tries long, error string, expected boolean")
 
 
 def concurrent(name: str, handle: Callable[[dict], None], cursors: CursorStore, *, max_in_flight: int | None = None, **options) -> Consumer:
@@ -162,7 +124,7 @@ def concurrent(name: str, handle: Callable[[dict], None], cursors: CursorStore,
             batch = batch.coalesce(max_in_flight)
         done = in_tasks(batch, handle).persist()
         try:
-            bad = done.where("error IS NOT NULL").agg(F.min("id").alias("id"), F.min_by("error", "id").alias("error")).first()
+            bad = done.where("error IS NOT NULL").agg(F.min("id").alias("id"), F.min_by("error", "id").alias("error"), F.min_by("expected", "id").alias("expected")).first()
             good = done if bad["id"] is None else done.where(F.col("id") < bad["id"])
             top = good.agg(F.max("id")).first()[0]
         finally:
@@ -170,7 +132,8 @@ def concurrent(name: str, handle: Callable[[dict], None], cursors: CursorStore,
         if top is not None:
             cursors.set(name, str(top))
         if bad["id"] is not None:
-            raise RuntimeError(f"event {bad['id']}: {bad['error']}")
+            # An expected end of a task is one of the run.
+            raise (Stopped if bad["expected"] else RuntimeError)(f"event {bad['id']}: {bad['error']}")
 
     return Consumer(name, consume, sets_cursor=False, **options)
 
@@ -178,20 +141,23 @@ def concurrent(name: str, handle: Callable[[dict], None], cursors: CursorStore,
 def dead_letter(name: str, handle: Callable[[dict], None], record: Callable[[DataFrame], None] | None, *, retries: int = 0, **options) -> Consumer:
     """Events that fail after their retries are recorded (consumer, event_id, error_msg) and passed over.
 
-    Without a recorder they are only passed over. If recording fails, the batch fails."""
+    Without a recorder they are only passed over, as expected errors always are. If recording fails,
+    the batch fails. ``consumer.counts["dead_letters"]`` counts what was recorded."""
 
     def consume(batch: DataFrame, _: int) -> None:
         done = in_tasks(batch, handle, retries=retries).persist()
         try:
             # Every event is handled, whatever the recorder reads.
             done.count()
-            lost = done.where("error IS NOT NULL").select(F.col("id").alias("seq"), F.lit(name).alias("consumer"), F.col("id").alias("event_id"), F.col("error").alias("error_msg"), F.current_timestamp().alias("at"))
+            lost = done.where("error IS NOT NULL AND NOT expected").select(F.col("id").alias("seq"), F.lit(name).alias("consumer"), F.col("id").alias("event_id"), F.col("error").alias("error_msg"), F.current_timestamp().alias("at"))
             if record:
                 record(lost)
+                consumer.counts["dead_letters"] = consumer.counts.get("dead_letters", 0) + lost.count()
         finally:
             done.unpersist()
 
-    return Consumer(name, consume, **options)
+    consumer = Consumer(name, consume, **options)
+    return consumer
 
 
 @dataclass(frozen=True)
@@ -215,10 +181,116 @@ def consumer_shards(base: str, n: int, *, by: str | Column = shards.BY_ID, forma
     return [ConsumerShard(name, m, n, by) for m, name in enumerate(shards.shard_names(base, n, formatter))]
 
 
+@dataclass
+class Fleet(Consumer):
+    """The consumers of all shards over one scan of the log.
+
+    The offset is the vector of the members' cursors: the scan starts behind the least, and a member gets
+    the events of its shard behind its own, so that one that lags replays alone. Members work side by side on a
+    micro-batch; the cursors of those that return are set, then the failure of another ends the run."""
+
+    members: list[Consumer] = field(default_factory=list)
+    cursors: CursorStore | None = None
+    by: str | Column = shards.BY_ID
+
+    def __post_init__(self):
+        self.failures: dict[str, Exception] = {}
+        if self.batching and len({(type(m), m.length, m.period) for m in self.members}) > 1:
+            raise InvalidBatchConfig("batches of all shards have one length and period")
+
+    @property
+    def batching(self) -> bool:
+        return any(isinstance(m, BatchConsumer) for m in self.members)
+
+    @property
+    def shape(self):
+        return self._batches if self.batching else None
+
+    @property
+    def keys(self) -> int:
+        return len(self.members)
+
+    def _cursor(self, member: Consumer) -> int:
+        return int(self.cursors.get(member.name) or 0)
+
+    def start(self, cursors: CursorStore) -> int:
+        return min(map(self._cursor, self.members))
+
+    def _sharded(self, events: DataFrame) -> DataFrame:
+        """The events with their shard, without those that their member has had."""
+        behind = F.array(*[F.lit(self._cursor(m)) for m in self.members])
+        rows = events.withColumn("shard", shards.shard(len(self.members), self.by))
+        return rows.where(F.col("id") > F.element_at(behind, F.col("shard").cast("int")))
+
+    def _batches(self, stream: DataFrame) -> DataFrame:
+        rows, first = self._sharded(stream), self.members[0]
+        kept = None
+        for m, member in enumerate(self.members):
+            one = F.when(F.col("shard") == m + 1, consumer_outcome(member.types, member.event_filter))
+            kept = one if kept is None else F.coalesce(kept, one)
+        failed = F.raise_error(F.lit(f"{FilterError.__name__}: {self.name}")).cast("boolean")
+        rows = rows.where(F.when(kept == "failed", failed).otherwise(kept == "processed"))
+        return batches.closed(rows, length=first.length, period=first.period, part=F.col("shard"))
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        column, rows = ("part", batch) if self.batching else ("shard", self._sharded(batch).persist())
+        self.failures = {}
+
+        def one(m: int) -> None:
+            try:
+                self.members[m](rows.where(F.col(column) == m + 1).drop("shard"), batch_id)
+            except Exception as e:
+                self.failures[self.members[m].name] = e
+
+        try:
+            with ThreadPool(min(len(self.members), 16)) as pool:
+                pool.map(one, range(len(self.members)))
+        finally:
+            rows.unpersist()
+        if self.batching:
+            self._raise()
+
+    def advance(self, cursors: CursorStore, top: int) -> int:
+        moved = 0
+        for member in self.members:
+            if member.sets_cursor and member.name not in self.failures and top > self._cursor(member):
+                cursors.set(member.name, str(top))
+                moved += 1
+        # The next micro-batch compares with what is stored.
+        cursors.flush()
+        self._raise()
+        return moved
+
+    def _raise(self) -> None:
+        for failure in self.failures.values():
+            raise failure
+
+
+def parallel(base: Spec, n: int, consumer: Callable[[int, str], Consumer], *, by=shards.BY_ID, formatter: Callable[[str, int, int], str] | None = None, options: StreamOptions | None = None, consumer_options: Callable[[int], dict] | None = None) -> Spec:
+    """One spec for n consumers of a shard each, which share one scan (``Fleet``).
+
+    ``options`` go to the stream, ``consumer_options`` to the consumer of a shard's number."""
+    names = shards.shard_names(base.consumer.name, n, formatter)
+    members = []
+    for m, name in enumerate(names):
+        members.append(replace(consumer(m, name), name=name, **(consumer_options(m) if consumer_options else {})))
+
+    def every(hook: str):
+        return lambda: [getattr(m, hook)() for m in members if getattr(m, hook)]
+
+    fleet = Fleet(base.consumer.name, base.consumer.consume, sets_cursor=False, members=members, cursors=base.cursors, by=by, reset=every("reset"), stop=every("stop"))
+    return replace(base, consumer=fleet, options=options or base.options)
+
+
+def parallel_ack(base: Spec, n: int, consume: Callable[[DataFrame, Callable[[int], None]], None], **options) -> Spec:
+    """The same with consumers that acknowledge by themselves."""
+    return parallel(base, n, lambda _, name: acknowledging(name, consume, base.cursors), **options)
+
+
 def parallel_specs(base: Spec, n: int, consumer: Callable[[int, str], Consumer], *, by=shards.BY_ID, formatter: Callable[[str, int, int], str] | None = None, options: StreamOptions | None = None, consumer_options: Callable[[int], dict] | None = None) -> list[Spec]:
-    """One spec a shard, each with a cursor of its own, for consumers that run apart.
+    """One spec a shard, for consumers that run apart, on clusters of their own: each reads the log.
 
-    ``options`` go to every stream, ``consumer_options`` to the consumer of a shard's number."""
+    Where they run in one program, ``parallel`` reads it once."""
     specs = []
     for own in consumer_shards(base.consumer.name, n, by=by, formatter=formatter):
         made = own.wire(consumer(own.number, own.name))

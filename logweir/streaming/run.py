@@ -11,6 +11,7 @@ acknowledges by itself, and going on from it would lose what was not acknowledge
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from collections.abc import Callable, Sequence
@@ -20,7 +21,7 @@ from typing import Any, Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.errors import FilterError, is_expected
+from logweir.errors import FilterError, NotIncreasing, is_expected
 from logweir.operators.filters import consumer_outcome
 from logweir.operators.health import ACTIVITY_TTL, LAG_ALERT
 from logweir.operators.log import is_noop
@@ -28,13 +29,17 @@ from logweir.options import StreamOptions
 from logweir.storage import delete
 from logweir.streaming.metrics import Metrics
 from logweir.streaming.notify import Notifier
-from logweir.streaming.source import head_of, register
+from logweir.streaming.source import EventLogStreamReader, head_of, register
 
 #: Seconds before a run is repeated after an expected error, and after any other; and between looks
 #: at the head of a log whose readers are woken by a notifier.
 EXPECTED_WAIT, FAILED_WAIT, BACKOFF = 0.1, 60.0, 10.0
 
 
+#: Settings of queries with state; the number of its partitions is that of its keys.
+_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.shuffle.partitions": ""}
+
+
 class CursorStore(Protocol):
     def get(self, consumer: str) -> str: ...
     def set(self, consumer: str, cursor: str) -> None: ...
@@ -59,19 +64,43 @@ class Consumer:
     lag_alert: float | None = LAG_ALERT
     activity_ttl: float | None = ACTIVITY_TTL
 
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        outcome = consumer_outcome(self.types, self.event_filter)
+    #: What the stream is made to be before micro-batches are cut: a stateful operator, say.
+    shape = None
+    #: Keys of the state that ``shape`` has.
+    keys = 1
+
+    def start(self, cursors: CursorStore) -> int:
+        """Where the consumer goes on."""
+        return int(cursors.get(self.name) or 0)
+
+    def advance(self, cursors: CursorStore, top: int) -> int:
+        """After a micro-batch that ends at ``top``; how many cursors were set."""
+        if not self.sets_cursor:
+            return 0
+        cursors.set(self.name, str(top))
+        return 1
+
+    def guarded(self, work: Callable[[], None]) -> None:
+        """Does the work; an unexpected error goes through ``recover``, which may swallow it."""
         try:
-            failed = batch.where(outcome == "failed").limit(1).count() if self.event_filter is not None else 0
-            if failed:
-                raise FilterError(self.name)
-            self.consume(batch.where(outcome == "processed"), batch_id)
+            work()
         except Exception as e:
             left = self.recover(e) if self.recover and not is_expected(e) else e
             self.counts["errors"] = self.counts.get("errors", 0) + 1
             if left is not None:
                 raise left from e
 
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        outcome = consumer_outcome(self.types, self.event_filter)
+
+        def work():
+            failed = batch.where(outcome == "failed").limit(1).count() if self.event_filter is not None else 0
+            if failed:
+                raise FilterError(self.name)
+            self.consume(batch.where(outcome == "processed"), batch_id)
+
+        self.guarded(work)
+
 
 @dataclass
 class Spec:
@@ -98,7 +127,7 @@ class _Run:
         if spec.limit:
             self.options["limit"] = str(spec.limit)
         #: The end of what was handed over in this run.
-        self.at = int(spec.cursors.get(spec.consumer.name) or 0)
+        self.at = spec.consumer.start(spec.cursors)
 
     def step(self, batch: DataFrame, batch_id: int) -> None:
         spec, consumer = self.spec, self.spec.consumer
@@ -108,42 +137,83 @@ class _Run:
             if top is None:
                 # A query that starts at the head begins with an empty batch.
                 return
+            if top <= self.at:
+                raise NotIncreasing(f"{spec.consumer.name}: {top} after {self.at}")
             rows = batch if spec.include_noops else batch.where(~is_noop())
             try:
                 consumer(rows.orderBy("id"), batch_id)
             finally:
                 if spec.metrics:
                     spec.metrics.consumed(consumer, rows, time.monotonic() - began)
-            if consumer.sets_cursor:
-                spec.cursors.set(consumer.name, str(top))
-                if spec.metrics:
-                    spec.metrics.add("cursor_sets", consumer.name)
+            sets = consumer.advance(spec.cursors, top)
+            if spec.metrics and sets:
+                spec.metrics.add("cursor_sets", consumer.name, sets)
             self.at = top
         finally:
             batch.unpersist()
 
-    def query(self, trigger: dict, timeout: float | None = None):
-        """One streaming query from where the run is."""
+    def shaped(self, batch: DataFrame, batch_id: int) -> None:
+        """A micro-batch of a shaped stream, whose consumer sets its cursors itself."""
+        batch = batch.persist()
+        try:
+            self.spec.consumer(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def query(self, trigger: dict, timeout: float | None = None, until: Callable[[Any], bool] | None = None):
+        """One streaming query from where the run is, to its end or until it is told to end."""
         place = f"{self.checkpoint}/{uuid.uuid4().hex}"
-        source = self.spark.readStream.format("eventlog").options(path=self.spec.path, after=str(self.at), **self.options)
+        consumer = self.spec.consumer
+        if consumer.shape:
+            # What was open in a query before is read again.
+            self.at = consumer.start(self.spec.cursors)
+        rows = self.spark.readStream.format("eventlog").options(path=self.spec.path, after=str(self.at), **self.options).load()
         if self.spec.metrics:
-            self.spec.metrics.add("polls", self.spec.consumer.name)
-        query = source.load().writeStream.queryName(self.spec.consumer.name).option("checkpointLocation", place).foreachBatch(self.step).trigger(**trigger).start()
+            self.spec.metrics.add("polls", consumer.name)
+        kept = {k: self.spark.conf.get(k, None) for k in _STATE}
+        step = self.step
+        if consumer.shape:
+            rows, step = consumer.shape(rows if self.spec.include_noops else rows.where(~is_noop())), self.shaped
+            # A query keeps the settings that it was started with.
+            for k, v in _STATE.items():
+                self.spark.conf.set(k, v or str(consumer.keys))
+        try:
+            query = rows.writeStream.queryName(consumer.name).option("checkpointLocation", place).foreachBatch(step).trigger(**trigger).start()
+        finally:
+            for k, v in kept.items() if consumer.shape else ():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         try:
-            query.awaitTermination(timeout)
+            if until is None:
+                query.awaitTermination(timeout)
+            else:
+                while query.isActive and not until(query):
+                    time.sleep(0.02)
+                if not query.isActive:
+                    # One that ended by itself raises its error here.
+                    query.awaitTermination()
         finally:
             query.stop()
             delete(self.spark, place)
         return query
 
     def drain(self):
-        """To the head as it is now, in as many queries as the limit of a batch makes."""
+        """To the head as it is now. Bounded batches are those of one query, whose source looks at the log's
+        files once and plans one batch after the other from there."""
         self.options.pop("fromHead", None)
-        last, query = None, None
-        while last is None or self.spec.limit and self.at != last:
-            last = self.at
-            query = self.query({"availableNow": True})
-        return query
+        if not self.spec.limit:
+            return self.query({"availableNow": True})
+        whole = {k: v for k, v in self.options.items() if k != "limit"} | {"path": self.spec.path, "after": str(self.at)}
+        target = EventLogStreamReader(whole).latestOffset()["after"]
+        if target <= self.at:
+            return None
+
+        def drained(query) -> bool:
+            # Progress shows the offset as text; its one number is the cursor.
+            last = query.lastProgress
+            end = re.search("[0-9]+", last["sources"][0]["endOffset"] or "") if last else None
+            return end is not None and int(end[0]) >= target
+
+        return self.query({"processingTime": "0 seconds"}, until=drained)
 
 
 def run(spark: SparkSession, spec: Spec, checkpoint: str, *, interval: str = "1 second", timeout: float | None = None, notifier: Notifier | None = None, backoff: float = BACKOFF) -> Any:
@@ -159,10 +229,11 @@ def run(spark: SparkSession, spec: Spec, checkpoint: str, *, interval: str = "1
         spec.metrics.started(consumer)
     try:
         if spec.options.from_head and (spec.options.to_head or notifier):
-            now.at = head_of(spec.path)
+            now.at = head_of(spec.path, **{k: v for k, v in spec.source_options.items() if k in ("commits", "table")})
         if spec.options.to_head:
             return now.drain()
-        if notifier is None:
+        # A query that holds state goes on; others end at the head, and are woken.
+        if notifier is None or consumer.shape:
             return now.query({"processingTime": interval}, timeout)
         while end is None or time.monotonic() < end:
             woken = notifier.register()

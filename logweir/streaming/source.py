@@ -1,11 +1,14 @@
 """The log as a streaming source whose offset is the cursor.
 
 ``latestOffset`` is the end of the contiguous, old-enough prefix: rows behind a hole, or younger than
-the lag, stay unread and are never lost. It is found from the statistics in the files' footers: a row
-group whose ids fill their range needs no look inside. Only groups with holes or young events are
-read, their id and time alone, one group at a time, and what a file tells is kept until the file
-changes. Batches are planned as id ranges, one partition each, and read with the range pushed down to
-the files. With ``availableNow`` a query drains to that head.
+the lag, stay unread and are never lost. A log with a commit log is known from its records: which files there
+are, their ids and the time of their newest, so that a look at the head reads the records since the last
+look and lists nothing else. A folder without one is listed, and known from the statistics in its files'
+footers: a row group whose ids fill their range needs no look inside. Only files or groups with holes or
+young events are read, their id and time alone, one group at a time, and what a file tells is kept
+until the file changes. Batches are planned as id ranges with the files that hold them, one
+partition each; a task opens its own files alone, with the range pushed down, and fails where ids do not
+rise. With ``availableNow`` a query drains to that head.
 
 Paths may be on any file system that pyarrow knows by URL: local, HDFS, S3, GCS.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,8 @@ from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from logweir.commits import DataFile, Snapshot, advanced
+from logweir.errors import NotIncreasing
 from logweir.options import StreamOptions
 
 #: Ids in one partition of a batch.
@@ -32,31 +38,47 @@ SCHEMA = "id long, type int, foreign_id string, timestamp timestamp, metadata bi
 
 
 class IdRange(InputPartition):
-    def __init__(self, start: int, end: int):
+    def __init__(self, start: int, end: int, files: list[str]):
         super().__init__(start)
-        self.start, self.end = start, end
+        self.start, self.end, self.files = start, end, files
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
-def _files(path: str) -> ds.Dataset:
-    system, inner = _place(path)
-    return ds.dataset(inner, filesystem=system, format="parquet")
-
-
 def _micros(column) -> pa.Array:
     return pc.cast(pc.cast(column, pa.timestamp("us")), pa.int64())
 
 
+#: A piece of a log: first and last id, time of the youngest, and its file.
+Run = tuple[int, int, int | None, str]
+
+
 class Intervals:
-    """The ids of a log's files as sorted runs (first, last, time of the youngest), file by file."""
+    """The ids of a log's files as sorted runs, file by file.
+
+    ``commits`` is the folder of its commit log, by default ``_log`` in the log's own."""
+
+    def __init__(self, path: str, commits: str | None = None, table: str = "events"):
+        self.path, self.commits, self.table = path.rstrip("/"), commits or f"{path.rstrip('/')}/_log", table
+        self.known: dict[tuple, list[Run]] = {}
+        self.state = Snapshot()
+        #: Files that were opened, and listings made: what a look costs.
+        self.opened, self.listed = 0, 0
+
+    def _committed(self) -> list[DataFile] | None:
+        system, inner = _place(self.commits)
+        found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+
+        def read(name: str) -> bytes:
+            with system.open_input_file(f"{inner}/{name}") as raw:
+                return raw.read()
 
-    def __init__(self, path: str):
-        self.path, self.known = path, {}
+        self.state = advanced(self.state, [f.base_name for f in found], read)
+        return self.state.table(self.table).files if self.state.version else None
 
-    def _group(self, file: pq.ParquetFile, g: int, old: int | None) -> list[tuple[int, int, int | None]]:
+    def _group(self, file: pq.ParquetFile, g: int, old: int | None) -> list[Run]:
         meta = file.metadata.row_group(g)
         # Times of 96 bits have no statistics that can be read.
         at = {c.path_in_schema: c.statistics for c in map(meta.column, range(meta.num_columns)) if c.physical_type != "INT96"}
@@ -76,36 +98,59 @@ class Intervals:
         ends = [*sorted(starts)[1:], len(number)]
         return [(int(number[a]), int(number[b - 1]), top if aged else int(micros[a:b].max())) for a, b in zip(sorted(starts), ends, strict=True)]
 
-    def runs(self, after: int, old: int | None) -> list[tuple[int, int, int | None]]:
+    def _inside(self, key: tuple, old: int | None) -> list[Run]:
+        """The runs of one file, which ``key`` begins with."""
+        # Events only grow older: a file that held none too young is not looked at again.
+        kept = self.known.get(key)
+        if kept is None or old is not None and any(t is None or t > old for _, _, t, _ in kept):
+            self.opened += 1
+            system, _ = _place(self.path)
+            with system.open_input_file(key[0]) as raw:
+                file = pq.ParquetFile(raw)
+                kept = [(*r, key[0]) for g in range(file.metadata.num_row_groups) for r in self._group(file, g, old)]
+        return kept
+
+    def runs(self, after: int, old: int | None) -> list[Run]:
         """Runs that end behind ``after``; with ``old`` (micros), one starts at each group's first younger event."""
         system, inner = _place(self.path)
         out, seen = [], {}
-        for info in system.get_file_info(fs.FileSelector(inner, recursive=True)):
-            name = info.path[len(inner) :]
-            if not info.is_file or not info.path.endswith(".parquet") or any(p[:1] in "_." for p in name.strip("/").split("/")):
-                continue
-            key = (info.path, info.size, info.mtime_ns)
-            # Events only grow older: a file that held none too young is not looked at again.
-            kept = self.known.get(key)
-            if kept is None or old is not None and any(t is None or t > old for _, _, t in kept):
-                with system.open_input_file(info.path) as raw:
-                    file, kept = pq.ParquetFile(raw), []
-                    for g in range(file.metadata.num_row_groups):
-                        kept += self._group(file, g, old)
-            seen[key] = kept
-            out += [r for r in kept if r[1] > after]
+        committed = self._committed()
+        if committed is not None:
+            for f in committed:
+                if f.last <= after:
+                    continue
+                path = f"{inner}/{f.path}"
+                if f.solid and (old is None or f.newest is not None and f.newest <= old):
+                    out.append((f.first, f.last, f.newest, path))
+                    continue
+                key = (path, f.rows)
+                seen[key] = self._inside(key, old)
+                out += [r for r in seen[key] if r[1] > after]
+        else:
+            self.listed += 1
+            for info in system.get_file_info(fs.FileSelector(inner, recursive=True)):
+                name = info.path[len(inner) :]
+                if not info.is_file or not info.path.endswith(".parquet") or any(p[:1] in "_." for p in name.strip("/").split("/")):
+                    continue
+                key = (info.path, info.size, info.mtime_ns)
+                seen[key] = self._inside(key, old)
+                out += [r for r in seen[key] if r[1] > after]
         self.known = seen
-        return sorted(out)
+        out.sort(key=lambda r: r[:2])
+        for before, r in pairwise(out):
+            if r[0] <= before[1]:
+                raise NotIncreasing(f"ids {r[0]} to {min(r[1], before[1])} are in {before[3]} and {r[3]}")
+        return out
 
 
-def head_of(path: str) -> int:
+def head_of(path: str, **log: str) -> int:
     """The last id of a log, 0 if it is empty."""
-    return max((b for _, b, _ in Intervals(path).runs(0, None)), default=0)
+    return max((r[1] for r in Intervals(path, **log).runs(0, None)), default=0)
 
 
 class EventLogSource(DataSource):
-    """Options: path, after, fromHead, lagMicros, gaps (block, the default, or skip), rangeIds, and
-    limit, the ids in a micro-batch at most."""
+    """Options: path, after, fromHead, lagMicros, gaps (block, the default, or skip), rangeIds,
+    limit, the ids in a micro-batch at most, and commits and table, if the commit log lies elsewhere."""
 
     @classmethod
     def name(cls) -> str:
@@ -125,11 +170,12 @@ class EventLogStreamReader(DataSourceStreamReader):
         self.block = options.get("gaps", "block") == "block"
         self.range = int(options.get("rangeIds", RANGE))
         self.limit = int(options.get("limit") or 0)
-        self.files = Intervals(self.path)
+        self.log = {k: options[k] for k in ("commits", "table") if options.get(k)}
+        self.files = Intervals(self.path, **self.log)
         self.end: int | None = None
 
     def initialOffset(self) -> dict:
-        return {"after": head_of(self.path) if self.options.from_head else self.after}
+        return {"after": head_of(self.path, **self.log) if self.options.from_head else self.after}
 
     def latestOffset(self) -> dict:
         """The end of what may be read now."""
@@ -139,9 +185,9 @@ class EventLogStreamReader(DataSourceStreamReader):
         old = time.time_ns() // 1000 - lag if lag else None
         runs = self.files.runs(self.end, old)
         # A run with an event too young ends the prefix; runs are cut where that matters.
-        young = min((a for a, _, t in runs if old is not None and t > old), default=None)
+        young = min((a for a, _, t, _ in runs if old is not None and t > old), default=None)
         end = self.end
-        for a, b, _ in runs:
+        for a, b, _, _ in runs:
             if young is not None and a >= young:
                 break
             # The empty cursor takes the first id as it is.
@@ -150,7 +196,7 @@ class EventLogStreamReader(DataSourceStreamReader):
             end = max(end, b if young is None else min(b, young - 1))
         if self.limit and end > self.end:
             # From the empty cursor, ids are counted from the first there is.
-            first = self.end if self.end else min(a for a, _, _ in runs) - 1
+            first = self.end if self.end else min(r[0] for r in runs) - 1
             end = min(end, first + self.limit)
         self.end = end
         return {"after": self.end}
@@ -159,20 +205,26 @@ class EventLogStreamReader(DataSourceStreamReader):
         """Ranges of at most so many ids that exist, however far apart they lie."""
         lo, hi = start["after"], end["after"]
         parts, first, held = [], lo, 0
-        for a, b, _ in self.files.runs(lo, None):
-            a = max(a, first + 1)
+        files: dict[str, None] = {}
+        for a, b, _, path in self.files.runs(lo, None):
+            a = max(a, lo + 1)
             while a <= min(b, hi):
                 stop = min(b, hi, a + self.range - held - 1)
-                held += stop - a + 1
+                held += max(0, stop - a + 1)
+                files[path] = None
                 a = stop + 1
                 if held >= self.range:
-                    parts.append(IdRange(first, stop))
-                    first, held = stop, 0
-        return parts + [IdRange(first, hi)] * (held > 0)
+                    parts.append(IdRange(first, stop, list(files)))
+                    first, held, files = stop, 0, {}
+        return parts + [IdRange(first, hi, list(files))] * (held > 0)
 
     def read(self, part: IdRange) -> Iterator[pa.RecordBatch]:
         want = (ds.field("id") > part.start) & (ds.field("id") <= part.end)
-        table = _files(self.path).to_table(filter=want).sort_by("id")
+        system, _ = _place(self.path)
+        table = ds.dataset(part.files, filesystem=system, format="parquet").to_table(filter=want).sort_by("id")
+        ids = table["id"].to_numpy()
+        if (ids[1:] <= ids[:-1]).any():
+            raise NotIncreasing(f"an id in {part.start + 1} to {part.end} is there twice")
         kinds = {"id": pa.int64(), "type": pa.int32(), "foreign_id": pa.string(), "timestamp": pa.timestamp("us", "UTC"), "metadata": pa.binary(), "trace": pa.binary()}
         columns = [pc.cast(table[k], t) if k in table.column_names else pa.nulls(len(table), t) for k, t in kinds.items()]
         yield from pa.table(dict(zip(kinds, columns, strict=True))).to_batches()

@@ -1,15 +1,19 @@
 """Live consumption patterns."""
 
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from logweir import errors
+from logweir.operators import shards
 from logweir.operators.cursors import BufferedCursors, MemoryCursors
+from logweir.operators.filters import outcome
 from logweir.options import StreamOptions
 from logweir.schema import EVENT
 from logweir.sources.memory import MemoryLog
+from logweir.sources.stored import StoredLog
 from logweir.streaming import patterns, serving
 from logweir.streaming.run import Consumer, Spec, run
 
@@ -31,69 +35,138 @@ def test_acknowledging(spark, path, tmp_path):
     assert cursors.get("ack") == "6"
 
 
+def ids_of(seen):
+    return lambda batch: seen.append([r["id"] for r in batch.collect()])
+
+
 @pytest.mark.parametrize("length, sizes, cursor", [(4, [4] * 5, "20"), (15, [15], "15"), (40, [], "")])
 def test_batches_by_length(spark, path, tmp_path, length, sizes, cursor):
     cursors, seen = BufferedCursors(), []
-    batcher = patterns.Batcher("b", lambda: spark.read.parquet(path), lambda b: seen.append(b.count()), cursors, length=length)
-    run(spark, Spec(path, cursors, batcher.consumer(), TO_HEAD), str(tmp_path / "cp"))
+    consumer = patterns.BatchConsumer("b", lambda b: seen.append(b.count()), cursors=cursors, length=length)
+    run(spark, Spec(path, cursors, consumer, TO_HEAD), str(tmp_path / "cp"))
     assert seen == sizes and cursors.get("b") == cursor
 
 
-def test_batches_span_micro_batches(spark, path):
-    cursors, seen = MemoryCursors(), []
-    log = spark.read.parquet(path)
-    batcher = patterns.Batcher("b", lambda: log, lambda b: seen.append([r["id"] for r in b.collect()]), cursors, period=timedelta(seconds=5), now=lambda: T0.timestamp())
-    for n, (lo, hi) in enumerate([(1, 3), (4, 8), (9, 12)]):
-        batcher.step(log.where(F.col("id").between(lo, hi)), n)
-    batcher.stop()
-    assert seen == [[1, 2, 3, 4, 5], [6, 7, 8, 9, 10]] and cursors.get("b") == "10"
+def test_batches_span_micro_batches(spark, path, tmp_path):
+    cursors, seen, held = MemoryCursors(), [], []
+    consumer = patterns.BatchConsumer("b", ids_of(seen), cursors=cursors, period=timedelta(days=10_000), length=6, buffered=held.append)
+    run(spark, Spec(path, cursors, consumer, TO_HEAD, limit=4), str(tmp_path / "cp"))
+    assert seen == [list(range(1, 7)), list(range(7, 13)), list(range(13, 19))] and cursors.get("b") == "18" and held == [4, 2, 0, 4, 2]
+    seen.clear()
+    consumer = patterns.BatchConsumer("p", ids_of(seen), cursors=cursors, period=timedelta(seconds=5))
+    run(spark, Spec(path, cursors, consumer, TO_HEAD), str(tmp_path / "cp"))
+    assert seen[:3] == [[1, 2, 3, 4, 5], [6, 7, 8, 9, 10], [11, 12, 13, 14, 15]] and cursors.get("p") in ("15", "20")
     with pytest.raises(errors.InvalidBatchConfig):
-        patterns.Batcher("b", None, None, cursors)
+        patterns.BatchConsumer("b", None, cursors=cursors)
 
 
-def test_batch_failure_needs_a_reset(spark, path):
-    log = spark.read.parquet(path)
+def test_batches_together(spark, path, tmp_path):
+    cursors, seen = MemoryCursors(), []
+    consumer = patterns.BatchConsumer("b", lambda rows: seen.append([(r["batch"], r["id"]) for r in rows.collect()]), cursors=cursors, length=8, together=True)
+    run(spark, Spec(path, cursors, consumer, TO_HEAD), str(tmp_path / "cp"))
+    assert seen == [[(1 if i < 9 else 9, i) for i in range(1, 17)]] and cursors.get("b") == "16"
 
-    def fail(batch):
-        raise ValueError("no")
 
-    batcher = patterns.Batcher("b", lambda: log, fail, MemoryCursors(), length=2)
-    with pytest.raises(ValueError):
-        batcher.step(log, 0)
-    with pytest.raises(errors.BatchState):
-        batcher.step(log, 1)
-    batcher.reset()
-    with pytest.raises(ValueError):
-        batcher.step(log, 2)
+@pytest.fixture
+def mixed(spark, tmp_path):
+    """Types 1 to 3 in turn, every tenth event a placeholder."""
+    rows = [(i, *((0, "0") if i % 10 == 0 else (i % 3 + 1, f"k{i}")), T0 + timedelta(seconds=i), bytes([i]), None) for i in range(1, 61)]
+    spark.createDataFrame(rows, EVENT).repartition(3).write.parquet(str(tmp_path / "mixed"))
+    return str(tmp_path / "mixed"), [(r[0], r[1], r[2]) for r in rows]
 
 
-def test_batch_timer(spark, path):
-    """A batch closes when its time is over though nothing follows; at once means after a least wait."""
-    import time
+def chunks(ids, n):
+    return [ids[k : k + n] for k in range(0, len(ids) - n + 1, n)]
+
+
+@pytest.mark.parametrize("limit", [None, 7])
+def test_batches_hold_what_their_filters_pass(spark, mixed, tmp_path, limit):
+    path, rows = mixed
+    cursors, seen = MemoryCursors(), []
+    even = outcome(F.col("id") % 2 == 0)
+    for name, options, keep in [
+        ("types", {"types": [1]}, lambda i, t, f: t == 1),
+        ("filter", {"event_filter": even}, lambda i, t, f: i % 2 == 0 and f != "0"),
+        ("both", {"types": [1, 2], "event_filter": even}, lambda i, t, f: t in (1, 2) and i % 2 == 0),
+        ("none", {}, lambda i, t, f: f != "0"),
+    ]:
+        seen.clear()
+        run(spark, Spec(path, cursors, patterns.BatchConsumer(name, ids_of(seen), cursors=cursors, length=4, **options), TO_HEAD, limit=limit), str(tmp_path / "cp"))
+        want = chunks([i for i, t, f in rows if keep(i, t, f)], 4)
+        assert seen == want and cursors.get(name) == str(want[-1][-1])
+    seen.clear()
+    run(spark, Spec(path, cursors, patterns.BatchConsumer("noops", ids_of(seen), cursors=cursors, length=4), TO_HEAD, include_noops=True, limit=limit), str(tmp_path / "cp"))
+    assert seen == chunks(list(range(1, 61)), 4)
+    bad = outcome(F.col("id") > 0, F.when(F.col("id") == 5, "bad"))
+    with pytest.raises(Exception, match="FilterError"):
+        run(spark, Spec(path, cursors, patterns.BatchConsumer("bad", ids_of(seen), cursors=cursors, length=4, event_filter=bad), TO_HEAD), str(tmp_path / "cp"))
+
+
+def test_batches_of_shards(spark, mixed, tmp_path):
+    """Each shard has batches of its own events, from one scan."""
+    path, rows = mixed
+    cursors, seen = MemoryCursors(), {0: [], 1: []}
+    base = Spec(path, cursors, Consumer("s", None), TO_HEAD, limit=9)
+    spec = patterns.parallel(base, 2, lambda m, name: patterns.BatchConsumer(name, ids_of(seen[m]), cursors=cursors, length=3))
+    run(spark, spec, str(tmp_path / "cp"))
+    shard = {r["id"]: r["s"] for r in spark.read.parquet(path).select("id", shards.shard(2).alias("s")).collect()}
+    for m in (0, 1):
+        want = chunks([i for i, t, f in rows if f != "0" and shard[i] == m + 1], 3)
+        assert seen[m] == want and cursors.get(f"s_{m + 1}_of_2") == str(want[-1][-1])
+    # The one that lags has its events again, alone.
+    cursors.set("s_1_of_2", str(seen[0][1][-1]))
+    before = [list(s) for s in seen.values()]
+    run(spark, spec, str(tmp_path / "cp"))
+    assert seen[0] == before[0] + before[0][2:] and seen[1] == before[1]
+    wired = patterns.consumer_shards("w", 2)[0].wire(patterns.BatchConsumer("x", ids_of(seen[0]), cursors=cursors, length=3))
+    seen[0].clear()
+    run(spark, Spec(path, cursors, wired, TO_HEAD), str(tmp_path / "cp"))
+    assert seen[0] == before[0] and cursors.get("w_1_of_2") == str(before[0][-1][-1]) and cursors.get("x") == ""
+
+
+def test_a_failing_batch_comes_again(spark, path, tmp_path):
+    cursors, seen = MemoryCursors(), []
 
+    def fail(batch):
+        ids = [r["id"] for r in batch.collect()]
+        if ids[0] == 5 and not any(s == ids for s in seen):
+            seen.append(ids)
+            raise ValueError("no")
+        seen.append(ids)
+
+    consumer = patterns.BatchConsumer("b", fail, cursors=cursors, length=4)
+    with pytest.raises(Exception, match="no"):
+        run(spark, Spec(path, cursors, consumer, TO_HEAD), str(tmp_path / "cp"))
+    assert seen == [[1, 2, 3, 4], [5, 6, 7, 8]] and cursors.get("b") == "4" and consumer.counts["errors"] == 1
+    run(spark, Spec(path, cursors, consumer, TO_HEAD), str(tmp_path / "cp"))
+    assert seen[2:] == chunks(list(range(5, 21)), 4) and cursors.get("b") == "20"
+    swallowed = patterns.BatchConsumer("r", lambda b: 1 / 0, cursors=cursors, length=4, recover=lambda e: None)
+    run(spark, Spec(path, cursors, swallowed, TO_HEAD), str(tmp_path / "cp"))
+    assert cursors.get("r") == "" and swallowed.counts["errors"] == 1
+
+
+def test_batch_timer(spark, tmp_path):
+    """A batch closes when its time is over though nothing follows; at once means after a least wait."""
     cursors, seen, held = MemoryCursors(), [], []
-    log = spark.read.parquet(path)
-    batcher = patterns.Batcher("b", lambda: log, lambda b: seen.append((time.monotonic(), b.count())), cursors, period=timedelta(hours=1), buffered=held.append)
-    batcher.step(log.where("id <= 3"), 0)
-    began = time.monotonic()
-    assert seen == [] and held == [3]
-    while not seen and time.monotonic() < began + 20:
-        time.sleep(0.05)
-    time.sleep(0.5)
-    assert seen[0][1] == 3 and cursors.get("b") == "3" and held == [3, 0]
-
-    def fail(rows):
-        raise ValueError("no")
-
-    batcher.consume = fail
-    batcher.step(log.where("id = 4"), 1)
-    while not batcher.failed and time.monotonic() < began + 40:
-        time.sleep(0.05)
-    with pytest.raises(errors.BatchState):
-        batcher.step(log.where("id = 5"), 2)
-    assert cursors.get("b") == "3"
-    batcher.reset()
-    batcher.stop()
+    log = StoredLog(spark, str(tmp_path / "log"))
+    log.append(spark.createDataFrame([(i, f"k{i}", 1) for i in range(3)], "seq long, foreign_id string, type int"))
+
+    def take(batch):
+        seen.append((time.time(), [(r["id"], r["timestamp"]) for r in batch.collect()]))
+        if len(seen) == 1:
+            log.insert("late", 1)
+
+    consumer = patterns.BatchConsumer("b", take, cursors=cursors, period=timedelta(seconds=12), buffered=held.append)
+    run(spark, Spec(log.path, cursors, consumer), str(tmp_path / "cp"), interval="200 milliseconds", timeout=30)
+    assert [[i for i, _ in batch] for _, batch in seen[:2]] == [[1, 2, 3], [4]] and cursors.get("b") == "4"
+    first = seen[0][1][0][1].timestamp()
+    assert seen[0][0] >= first + 12 and held[:2] == [3, 0]
+    stored = {r["id"]: r["timestamp"] for r in log.events().collect()}
+    assert all(stored[i] == at for _, batch in seen for i, at in batch)
+    seen.clear()
+    old = patterns.BatchConsumer("old", lambda b: seen.append(b.count()), cursors=cursors, period=timedelta(milliseconds=1))
+    run(spark, Spec(log.path, cursors, old), str(tmp_path / "cp"), interval="200 milliseconds", timeout=12)
+    assert sum(seen) == 4 and cursors.get("old") == "4"
 
 
 def failing_on_seven():

@@ -1,18 +1,22 @@
 """Stored logs, cursors and errors; holes filled in the log; the head cache; blob following."""
 
+import os
 import threading
+import time
+from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from logweir import errors
+from logweir import commits, errors
 from logweir.functions.traces import in_trace
 from logweir.operators import gaps, log
 from logweir.operators.cursors import MemoryCursors, ReadThroughCursors, TableCursors
 from logweir.schema import CursorColumns, ErrorColumns, EventColumns
 from logweir.sources import blobs
 from logweir.sources.cache import HeadCache
-from logweir.sources.stored import ErrorStore, StoredLog, fill_gaps
+from logweir.sources.stored import ErrorStore, StoredLog, append_parquet, fill_gaps
 from logweir.storage import Versions
 from logweir.streaming import patterns
 from logweir.streaming.notify import Notifier
@@ -27,9 +31,47 @@ def test_versions(spark, tmp_path):
     assert records.last("a/b") == (0, None) and records.names() == []
     assert records.create("a/b", 1, b"x") and not records.create("a/b", 1, b"y")
     assert records.last("a/b") == (1, b"x") and records.names() == ["a/b"]
-    # A record that broke off takes its number, and the one before it counts.
-    (tmp_path / "a%2Fb" / f"{2:020d}").write_bytes(b"half")
-    assert records.last("a/b") == (2, b"x")
+    for n in range(2, 31):
+        assert records.create("a/b", n, b"%d" % n)
+    # A writer that slept finds its number free again, and has lost all the same.
+    assert not records.create("a/b", 2, b"late") and records.last("a/b") == (30, b"30")
+    assert not (tmp_path / "a%2Fb" / f"{2:020d}").exists()
+
+
+@pytest.mark.parametrize("way", [commits._link, commits._rename])
+def test_create_once(spark, tmp_path, way):
+    """Of many writers of one file, one wins, and its bytes are whole."""
+    url, won = f"file://{tmp_path}/deep/er/1.json", []
+    Path(tmp_path, "deep/er").mkdir(parents=True)
+    if way is commits._link:
+        threads = [threading.Thread(target=lambda k=k: way(spark, url, b"%d" % k * 1000) and won.append(k)) for k in range(8)]
+        [t.start() for t in threads]
+        [t.join() for t in threads]
+    else:
+        won += [k for k in range(3) if way(spark, url, b"%d" % k * 1000)]
+    assert len(won) == 1 and Path(tmp_path, "deep/er/1.json").read_bytes() == b"%d" % won[0] * 1000
+    assert [f for f in os.listdir(tmp_path / "deep/er") if not f.endswith(".crc")] == ["1.json"]
+    with pytest.raises(ValueError, match="ftp"):
+        commits.create_once(spark, "ftp://host/x", b"")
+
+
+def test_commit_log(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(commits, "CHECKPOINT", 4)
+    logs = [commits.CommitLog(spark, f"{tmp_path}/log") for _ in range(2)]
+    for k in range(9):
+        logs[k % 2].commit(lambda now, k=k: {"a": {"reserve": {f"t{k}": [now.table("a").upto + 1, now.table("a").upto + 2]}}})
+    logs[0].commit(lambda now: {"a": {"end": ["t0", "t1"], "add": [["f", 1, 4, 4, None]]}, "b": {"add": [["g", 7, 9, 2, 5]]}})
+    with pytest.raises(errors.ReservationLost):
+        logs[1].commit(lambda now: {"a": {"end": ["t1"], "add": [["h", 3, 4, 2, None]]}})
+    assert logs[1].commit(lambda now: None).version == 10
+    fresh = commits.CommitLog(spark, f"{tmp_path}/log").snapshot()
+    assert fresh == logs[0].snapshot() == logs[1].snapshot()
+    assert fresh.table("a").upto == 18 and sorted(fresh.table("a").open) == [f"t{k}" for k in range(2, 9)] and fresh.table("a").files[0].solid
+    assert fresh.table("b").upto == 9 and not fresh.table("b").files[0].solid
+    # From the checkpoint alone and what follows, as well as from all records.
+    for n in range(1, 9):
+        os.remove(tmp_path / "log" / f"{n:020d}.json")
+    assert commits.CommitLog(spark, f"{tmp_path}/log").snapshot() == fresh
 
 
 def test_cursors_outlive_their_store(spark, tmp_path):
@@ -113,48 +155,216 @@ def test_append(spark, tmp_path):
     with pytest.raises(errors.InvalidEvent):
         bare.insert("a", 1, b"meta")
     bare.insert("a", 1)
-    assert spark.read.parquet(bare.path).columns == ["custom_id", "custom_type", "foreign_id", "timestamp"] and bare.events().first()["id"] == 1
+    assert spark.read.option("recursiveFileLookup", True).parquet(bare.path).columns == ["custom_id", "custom_type", "foreign_id", "timestamp"] and bare.events().first()["id"] == 1
 
 
 def test_own_inserter_and_parallel_appends(spark, tmp_path):
-    calls = []
+    counted = []
     stored = StoredLog(spark, str(tmp_path / "log"))
-    own = stored.clone(inserter=lambda frame, path: calls.append((frame.count(), path)))
+    own = stored.clone(inserter=lambda frame, path: counted.append(frame.count()))
     own.append(rows(spark, "a", "b"))
-    assert calls == [(2, stored.path)]
-    threads = [threading.Thread(target=stored.append, args=(rows(spark, "x", "y", "z"),)) for _ in range(3)]
+    assert counted == [2] and not stored.commits.snapshot().table("events").open
+    threads = [threading.Thread(target=stored.clone().append, args=(rows(spark, "x", "y", "z"),)) for _ in range(3)]
     [t.start() for t in threads]
     [t.join() for t in threads]
-    # The ids of the event that was never written stay open.
+    # The ids of the events that were never written stay open.
     assert sorted(r["id"] for r in stored.events().collect()) == list(range(3, 12))
+    assert [r["id"] for r in stored.events(8).orderBy("id").collect()] == [9, 10, 11]
+
+
+class Paused:
+    """A writer that stops before, or after, its files are written, until it is told to go on."""
+
+    def __init__(self, stored, *keys, wrote=True):
+        self.at, self.go, self.failure = threading.Event(), threading.Event(), None
+
+        def inserter(frame, path):
+            if wrote:
+                append_parquet(frame, path)
+            first = not self.at.is_set()
+            self.at.set()
+            assert self.go.wait(60)
+            if not wrote or not first:
+                frame.write.mode("overwrite").parquet(path)
+
+        def work():
+            try:
+                stored.clone(inserter=inserter).append(rows(stored.spark, *keys))
+            except Exception as e:
+                self.failure = e
+
+        self.thread = threading.Thread(target=work)
+        self.thread.start()
+        assert self.at.wait(60)
+
+    def end(self):
+        self.go.set()
+        self.thread.join()
+
+
+def _ids(stored):
+    return [(r["id"], r["foreign_id"]) for r in stored.events().orderBy("id").collect()]
+
+
+@pytest.mark.parametrize("wrote", [True, False])
+def test_ids_are_given_once(spark, tmp_path, wrote):
+    """A writer that was overtaken between its reservation and its files keeps its ids."""
+    stored = StoredLog(spark, str(tmp_path / "log"))
+    stored.append(rows(spark, "a", "b"))
+    slow = Paused(stored, "c", "d", wrote=wrote)
+    stored.append(rows(spark, "e", "f"))
+    assert _ids(stored) == [(1, "a"), (2, "b"), (5, "e"), (6, "f")]
+    # Its reservation is alive: the filler waits, as it would for an open transaction.
+    assert fill_gaps(stored).poll() and len(_ids(stored)) == 4
+    slow.end()
+    assert slow.failure is None
+    assert _ids(stored) == [(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e"), (6, "f")] and not fill_gaps(stored).poll()
+
+
+def test_a_late_writer_cannot_write_over_the_filler(spark, tmp_path):
+    stored = StoredLog(spark, str(tmp_path / "log"), lease=timedelta(seconds=1000))
+    stored.append(rows(spark, "a", "b"))
+    late = Paused(stored, "c", "d")
+    stored.append(rows(spark, "e"))
+    filled = []
+    assert fill_gaps(stored, lease=timedelta(seconds=-1), counter=filled.append).poll() and filled == [2]
+    assert _ids(stored) == [(1, "a"), (2, "b"), (3, "0"), (4, "0"), (5, "e")]
+    late.end()
+    # Its events come behind, with ids of their own.
+    assert late.failure is None
+    assert _ids(stored) == [(1, "a"), (2, "b"), (3, "0"), (4, "0"), (5, "e"), (6, "c"), (7, "d")]
+
+
+def test_a_filler_that_is_overtaken_adds_nothing(spark, tmp_path):
+    stored = StoredLog(spark, str(tmp_path / "log"))
+    stored.append(rows(spark, "a"))
+    late = Paused(stored, "b")
+    stored.append(rows(spark, "c"))
+    filler = fill_gaps(stored, lease=timedelta(seconds=-1))
+
+    def inserter(frame, path):
+        append_parquet(frame, path)
+        late.end()
+
+    filler.handlers[0].target = stored.clone(inserter=inserter)
+    assert filler.poll() and _ids(stored) == [(1, "a"), (2, "b"), (3, "c")] and not filler.poll()
+
+
+def test_two_fillers(spark, tmp_path):
+    stored = StoredLog(spark, str(tmp_path / "log"))
+    stored.append(rows(spark, "a"))
+    stored.reserve(3)
+    stored.append(rows(spark, "b"))
+    filled = []
+    listeners = [fill_gaps(stored.clone(), lease=timedelta(seconds=-1), counter=filled.append) for _ in range(2)]
+    threads = [threading.Thread(target=x.poll) for x in listeners]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert _ids(stored) == [(1, "a"), (2, "0"), (3, "0"), (4, "0"), (5, "b")] and filled == [3]
+
+
+def test_a_long_writer_renews(spark, tmp_path):
+    stored = StoredLog(spark, str(tmp_path / "log"), lease=timedelta(seconds=1.5))
+    stored.append(rows(spark, "a"))
+    slow = Paused(stored, "b")
+    stored.append(rows(spark, "c"))
+    time.sleep(3)
+    assert fill_gaps(stored).poll() and len(_ids(stored)) == 2
+    slow.end()
+    assert _ids(stored) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_a_failed_writer_leaves_a_hole_at_once(spark, tmp_path):
+    stored = StoredLog(spark, str(tmp_path / "log"))
+    stored.append(rows(spark, "a"))
+
+    def fail(frame, path):
+        append_parquet(frame, path)
+        raise OSError("disk")
+
+    with pytest.raises(OSError):
+        stored.clone(inserter=fail).append(rows(spark, "b"))
+    stored.append(rows(spark, "c"))
+    assert _ids(stored) == [(1, "a"), (3, "c")] and fill_gaps(stored).poll()
+    assert _ids(stored) == [(1, "a"), (2, "0"), (3, "c")]
+
+
+def test_files_without_a_commit_log_are_taken_in(spark, tmp_path):
+    path = f"{tmp_path}/a log"
+    old = spark.createDataFrame([(i, 1, f"k{i}") for i in (1, 2, 5)], "id long, type int, foreign_id string").withColumns({"timestamp": F.lit("2024-01-01").cast("timestamp"), "metadata": F.lit(None).cast("binary"), "trace": F.lit(None).cast("binary")})
+    old.repartition(2).write.parquet(path)
+    stored = StoredLog(spark, path)
+    assert stored.events().count() == 3
+    stored.insert("new", 1)
+    assert _ids(stored) == [(1, "k1"), (2, "k2"), (5, "k5"), (6, "new")]
+    assert fill_gaps(stored, grace=F.expr("INTERVAL 100 YEARS")).poll() and len(_ids(stored)) == 4
+    assert fill_gaps(stored).poll() and [i for i, _ in _ids(stored)] == [1, 2, 3, 4, 5, 6]
 
 
 def test_holes_are_filled_in_the_log(spark, tmp_path):
     stored = StoredLog(spark, str(tmp_path / "log"))
     stored.append(rows(spark, "a"), now=F.lit("2024-01-01").cast("timestamp"))
-    stored.clone(inserter=lambda frame, path: None).append(rows(spark, "lost", "lost"))
+    stored.release(stored.reserve(2)[0])
     stored.append(rows(spark, "b"), now=F.lit("2024-01-02").cast("timestamp"))
-    stored.clone(inserter=lambda frame, path: None).append(rows(spark, "young"))
+    stored.reserve(1)
     stored.append(rows(spark, "c"))
     assert [tuple(r) for r in gaps.gaps(stored.events()).orderBy("prev").collect()] == [(1, 4), (4, 6)]
-    filled = []
-    listener = fill_gaps(stored, period=0.1, grace=F.expr("INTERVAL 1 HOUR"), counter=filled.append)
-    assert listener.poll() and filled == [2]
+    filled, found, listens = [], [], []
+    listener = fill_gaps(stored, period=0.1, counter=filled.append, found=found.append)
+    assert listener.poll() and filled == [2] and found == [2]
     got = {r["id"]: (r["foreign_id"], r["type"], r["timestamp"].day) for r in stored.events().collect()}
     assert got[2] == got[3] == ("0", 0, 2) and 5 not in got
-    # Again changes nothing while the last hole is young.
-    assert listener.poll() and stored.events().count() == 5
-    late = fill_gaps(stored, period=0.05)
+    # Again changes nothing while the last hole's writer may be alive.
+    assert listener.poll() and stored.events().count() == 5 and found == [2, 1]
+    late = fill_gaps(stored, period=0.05, lease=timedelta(seconds=-1), listening=listens.append)
     seen = threading.Event()
     late.listen(lambda holes: seen.set())
     late.start()
     assert seen.wait(30)
     late.stop()
-    assert late.failure is None and gaps.gaps(stored.events()).isEmpty() and not late.poll()
+    assert late.failure is None and gaps.gaps(stored.events()).isEmpty() and not late.poll() and listens == [True, False]
     never = fill_gaps(stored)
     never.stop()
 
 
+def _calls(spark, *ids, name="m"):
+    return spark.createDataFrame([(n, "c", i, f"{name}{n}") for n, i in enumerate(ids)], "seq long, consumer string, event_id long, error_msg string").withColumn("at", F.current_timestamp())
+
+
+def test_two_recorders_at_once(spark, tmp_path):
+    """Both merge against the same errors; the second to commit merges anew."""
+    both = threading.Barrier(2)
+    met = threading.local()
+
+    def inserter(frame, path):
+        append_parquet(frame, path)
+        if not getattr(met, "done", False):
+            met.done = True
+            both.wait(60)
+
+    stores = [ErrorStore(spark, f"{tmp_path}/errors", inserter=inserter) for _ in range(2)]
+    threads = [threading.Thread(target=s.record, args=(_calls(spark, 7, name=f"m{k}"),)) for k, s in enumerate(stores)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert [(r["id"], r["consumer"], r["event_id"]) for r in stores[0].errors().collect()] == [(1, "c", "7")]
+    assert sorted((r["id"], r["foreign_id"]) for r in stores[0].events.events().collect()) == [(1, "1"), (2, "1")]
+
+
+@pytest.mark.parametrize("where", ["inserter", "event_inserter"])
+def test_a_crash_leaves_neither_rows_nor_events(spark, tmp_path, where):
+    def fail(frame, path):
+        append_parquet(frame, path)
+        raise OSError("crash")
+
+    store = ErrorStore(spark, f"{tmp_path}/errors", **{where: fail})
+    with pytest.raises(OSError):
+        store.record(_calls(spark, 7))
+    whole = ErrorStore(spark, f"{tmp_path}/errors")
+    assert whole.errors().count() == 0 and whole.events.events().count() == 0
+    whole.record(_calls(spark, 7))
+    assert whole.errors().count() == 1 and whole.events.events().count() == 1
+
+
 def test_error_store(spark, tmp_path):
     counted, woken = [], Notifier()
     store = ErrorStore(spark, str(tmp_path / "errors"), ErrorColumns(error_msg="msg"), counter=lambda *a: counted.append(a), notifier=woken)
@@ -167,7 +377,7 @@ def test_error_store(spark, tmp_path):
     assert [(r["id"], r["consumer"], r["event_id"], r["error_msg"], r["error_status"]) for r in got] == [(1, "c", "7", "m0", 1), (2, "c", "8", "m1", 1), (3, "c", "9", "m1", 1)]
     events = store.events.events().orderBy("id").collect()
     assert [(r["id"], r["foreign_id"], r["type"], bytes(r["metadata"])) for r in events] == [(n, f, 1, b"c") for n, f in enumerate("12123", 1)]
-    assert wait.is_set() and counted == [("c", 3), ("c", 2)] and "msg" in spark.read.parquet(store.path).columns
+    assert wait.is_set() and counted == [("c", 3), ("c", 2)] and "msg" in spark.read.option("recursiveFileLookup", True).parquet(store.path).columns
     quiet = ErrorStore(spark, str(tmp_path / "quiet"), record_only=True)
     quiet.record(calls(1))
     assert quiet.errors().count() == 1 and quiet.events.events().count() == 0

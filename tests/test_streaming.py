@@ -123,7 +123,7 @@ def test_offsets_come_from_footers(spark, tmp_path):
     write(spark, path, [4, 5])
     write(spark, path, [6], at=now)
     files = Intervals(path)
-    assert [(a, b) for a, b, _ in files.runs(0, None)] == [(1, 3), (4, 5), (6, 6), (7, 7)]
+    assert [r[:2] for r in files.runs(0, None)] == [(1, 3), (4, 5), (6, 6), (7, 7)]
     assert files.runs(5, None)[0][:2] == (6, 6)
     end = lambda **options: EventLogStreamReader({"path": path, **options}).latestOffset()["after"]
     assert end() == 7 and end(lagMicros="3600000000") == 5 and end(limit="2") == 2 and end(after="7") == 7
@@ -158,8 +158,8 @@ def test_open_batch_comes_again(spark, tmp_path):
     path, cursors, seen = str(tmp_path / "log"), BufferedCursors(), []
     write(spark, path, range(1, 11))
     for _ in range(2):
-        batcher = patterns.Batcher("b", lambda: spark.read.parquet(path), lambda b: seen.append([r["id"] for r in b.collect()]), cursors, length=4)
-        run(spark, Spec(path, cursors, batcher.consumer(), TO_HEAD), str(tmp_path / "cp"))
+        consumer = patterns.BatchConsumer("b", lambda b: seen.append([r["id"] for r in b.collect()]), cursors=cursors, length=4)
+        run(spark, Spec(path, cursors, consumer, TO_HEAD), str(tmp_path / "cp"))
         write(spark, path, range(11, 20))
     assert seen == [[1, 2, 3, 4], [5, 6, 7, 8], [9, 10, 11, 12], [13, 14, 15, 16]] and cursors.get("b") == "16"
 
