@@ -13,20 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.llm import jaccard_join, line_dedup, mixing, packing, toxicity
-from logweir.llm.common import Scratch, table
+from logweir.llm.common import Scratch, table, unused
 
 
 def keep_ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go; the models are fitted to labelled documents of the input."""
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, scorer, column="__score").where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
+    (score,) = unused(docs, "__score")
+    return toxicity.scored(docs, scorer, column=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that several documents hold stay in one of them; n_chars follows the text."""
     out = line_dedup.drop_repeated_lines(docs)
-    kind = docs.schema["n_chars"].dataType
-    return out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    kind, dropped = docs.schema["n_chars"].dataType, out.columns[-1]
+    return out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +62,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        before, mark = docs, len(Scratch.opened)
-        docs = scratch.write(stage(spark, docs, sf_dir))
+        before = docs
+        with Scratch.group() as opened:
+            docs = scratch.write(stage(spark, docs, sf_dir))
         # Nothing reads the stage's own tables, or its input, any more.
-        Scratch.discard_since(mark)
+        Scratch.discard(opened)
         if k:
             scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

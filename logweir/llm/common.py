@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,25 +23,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sheltered(docs: DataFrame, *keep: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with other names for all columns but ``keep``, which no working column has, and those
+    names by the columns' own."""
+    names = {c: c if c in keep else f"other{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores in front until ``docs`` has no such column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage and to outlive lost executors.
 
-    They stay as long as a result may read them: to the end of the program, or until ``discard``."""
+    They stay as long as a result may read them: to the end of the program, or, where they were opened
+    in a ``group``, until it is discarded."""
 
-    opened: list["Scratch"] = []
+    _opened: list["Scratch"] = []
+    _group: ContextVar[list["Scratch"] | None] = ContextVar("group", default=None)
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
-        if not Scratch.opened:
-            atexit.register(Scratch.discard_since, 0)
-        Scratch.opened.append(self)
+        group = Scratch._group.get()
+        if group is not None:
+            group.append(self)
+            return
+        if not Scratch._opened:
+            atexit.register(Scratch.discard, Scratch._opened)
+        Scratch._opened.append(self)
+
+    @staticmethod
+    @contextmanager
+    def group() -> Iterator[list["Scratch"]]:
+        """What this thread opens inside, for ``discard``; other threads' tables are their own."""
+        opened: list[Scratch] = []
+        token = Scratch._group.set(opened)
+        try:
+            yield opened
+        finally:
+            Scratch._group.reset(token)
 
     @staticmethod
-    def discard_since(mark: int) -> None:
-        """Deletes the tables of all that were opened from the ``mark``-th on."""
-        late, Scratch.opened[mark:] = Scratch.opened[mark:], []
-        for scratch in late:
+    def discard(opened: list["Scratch"]) -> None:
+        """Deletes the tables of all that were opened."""
+        while opened:
+            scratch = opened.pop()
             try:
                 delete(scratch.spark, scratch.root)
             except Exception:

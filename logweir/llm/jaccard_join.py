@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweir.llm.chunks import Chunks, Docs
-from logweir.llm.common import Scratch, table, wide_hash
+from logweir.llm.common import Scratch, sheltered, table, wide_hash
 from logweir.llm.components import components
 from logweir.llm.text_hash import shingle_sets
 
@@ -270,6 +270,8 @@ def _same_id(chunks: Chunks) -> DataFrame:
 
 def keep_one(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One document of each group stays: that with the smallest doc_id, once. Rows without a doc_id stay."""
+    columns = docs.columns
+    docs, inner = sheltered(docs, "doc_id", "text")
     found = near_duplicates(docs.select("doc_id", "text"), width=width, percent=percent)
     first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("__first")).withColumnRenamed("doc_id", "__id")
     h1, h2 = wide_hash(F.coalesce(F.col("text"), F.lit("")))
@@ -277,7 +279,7 @@ def keep_one(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) ->
     # One exchange by doc_id serves the join and the window.
     own = rows.where(F.col("doc_id").isNotNull()).join(first, rows["doc_id"] == first["__id"]).where(F.col("__text") == F.col("__first"))
     once = own.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("__text"))).where("__k = 1")
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    names = [F.col(inner[c]).alias(c) for c in columns]
     return once.select(*names).union(rows.where(F.col("doc_id").isNull()).select(*names))
 
 

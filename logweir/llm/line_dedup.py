@@ -10,8 +10,8 @@ execution splits where a hash is hot. Each document then meets its list of dropp
 Edge cases. A null or empty text is one empty line. Keys shorter than ``min_length`` code points
 are never dropped. Rows that repeat a doc_id count as one document; each row is returned, and a
 key is kept or dropped alike in all of them. Null doc_ids count as one document that sorts before
-all others. Extra columns pass through ``drop_repeated_lines`` untouched; working columns start
-with ``__``. An empty table gives an empty result.
+all others. Extra columns of any name pass through ``drop_repeated_lines`` untouched. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm.common import BLANKS, Scratch, ascii_lower, table, wide_hash
+from logweir.llm.common import BLANKS, Scratch, ascii_lower, sheltered, table, unused, wide_hash
 
 MIN_LENGTH, MIN_DOCS = 20, 3
 
@@ -47,7 +47,10 @@ def dropped_positions(docs: DataFrame, *, min_length: int = MIN_LENGTH, min_docs
 
 
 def drop_repeated_lines(docs: DataFrame, *, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with ``text`` rebuilt, plus ``__n_lines`` and ``__n_dropped``."""
+    """``docs`` with ``text`` rebuilt, and two columns behind it: ``__n_lines`` and ``__n_dropped``, with
+    more underscores in front where ``docs`` has columns of these names."""
+    every, added = docs.columns, unused(docs, "__n_lines", "__n_dropped")
+    docs, inner = sheltered(docs, "doc_id", "text")
     at = dropped_positions(docs, min_length=min_length, min_docs=min_docs).withColumnsRenamed({"__id": "__d", "__row": "__r"})
     rows = docs.withColumn("__row", F.xxhash64("text"))
     joined = rows.join(at, rows["doc_id"].eqNullSafe(at["__d"]) & (rows["__row"] == at["__r"]), "left")
@@ -57,12 +60,10 @@ def drop_repeated_lines(docs: DataFrame, *, min_length: int = MIN_LENGTH, min_do
     rebuilt = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
     gone = F.coalesce(F.size("__at"), F.lit(0))
     text = F.when(F.col("__at").isNotNull(), rebuilt).otherwise(F.col("text"))
-    plain = [c for c in docs.columns if c != "text"]
-    names = {c: F.col(f"`{c}`") for c in plain} | {"text": text}
     return joined.select(
-        *[names[c].alias(c) for c in docs.columns],
-        count.cast("long").alias("__n_lines"),
-        F.when(F.col("__at").isNull(), 0).otherwise(gone).cast("long").alias("__n_dropped"),
+        *[(text if c == "text" else F.col(inner[c])).alias(c) for c in every],
+        count.cast("long").alias(added[0]),
+        F.when(F.col("__at").isNull(), 0).otherwise(gone).cast("long").alias(added[1]),
     )
 
 

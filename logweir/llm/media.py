@@ -3,8 +3,8 @@
 Writer. A payload becomes one 8-bit PCM track: frames of 576 samples, up to eight in a laced
 SimpleBlock, 32 blocks in a Cluster with a timestamp, and a CuePoint for each Cluster.
 
-Parser. EBML ids and sizes are read as variable-length integers; unknown sizes run to the parent's
-end. It walks Segment, Info, Tracks, Clusters, SimpleBlocks and BlockGroups, and Cues, splits
+Parser. EBML ids and sizes are read as variable-length integers; an element of unknown size, as live
+recordings have, ends where one comes that cannot be inside it, or with its parent. It walks Segment, Info, Tracks, Clusters, SimpleBlocks and BlockGroups, and Cues, splits
 fixed, Xiph and EBML lacing, and gives one packet a frame: track, timestamp in nanoseconds, byte
 offset and length, keyframe flag, cluster number. It copies no frame: packets are byte ranges.
 
@@ -36,6 +36,14 @@ EBML, SEGMENT, INFO, TRACKS, ENTRY, AUDIO, CLUSTER, CUES = 0x1A45DFA3, 0x1853806
 SCALE, DURATION, TIMESTAMP, SIMPLE, GROUP, BLOCK, REFERENCE = 0x2AD7B1, 0x4489, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 NUMBER, UID, KIND, LACING, CODEC, SAMPLING, CHANNELS, DEPTH = 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xB5, 0x9F, 0x6264
 POINT, CUE_TIME, POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+# SeekHead, Chapters, Attachments and Tags, which are skipped.
+_OTHERS = {0x114D9B74, 0x1043A770, 0x1941A469, 0x1254C367}
+#: Elements that only make sense inside one of others, and those that end one of unknown size.
+_PLACES = {BLOCK: {GROUP}, REFERENCE: {GROUP}, CUE_TIME: {POINT}, CUE_TRACK: {POINT}, CUE_CLUSTER: {POINT}, SIMPLE: {CLUSTER}, TIMESTAMP: {CLUSTER}}
+_TOP = {EBML, SEGMENT}
+_ENDED_BY = {SEGMENT: _TOP, CLUSTER: {*_TOP, CLUSTER, CUES, INFO, TRACKS, *_OTHERS}, CUES: {*_TOP, CLUSTER, INFO, TRACKS, *_OTHERS}, TRACKS: {*_TOP, CLUSTER, CUES, INFO, *_OTHERS}, INFO: {*_TOP, CLUSTER, CUES, TRACKS, *_OTHERS}}
+#: Open elements, one in another, that a sound file does not reach.
+_DEEPEST = 64
 _PARENTS = {SEGMENT, TRACKS, CLUSTER, CUES, GROUP, INFO, ENTRY, AUDIO, POINT, POSITIONS}
 
 
@@ -100,6 +108,7 @@ class Media:
         self.tracks: list[dict] = []
         self.scale, self.clusters, self.error = 1_000_000, 0, ""
         self._time, self._segment = 0, 0
+        self._key, self._cue = True, [0, 0]
         try:
             self._walk(0, len(self.data))
         except (IndexError, ValueError, struct.error) as broken:
@@ -115,43 +124,65 @@ class Media:
         return (raw if keep else raw & (1 << 7 * width) - 1), at + width, width
 
     def _walk(self, at: int, end: int) -> None:
-        while at < end:
-            kind, at, _ = self._vint(at, keep=True)
-            size, at, width = self._vint(at)
-            stop = end if size == (1 << 7 * width) - 1 else at + size
-            if stop > end:
+        """Goes through the elements with a stack of those that are open."""
+        # Kind, end, whether the size is unknown, packets before it, of each open element.
+        open_ = [(0, end, False, 0)]
+        while True:
+            while len(open_) > 1 and at >= open_[-1][1]:
+                self._leave(*open_.pop())
+            stop = open_[-1][1]
+            if at >= stop:
+                return
+            kind, body, _ = self._vint(at, keep=True)
+            # An element of unknown size ends where one comes that cannot be inside it.
+            while open_[-1][2] and kind in _ENDED_BY.get(open_[-1][0], ()):
+                self._leave(*open_.pop())
+            stop = open_[-1][1]
+            size, body, width = self._vint(body)
+            unknown = size == (1 << 7 * width) - 1
+            if unknown and kind not in _PARENTS:
+                raise ValueError(f"element {kind:x} of unknown size at byte {at}")
+            last = stop if unknown else body + size
+            if last > stop:
                 if kind not in _PARENTS:
-                    raise ValueError(f"element {kind:x} is cut at byte {at}")
-                self.error, stop = f"element {kind:x} is cut", end
-            self._enter(kind, at, stop)
-            at = stop
+                    raise ValueError(f"element {kind:x} is cut at byte {body}")
+                self.error, last = f"element {kind:x} is cut", stop
+            self._enter(kind, body, last, {k for k, *_ in open_})
+            if kind in _PARENTS:
+                if len(open_) > _DEEPEST:
+                    raise ValueError(f"elements are nested too deep at byte {at}")
+                open_.append((kind, last, unknown, len(self.packets)))
+                at = body
+            else:
+                at = last
+
+    def _leave(self, kind: int, stop: int, unknown: bool, first: int) -> None:
+        if kind == GROUP and not self._key:
+            # A block that refers to another is no keyframe; the reference may follow the block.
+            self.packets[first:] = [p._replace(keyframe=False) for p in self.packets[first:]]
 
     def _uint(self, at: int, stop: int) -> int:
         return int.from_bytes(self.data[at:stop], "big")
 
-    def _enter(self, kind: int, at: int, stop: int) -> None:
+    def _enter(self, kind: int, at: int, stop: int, inside: set[int]) -> None:
+        if kind in _PLACES and not inside & _PLACES[kind]:
+            raise ValueError(f"element {kind:x} is out of place at byte {at}")
         if kind == SIMPLE:
             self._block(at, stop, None)
         elif kind == BLOCK:
             self._block(at, stop, self._key)
         elif kind == GROUP:
-            # A block that refers to another is no keyframe; the reference may follow the block.
-            self._key, first = True, len(self.packets)
-            self._walk(at, stop)
-            if not self._key:
-                self.packets[first:] = [p._replace(keyframe=False) for p in self.packets[first:]]
+            self._key = True
         elif kind == REFERENCE:
             self._key = False
         elif kind == CLUSTER:
             self.clusters += 1
-            self._walk(at, stop)
         elif kind == TIMESTAMP:
             self._time = self._uint(at, stop)
         elif kind == SCALE:
             self.scale = self._uint(at, stop)
         elif kind == ENTRY:
             self.tracks.append({})
-            self._walk(at, stop)
         elif kind in (NUMBER, KIND, CHANNELS, DEPTH):
             if self.tracks:
                 self.tracks[-1][{NUMBER: "number", KIND: "kind", CHANNELS: "channels", DEPTH: "depth"}[kind]] = self._uint(at, stop)
@@ -159,15 +190,12 @@ class Media:
             self.tracks[-1]["codec"] = self.data[at:stop].decode("latin-1")
         elif kind == POINT:
             self._cue = [0, 0]
-            self._walk(at, stop)
         elif kind in (CUE_TIME, CUE_TRACK):
             self._cue[kind == CUE_TRACK] = self._uint(at, stop)
         elif kind == CUE_CLUSTER:
             self.cues.append((self._cue[0] * self.scale, self._cue[1], self._segment + self._uint(at, stop)))
-        elif kind in _PARENTS:
-            if kind == SEGMENT:
-                self._segment = at
-            self._walk(at, stop)
+        elif kind == SEGMENT:
+            self._segment = at
 
     def _block(self, at: int, stop: int, key: bool | None) -> None:
         track, at, _ = self._vint(at)

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweir.llm.common import table
+from logweir.llm.common import sheltered, table, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -80,10 +80,21 @@ def _demand(at: Column, rank: Column, schedules) -> Column:
     return _by_rank(rank, schedules, lambda a, b: (F.lit(float(a)) * at + F.lit((b - a) / 2.0) * at * at) / F.lit((a + b) / 2.0))
 
 
+_ADDED = ["__size", "__source_size", "__target", "__copies", "__taken"]
+_READ = ["doc_id", "text", "source", "n_chars"]
+
+
 def mixed(docs: DataFrame, *, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES) -> DataFrame:
-    """``docs`` plus __size, __source_size, __target, __copies and __taken, their words together.
-    __copies has the training position and the words of each copy in training, in order. ``docs``
-    needs doc_id, text and source; other columns pass through."""
+    """``docs`` plus __size, __source_size, __target, __copies and __taken, their words together; with
+    more underscores in front where ``docs`` has such columns. __copies has the training position and
+    the words of each copy in training, in order. ``docs`` needs doc_id, text and source; other columns, of
+    any name, pass through."""
+    inner, names = sheltered(docs, *_READ)
+    out = _mixed(inner, weights, max_repeats, schedules)
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], *[F.col(c).alias(n) for c, n in zip(_ADDED, unused(docs, *_ADDED), strict=True)])
+
+
+def _mixed(docs: DataFrame, weights, max_repeats: int, schedules) -> DataFrame:
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.withColumns({"__size": word_count(F.col("text")), "__key": order, "__row": F.xxhash64("text")})
     rows = rows.withColumn("__bucket", F.substring("__key", 1, 3))
@@ -124,7 +135,9 @@ def mixed(docs: DataFrame, *, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, s
 def curriculum(docs: DataFrame, *, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES) -> DataFrame:
     """The training order: one row a copy of a document, with the columns of ``docs``, sorted by
     position. The copy that the target cuts keeps its first words only, up to the cut."""
-    m = mixed(docs, weights=weights, max_repeats=max_repeats, schedules=schedules)
+    columns = docs.columns
+    docs, names = sheltered(docs, *_READ)
+    m = _mixed(docs, weights, max_repeats, schedules)
     copies = m.withColumn("__copy", F.explode("__copies"))
     cut = F.col("__copy.words") < F.col("__size")
     words = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), F.col("__copy.words").cast("int"))
@@ -132,7 +145,7 @@ def curriculum(docs: DataFrame, *, weights=WEIGHTS, max_repeats: int = MAX_REPEA
     copies = copies.withColumn("text", text)
     if "n_chars" in docs.columns:
         copies = copies.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return copies.orderBy("__copy.at", "doc_id", "__copy.epoch").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return copies.orderBy("__copy.at", "doc_id", "__copy.epoch").select(*[F.col(names[c]).alias(c) for c in columns])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,6 +161,35 @@ def test_lacing(data, frames):
     assert m.tracks[0]["codec"] == "A_PCM/INT/LIT" and m.packets[0].keyframe == (frames != [b"q"])
 
 
+def test_foreign_media():
+    """Elements out of place, deep nests and live recordings: an error or packets, never a crash."""
+    segment = lambda body: media._HEAD + media.element(media.SEGMENT, media._TRACKS + body)
+    lone = media.element(media.CLUSTER, media.number(media.TIMESTAMP, 0) + block(0x80, b"a") + media.element(media.BLOCK, b"\x81\x00\x00\x00q"))
+    for body in (lone, media.element(media.CUES, media.number(media.CUE_TIME, 3)), media.element(media.BLOCK, b"\x81\x00\x00\x00q"), media.element(media.CUES, media.number(media.CUE_CLUSTER, 3)), block(0x80, b"x")):
+        assert "out of place" in media.Media(segment(body)).error
+    assert media.Media(segment(lone)).payload() == b"a"
+    nest = b""
+    for _ in range(3000):
+        nest = media.element(media.GROUP, nest)
+    assert "too deep" in media.Media(segment(nest)).error
+    # Clusters of unknown size end where the next begins, and before the cues.
+    live = b"".join(media._id(media.CLUSTER) + b"\xff" + media.number(media.TIMESTAMP, 10 * k) + block(0x80, bytes([k % 256])) for k in range(2000))
+    cues = media.element(media.CUES, media.element(media.POINT, media.number(media.CUE_TIME, 5) + media.element(media.POSITIONS, media.number(media.CUE_TRACK, 1) + media.number(media.CUE_CLUSTER, 9))))
+    data = media._HEAD + media._id(media.SEGMENT) + b"\x01" + b"\xff" * 7 + media._TRACKS + live + cues
+    m = media.Media(data)
+    assert m.error == "" and m.clusters == 2000 and m.payload() == bytes(k % 256 for k in range(2000)) and len(m.cues) == 1
+    assert [p.timestamp_ns // 1_000_000 - 7 for p in m.packets[:3]] == [0, 10, 20] and [p.cluster for p in m.packets[:3]] == [1, 2, 3]
+    import random
+
+    rng = random.Random(1)
+    good = media.write_matroska(b"\x01" * 576 * 20)
+    for _ in range(400):
+        data = bytearray(good)
+        for _ in range(rng.randint(1, 6)):
+            data[rng.randrange(len(data) if rng.random() < 0.3 else 200)] = rng.randrange(256)
+        media.Media(bytes(data))
+
+
 def test_damaged_media():
     good = media.write_matroska(b"\x01" * 576 * 300)
     whole = media.Media(good)
@@ -567,3 +596,57 @@ def test_registry():
     names = registry.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert set(registry.oracle_sql()) <= set(names)
+
+
+CLASHING = ["__d", "__at", "__row", "__n_lines", "__n_dropped", "__rank", "__taken", "__size", "__key", "__copies", "__copy", "__id", "__first", "__text", "__k", "__score", "other0", "h2", "__uid", "__group"]
+
+
+def test_extra_columns_may_have_any_name(spark, folder):
+    """Columns named like working columns go through every stage as they are."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from logweir.llm import jaccard_join, line_dedup, mixing
+
+    plain = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = plain.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING})
+
+    def kept(out):
+        rows = out.select("doc_id", *CLASHING).collect()
+        assert rows and all(r[c] == f"{c}{'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in CLASHING)
+
+    lines = line_dedup.drop_repeated_lines(docs)
+    assert lines.columns == [*docs.columns, "___n_lines", "___n_dropped"]
+    kept(lines)
+    assert mixing.mixed(docs).columns[-5:] == ["___size", "__source_size", "__target", "___copies", "___taken"]
+    kept(mixing.mixed(docs))
+    kept(jaccard_join.keep_one(docs))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        kept(out)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() > 0
+
+
+def test_scratch_tables_belong_to_their_group(spark):
+    import threading
+
+    from logweir.llm.common import Scratch
+
+    out = {}
+
+    def other():
+        out["table"] = Scratch(spark, "other").write(spark.range(5))
+
+    with Scratch.group() as opened:
+        own = Scratch(spark, "own").write(spark.range(3))
+        thread = threading.Thread(target=other)
+        thread.start()
+        thread.join()
+        assert own.count() == 3
+    Scratch.discard(opened)
+    assert opened == [] and out["table"].count() == 5
+    import pytest
+
+    with pytest.raises(Exception):
+        spark.read.parquet(own.scratch_path)
