@@ -1,45 +1,60 @@
 """Positions and running values along the whole log, without one task that holds it.
 
-A window over the whole log would sort it in a single task. Here rows fall into buckets of
-consecutive ids, each bucket is windowed alone, and the running value of the buckets before it,
-a table of one row a bucket, is joined on.
+A window over the whole log would sort it in a single task. Here a key's bits make a tree: rows with the same
+leading 48 bits are a bucket, buckets with the same leading 32 bits are one of the next level, and
+so on. Each bucket is windowed alone; the value of the rows before it comes from the level above, where it is
+one row. A bucket has at most 65 536 rows of the level below, however dense or sparse the keys are, and
+the top has at most as many, so that every window is bounded.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ids in one bucket.
-SPAN = 1 << 16
+#: Bits of the key that each level takes off.
+SHIFTS = (16, 16, 16)
+_BEFORE = (Window.unboundedPreceding, -1)
+
+
+def _add(a: Column, b: Column) -> Column:
+    return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+
+
+def _carried(cells: DataFrame, fold: Callable, both: Callable, shifts: Sequence[int]) -> DataFrame:
+    """(__k, __before): what the cells (__k, __v) with smaller keys fold to, null for none."""
+    if not shifts:
+        return cells.select("__k", fold("__v").over(Window.orderBy("__k").rowsBetween(*_BEFORE)).alias("__before"))
+    rows = cells.withColumn("__g", F.shiftright("__k", shifts[0]))
+    inside = fold("__v").over(Window.partitionBy("__g").orderBy("__k").rowsBetween(*_BEFORE))
+    above = _carried(rows.groupBy(F.col("__g").alias("__k")).agg(fold("__v").alias("__v")), fold, both, shifts[1:])
+    rows = rows.withColumn("__in", inside).join(above.select(F.col("__k").alias("__g"), F.col("__before").alias("__out")), "__g")
+    return rows.select("__k", both(F.col("__in"), F.col("__out")).alias("__before"))
 
 
-def _bucket(key: Column, span: int) -> Column:
-    return F.floor(key / span).cast("bigint")
+def _with_bucket(rows: DataFrame, key: str, value: Column, fold: Callable, both: Callable, own: Callable, shifts: Sequence[int]) -> DataFrame:
+    """``rows`` with __own, ``own`` over the bucket's window in order of the key, and __before, what the
+    buckets before fold to."""
+    rows = rows.withColumn("__k", F.shiftright(F.col(key).cast("bigint"), shifts[0]))
+    cells = rows.groupBy("__k").agg(fold(value).alias("__v"))
+    return rows.withColumn("__own", own(Window.partitionBy("__k").orderBy(key))).join(_carried(cells, fold, both, shifts[1:]), "__k").drop("__k")
 
 
-def with_position(rows: DataFrame, key: str = "id", name: str = "pos", *, span: int = SPAN) -> DataFrame:
+def with_position(rows: DataFrame, key: str = "id", name: str = "pos", *, shifts: Sequence[int] = SHIFTS) -> DataFrame:
     """Adds the row number, from 1, in order of an integer key without ties."""
-    rows = rows.withColumn("__b", _bucket(F.col(key), span))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    starts = counts.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
-    own = F.row_number().over(Window.partitionBy("__b").orderBy(key))
-    return rows.withColumn("__r", own).join(starts, "__b").withColumn(name, (F.col("__r") + F.col("__s")).cast("bigint")).drop("__b", "__r", "__s")
+    out = _with_bucket(rows, key, F.lit(1), F.sum, _add, lambda w: F.row_number().over(w), shifts)
+    return out.withColumn(name, _add(F.col("__own"), F.col("__before")).cast("bigint")).drop("__own", "__before")
 
 
-def with_running_max(rows: DataFrame, key: str, value: str, name: str, *, span: int = SPAN) -> DataFrame:
+def with_running_max(rows: DataFrame, key: str, value: str, name: str, *, shifts: Sequence[int] = SHIFTS) -> DataFrame:
     """Adds the maximum of ``value`` over all rows up to and including this one by ``key``."""
-    rows = rows.withColumn("__b", _bucket(F.col(key), span))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    tops = rows.groupBy("__b").agg(F.max(value).alias("__m")).select("__b", F.max("__m").over(before).alias("__above"))
-    own = F.max(value).over(Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__own", own).join(tops, "__b").withColumn(name, F.greatest("__own", "__above")).drop("__b", "__own", "__above")
+    out = _with_bucket(rows, key, F.col(value), F.max, F.greatest, lambda w: F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), shifts)
+    return out.withColumn(name, F.greatest("__own", "__before")).drop("__own", "__before")
 
 
-def with_previous(rows: DataFrame, key: str = "id", name: str = "prev", *, span: int = SPAN) -> DataFrame:
+def with_previous(rows: DataFrame, key: str = "id", name: str = "prev", *, shifts: Sequence[int] = SHIFTS) -> DataFrame:
     """Adds the key of the row before; null at the start."""
-    rows = rows.withColumn("__b", _bucket(F.col(key), span))
-    last = rows.groupBy("__b").agg(F.max(key).alias("__last")).select("__b", F.lag("__last").over(Window.orderBy("__b")).alias("__before"))
-    own = F.lag(key).over(Window.partitionBy("__b").orderBy(key))
-    return rows.withColumn("__own", own).join(last, "__b").withColumn(name, F.coalesce("__own", "__before")).drop("__b", "__own", "__before")
+    out = _with_bucket(rows, key, F.col(key), F.max, F.greatest, lambda w: F.lag(key).over(w), shifts)
+    return out.withColumn(name, F.coalesce("__own", "__before")).drop("__own", "__before")

@@ -351,7 +351,7 @@ _DONE = f"{LOG}, k AS (SELECT id, (id + (id * 37) % 23) * 100 + (id * 37) % 23 A
 def completion_watermark(spark, folder):
     late = (F.col("id") * 37) % 23
     done = _log(spark, folder).select("id", ((F.col("id") + late) * 100 + late).alias("at"))
-    return progress.watermark(with_position(done, "at", "done_pos", span=1 << 22))
+    return progress.watermark(with_position(done, "at", "done_pos"))
 
 
 _FAILS = "(id * 31) % 6"

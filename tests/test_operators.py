@@ -1,5 +1,6 @@
 """Operators against golden values and plain models."""
 
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logweir import errors
 from logweir.operators import batching, cursors, filters, gaps, log, progress, retries, waiting
-from logweir.operators.ordering import with_position, with_previous, with_running_max
+from logweir.operators.ordering import SHIFTS, with_position, with_previous, with_running_max
 from logweir.schema import EVENT, EventColumns
 from logweir.sources.blobs import Bucket, json_values
 from logweir.sources.memory import MemoryLog
@@ -25,9 +26,11 @@ def ids(frame):
     return sorted(r["id"] for r in frame.select("id").collect())
 
 
-def test_running_values_cross_buckets(spark):
-    rows = spark.createDataFrame([(i, (i * 7) % 11) for i in range(3, 60, 2)], "id long, v long")
-    got = sorted(with_running_max(with_previous(with_position(rows, span=8), span=8), "id", "v", "m", span=8).collect())
+@pytest.mark.parametrize("keys, shifts", [(range(3, 60, 2), (3, 2)), ([k << 22 for k in range(1, 40)], SHIFTS), ([3, 4, 1 << 20, 1 << 33, (1 << 33) + 1, 1 << 50, (1 << 50) + 65536, 1 << 62], SHIFTS), ([-(1 << 50), -5, 0, 7], SHIFTS)])
+def test_running_values_cross_buckets(spark, keys, shifts):
+    rows = spark.createDataFrame([(i, (i * 7) % 11) for i in keys], "id long, v long")
+    got = sorted(with_running_max(with_previous(with_position(rows, shifts=shifts), shifts=shifts), "id", "v", "m", shifts=shifts).collect())
+    assert len(got) == len(keys)
     best, before = -1, None
     for n, r in enumerate(got, 1):
         best = max(best, r["v"])
@@ -35,6 +38,36 @@ def test_running_values_cross_buckets(spark):
         before = r["id"]
 
 
+def _folded(rows, length, period):
+    """One after the other: rows (part, id, micros)."""
+    out, now = [], {}
+    for part, i, t in sorted(rows):
+        open_ = now.get(part)
+        if open_ is None or length and open_[4] == length or period and t >= open_[5] + period:
+            now[part] = open_ = [part, 0 if open_ is None else open_[1] + 1, i, i, 0, t]
+            out.append(open_)
+        open_[3], open_[4] = i, open_[4] + 1
+    return sorted(tuple(b[:5]) for b in out)
+
+
+@pytest.mark.parametrize("length, period, step", [(0, 7, 3), (5, 0, 3), (4, 9, 3), (0, 200, 3), (50, 0, 3), (3, 1000, 3), (0, 1, 3), (6, 30, 40)])
+def test_batches_in_parallel(spark, length, period, step):
+    """Buckets of few events, batches shorter and longer than a bucket, times that go back, sparse ids."""
+    rng = random.Random(length * 1000 + period)
+    rows, t = [], 0
+    for n in range(120):
+        t += rng.randint(0, step) if rng.random() < 0.9 else -rng.randint(0, 2 * step)
+        rows.append((n % 3 and 1, (n + 1) << rng.choice([3]), t))
+    table = spark.createDataFrame([(p, i, T0 + timedelta(microseconds=t)) for p, i, t in rows], "shard long, id long, timestamp timestamp").repartition(5)
+    base = int(T0.timestamp() * 1e6)
+    for size in (1, 4, 16, None):
+        got = sorted(tuple(r) for r in batching.fold(table, length=length, period_micros=period, size=size).collect())
+        assert got == _folded([(0, i, base + t) for _, i, t in rows], length, period), size
+    got = sorted(tuple(r) for r in batching.fold(table, length=length, period_micros=period, by="shard", size=8).collect())
+    assert got == _folded([(p, i, base + t) for p, i, t in rows], length, period)
+    assert batching.fold(table.limit(0), length=length, period_micros=period).count() == 0
+
+
 def test_pages(spark):
     table = events(spark, range(1, 1101))
     assert ids(log.page(table, 0, 10)) == list(range(1, 11))
