@@ -13,7 +13,9 @@ becomes one row a language: its distinct words with counts, and its tokens as co
 words are summed over the corpus by the JVM; the frequent ones get their numbers from a range-sorted table;
 a plain join, which adaptive execution may split, tells them to the chunks. A word met more than ``LOAD``
 times is a hot pivot: its fragments are dealt to several partitions by chunk, whose counts are added up
-after. The others are final where they are counted, and only frequent phrases leave. Scores are decimals of 38 digits, exact.
+after. The others are final where they are counted, and only frequent phrases leave. Scores are decimals
+of 38 digits, exact. The best of a language are chosen in rounds over fewer and fewer parts, so that no
+task sees more of a language than the best of eight parts.
 
 Edge cases. A null text is empty; a null lang is ``und``, as is a lang of that name. Rows that repeat a
 doc_id count each. Words are compared whole, as bytes; no hash stands for one. An empty table gives an empty
@@ -36,6 +38,8 @@ from logweir.llm.common import Scratch, table
 LEAST, TOP, COVER = 10, 2000, 50
 #: Mean bytes of text in a chunk; occurrences of a pivot that one partition takes; bytes of fragments counted at once.
 CHUNK_BYTES, LOAD, BUFFER = 6_000_000, 500_000, 8_000_000
+#: Parts of a language's phrases in each round of choosing; each takes the best ``TOP`` of its parts.
+ROUNDS = (64, 8, 1)
 #: Characters that end a piece, and what stands for them: a byte that UTF-8 does not have.
 _ENDS, _END = b".,;:!?\n\x0b\x0c\r", b"\xff"
 _TABLE = bytes.maketrans(_ENDS, _END * len(_ENDS))
@@ -237,9 +241,11 @@ def collocations(docs: DataFrame, *, least: int = LEAST, top: int = TOP) -> Data
     cut = cut.join(word(1), "w1").join(word(2).drop("f2"), "w2").join(word(3), "w3").withColumns({"s1": _score("a", "f1", "f23"), "s2": _score("a", "f12", "f3")})
     first = F.col("s1") <= F.col("s2")
     triples = cut.select("lang", F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"), "a", F.when(first, F.col("f1")).otherwise(F.col("f12")).alias("l"), F.when(first, F.col("f23")).otherwise(F.col("f3")).alias("r"), F.least("s1", "s2").alias("score"))
-    # A window with a limit on its rank keeps the best of each task before anything is shuffled.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = pairs.unionByName(triples).withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
+    best = pairs.unionByName(triples).withColumn("deal", F.xxhash64("phrase"))
+    for parts in ROUNDS:
+        # A window with a limit on its rank keeps the best of each task before anything is shuffled.
+        rank = F.row_number().over(Window.partitionBy("lang", F.pmod("deal", F.lit(parts))).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+        best = best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
