@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import threading
+from collections.abc import Callable
 from datetime import datetime, timezone
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,16 +77,19 @@ class MemoryCursors:
 class BufferedCursors:
     """A store that only goes forward; unless ``buffered`` is off, sets wait for a flush.
 
-    With a ``period`` in seconds, a set that still waits after it is flushed in the background. A
+    ``rank`` is what cursors compare by where neither integers nor text will do: for those of blobs,
+    ``functions.blobs.rank_of``. With a ``period`` in seconds, a set that still waits after it is flushed in the background. A
     failure there is raised by the next set or flush. ``on_set`` is told of each stored cursor."""
 
-    def __init__(self, *, strings: bool = False, buffered: bool = True, period: float | None = None, on_set=None):
-        self.strings, self.buffered, self.period, self.on_set = strings, buffered, period, on_set
+    def __init__(self, *, strings: bool = False, buffered: bool = True, period: float | None = None, on_set=None, rank: Callable[[str], Any] | None = None):
+        self.strings, self.buffered, self.period, self.on_set, self.rank = strings, buffered, period, on_set, rank
         self.stored: dict[str, str] = {}
         self.waiting: dict[str, str] = {}
         self._lock, self._timer, self._failure = threading.RLock(), None, None
 
     def _key(self, cursor: str):
+        if self.rank:
+            return self.rank(cursor)
         if self.strings:
             return cursor
         try:
@@ -154,7 +159,7 @@ class TableCursors(BufferedCursors):
         self.records = Versions(spark, url)
 
     def clone(self, **changes) -> "TableCursors":
-        same = {"columns": self.columns, "period": self.period, "strings": self.strings, "buffered": self.buffered, "on_set": self.on_set}
+        same = {"columns": self.columns, "period": self.period, "strings": self.strings, "buffered": self.buffered, "on_set": self.on_set, "rank": self.rank}
         return TableCursors(self.spark, changes.pop("url", self.url), **same | changes)
 
     def get(self, consumer: str) -> str:

@@ -505,8 +505,8 @@ def blob_resume(spark, folder):
     rows.repartition("day").sortWithinPartitions("day", "id").select("day", "value").write.partitionBy("day").text(url)
     bucket = Bucket(url, "day=")
     # One key a day.
-    keys = [r["key"] for r in bucket.blobs(spark).select("key").where(F.col("key").startswith("day=2024-01-02/")).collect()]
-    events = bucket.stream(spark, f"{keys[0]}|01|5" if keys else "")
+    key = next((k for k in bucket.keys("day=2024-01-02/") if k.startswith("day=2024-01-02/")), None)
+    events = bucket.stream(spark, f"{key}|01|5" if key else "")
     record = F.from_json(F.col("metadata").cast("string"), "id long, foreign_id string")
     return events.select(record["id"].alias("id"), F.translate(F.substring("id", 5, 10), "-", "/").alias("day"))
 

@@ -1,17 +1,32 @@
-"""A paged API as a log: a function from a cursor to the next page of events."""
+"""A paged API as a log: a function from a cursor to the next page of events.
+
+``Poller`` gives the events one by one. ``live`` makes them a stream. An API may not give a page twice, so
+each page is written to a journal in a shared folder before its offset is known to the engine: a
+micro-batch that fails, or a query that starts again from its checkpoint, reads the same pages from there. The
+offset is the number of pages. A page that was journalled when the query died is the next page of the
+one that comes after; the API is asked again from its last event on. Pages that a micro-batch has committed
+are deleted, but for the last, whose cursor goes on.
+"""
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from logweir.operators.ordering import with_position
 
 #: Seconds to wait after an empty page.
 BACKOFF = 60.0
+SCHEMA = "id string, type int, foreign_id string, timestamp timestamp, metadata binary, trace binary"
 
 
 class Poller:
@@ -31,6 +46,101 @@ class Poller:
                 yield event
 
 
+class Journal:
+    """Pages by number in a folder, each written aside and moved to its name whole."""
+
+    def __init__(self, url: str):
+        self.system, path = fs.FileSystem.from_uri(url) if "://" in url else (fs.LocalFileSystem(), url)
+        self.path = path.rstrip("/")
+        self.system.create_dir(self.path, recursive=True)
+
+    def last(self) -> int:
+        """The number of the last page, 0 without any."""
+        names = [f.base_name for f in self.system.get_file_info(fs.FileSelector(self.path))]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def write(self, number: int, events: list[dict]) -> None:
+        aside = f"{self.path}/.{uuid.uuid4().hex}"
+        with self.system.open_output_stream(aside) as out:
+            out.write("".join(json.dumps(e, default=_coded) + "\n" for e in events).encode())
+        self.system.move(aside, f"{self.path}/{number:012d}")
+
+    def read(self, number: int) -> list[dict]:
+        with self.system.open_input_stream(f"{self.path}/{number:012d}") as raw:
+            return [json.loads(line) for line in raw.read().splitlines()]
+
+    def forget(self, before: int) -> None:
+        for info in self.system.get_file_info(fs.FileSelector(self.path)):
+            if info.base_name.isdigit() and int(info.base_name) < before:
+                self.system.delete_file(info.path)
+
+
+def _coded(value):
+    """What JSON has no form for: bytes as hexadecimal digits, times as text with their zone."""
+    if isinstance(value, (bytes, bytearray)):
+        return value.hex()
+    if isinstance(value, datetime):
+        return value.astimezone(timezone.utc).isoformat()
+    raise TypeError(type(value).__name__)
+
+
+class Page(InputPartition):
+    def __init__(self, number: int):
+        super().__init__(number)
+
+
+class PollReader(DataSourceStreamReader):
+    """Options: journal (a shared folder), after, backoff (seconds), pages (in a micro-batch at most)."""
+
+    def __init__(self, options, poll: Callable[[str], list[dict]], clock: Callable[[], float] = time.monotonic):
+        self.journal, self.poll, self.clock = Journal(options["journal"]), poll, clock
+        self.after, self.backoff, self.pages = options.get("after") or "", float(options.get("backoff") or BACKOFF), int(options.get("pages") or 10)
+        self.page = self.journal.last()
+        #: When the API may be asked again.
+        self.again = 0.0
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"page": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        for _ in range(self.pages):
+            if self.clock() < self.again:
+                break
+            cursor = str(self.journal.read(self.page)[-1]["id"]) if self.page else self.after
+            events = self.poll(cursor)
+            if not events:
+                self.again = self.clock() + self.backoff
+                break
+            self.journal.write(self.page + 1, events)
+            self.page += 1
+        return {"page": self.page}
+
+    def partitions(self, start: dict, end: dict) -> list[Page]:
+        kept = self.journal.last()
+        return [Page(n) for n in range(start["page"] + 1, min(end["page"], kept) + 1)]
+
+    def read(self, part: Page) -> Iterator[pa.RecordBatch]:
+        rows = self.journal.read(part.value)
+        columns = {
+            "id": pa.array([str(r["id"]) for r in rows], pa.string()), "type": pa.array([r.get("type", 0) for r in rows], pa.int32()), "foreign_id": pa.array([str(r.get("foreign_id", "")) for r in rows], pa.string()),
+            "timestamp": pa.array([datetime.fromisoformat(r["timestamp"]) if r.get("timestamp") else None for r in rows], pa.timestamp("us", "UTC")),
+            **{k: pa.array([bytes.fromhex(r[k]) if r.get(k) else None for r in rows], pa.binary()) for k in ("metadata", "trace")},
+        }
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    def commit(self, end: dict) -> None:
+        self.journal.forget(end["page"])
+
+
+def live(spark: SparkSession, poll: Callable[[str], list[dict]], journal: str, **options) -> DataFrame:
+    """The events of a poll function as a stream; each is a dict with an id, and any of type, foreign_id,
+    timestamp, metadata and trace. The function is sent to the process that plans the stream."""
+    name = f"poll_{uuid.uuid4().hex}"
+    parts = {"name": classmethod(lambda cls: name), "schema": lambda self: SCHEMA, "streamReader": lambda self, schema: PollReader(self.options, poll)}
+    spark.dataSource.register(type("PollSource", (DataSource,), parts))
+    return spark.readStream.format(name).options(journal=journal, **{k: str(v) for k, v in options.items()}).load()
+
+
 def pages(events: DataFrame, limit: int) -> DataFrame:
     """(page, first_id, last_id, n): the pages that polling a log in steps of ``limit`` sees."""
     rows = with_position(events.select("id")).withColumn("page", F.floor((F.col("pos") - 1) / limit).cast("bigint"))
