@@ -1,60 +1,92 @@
-"""A cache of a log's newest events, so that readers near the head share one load."""
+"""A cache of a log's newest events on the executors, so that consumers near the head share one load."""
 
 from __future__ import annotations
 
 import threading
-from bisect import bisect_right
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from logweir.operators.log import PAGE, page
-
-#: Events that are kept.
+#: Ids that are kept.
 SIZE = 10_000
 
 
-class HeadCache:
-    """Pages of a log from memory where its newest events hold them, else from the log.
+@dataclass
+class Piece:
+    """Ids behind ``after`` up to ``upto``, persisted."""
+
+    after: int
+    upto: int
+    rows: DataFrame
+
+
+class TailCache:
+    """Ranges of a log from persisted pieces where they hold them, else from the log.
+
+    ``events`` gives the events behind an id, from the files that hold them (``StoredLog.events``). The pieces
+    are one range without a break. A range that goes on where they end is loaded from there and appended; one
+    that begins behind their end takes their place; an older one is read and not kept. Pieces leave from the
+    front once more than ``size`` ids are kept. They lie in the executors' memory and disk, and a piece
+    that is lost with an executor is read again from its files.
 
-    What is kept is contiguous and at most ``size`` events. A page that was loaded is appended if it
-    goes on where the cache ends, replaces it if it lies beyond a gap, and is left out if it is older."""
+    What is kept must not change, so ranges should end before the first hole, as those of the live
+    source do. ``Spec.cache`` has consumers of one log share one cache."""
 
-    def __init__(self, events: Callable[[], DataFrame], *, size: int = SIZE, enabled: bool = True, on_hit: Callable[[], None] = lambda: None, on_miss: Callable[[], None] = lambda: None):
-        self.events, self.size, self.enabled, self.on_hit, self.on_miss = events, size, enabled, on_hit, on_miss
-        self._rows: list[Row] = []
+    def __init__(self, events: Callable[[int], DataFrame], *, size: int = SIZE, enabled: bool = True, metrics=None, label: str = ""):
+        self.events, self.size, self.enabled, self.metrics, self.label = events, size, enabled, metrics, label
+        self.pieces: list[Piece] = []
+        self.hits, self.misses = 0, 0
         self._lock = threading.Lock()
 
-    def _kept(self, cursor: int, limit: int) -> list[Row] | None:
-        if not self._rows or not self._rows[0]["id"] <= cursor + 1 <= self._rows[-1]["id"]:
-            return None
-        at = bisect_right(self._rows, cursor, key=lambda r: r["id"])
-        return self._rows[at : at + limit]
+    def _count(self, hit: bool) -> None:
+        self.hits, self.misses = self.hits + hit, self.misses + (not hit)
+        if self.metrics:
+            self.metrics.add("cache_hits" if hit else "cache_misses", self.label)
 
-    def page(self, cursor: int, limit: int = PAGE) -> list[Row]:
-        limit = limit if limit > 0 else PAGE
+    def between(self, after: int, upto: int) -> DataFrame:
+        """The events behind ``after`` up to ``upto``."""
         if not self.enabled:
-            return page(self.events(), cursor, limit).collect()
+            return self._load(after, upto)
         with self._lock:
-            kept = self._kept(cursor, limit)
-        if kept is not None:
-            self.on_hit()
-            return kept
-        self.on_miss()
-        # A page is a bounded number of rows.
-        loaded = page(self.events(), cursor, limit).collect()
+            held = self.pieces and self.pieces[0].after <= after <= self.pieces[-1].upto
+            self._count(bool(held and upto <= self.pieces[-1].upto))
+            if held and upto > self.pieces[-1].upto:
+                self._keep(self.pieces[-1].upto, upto)
+            elif not held and (not self.pieces or after > self.pieces[-1].upto):
+                self._drop(len(self.pieces))
+                self._keep(after, upto)
+            elif not held:
+                return self._load(after, upto)
+            rows = [p.rows for p in self.pieces if p.after < upto and p.upto > after]
+            self._trim()
+        out = rows[0] if rows else self.events(after).limit(0)
+        for more in rows[1:]:
+            out = out.unionByName(more)
+        return out.where(F.col("id").between(after + 1, upto))
+
+    def _load(self, after: int, upto: int) -> DataFrame:
+        return self.events(after).where(F.col("id") <= upto)
+
+    def _keep(self, after: int, upto: int) -> None:
+        rows = self._load(after, upto).persist(StorageLevel.MEMORY_AND_DISK)
+        # One load, whoever comes first.
+        rows.count()
+        self.pieces.append(Piece(after, upto, rows))
+
+    def _trim(self) -> None:
+        k = 0
+        while k + 1 < len(self.pieces) and self.pieces[-1].upto - self.pieces[k + 1].after >= self.size:
+            k += 1
+        self._drop(k)
+
+    def _drop(self, n: int) -> None:
+        for piece in self.pieces[:n]:
+            piece.rows.unpersist()
+        del self.pieces[:n]
+
+    def close(self) -> None:
         with self._lock:
-            self._take(loaded)
-        return loaded
-
-    def _take(self, rows: list[Row]) -> None:
-        """Only what is contiguous from its start is kept."""
-        n = next((k for k in range(1, len(rows)) if rows[k]["id"] != rows[k - 1]["id"] + 1), len(rows))
-        rows = rows[:n]
-        if not rows:
-            return
-        if not self._rows or rows[0]["id"] > self._rows[-1]["id"] + 1:
-            self._rows = rows
-        elif rows[0]["id"] >= self._rows[0]["id"]:
-            self._rows = self._rows + [r for r in rows if r["id"] > self._rows[-1]["id"]]
-        self._rows = self._rows[-self.size :]
+            self._drop(len(self.pieces))

@@ -411,8 +411,18 @@ class GapFiller:
             target.notifier.notify()
 
 
-def fill_gaps(target: StoredLog, *, cursor: int = 0, period: float = 1.0, found: Callable[[int], None] | None = None, listening: Callable[[bool], None] | None = None, **options) -> GapListener:
-    """A listener, to be started and stopped, that fills the log's holes."""
-    listener = GapListener(target.events, cursor, period=period, counter=found, listening=listening)
-    listener.listen(GapFiller(target, **options))
+def fill_gaps(target: StoredLog, *, cursor: int = 0, period: float = 1.0, found: Callable[[int], None] | None = None, listening: Callable[[bool], None] | None = None, counter: Callable[[int], None] | None = None, metrics=None, **options) -> GapListener:
+    """A listener, to be started and stopped, that fills the log's holes.
+
+    ``metrics`` is told how many holes block the log, were found and filled, and of the thread."""
+
+    def both(own, tell):
+        return lambda n: [f(n) for f in (own, tell if metrics else None) if f]
+
+    def looked(n: int) -> None:
+        metrics.gauge("blocking_gaps", target.path, n)
+        metrics.add("gaps_detected", target.path, n)
+
+    listener = GapListener(target.events, cursor, period=period, counter=both(found, looked), listening=both(listening, lambda on: metrics.gauge("gap_listeners", target.path, int(on))))
+    listener.listen(GapFiller(target, counter=both(counter, lambda n: metrics.add("gaps_filled", target.path, n)), **options))
     return listener

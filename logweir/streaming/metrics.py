@@ -1,7 +1,12 @@
 """Counters, gauges and histograms of live consumers, logs and blob streams.
 
-One registry may serve many runs. What a micro-batch adds is one aggregation over it; nothing is
-kept by event.
+One registry may serve many runs. What a consumer was given is one aggregation over each micro-batch;
+what the engine did is told by a listener of its progress. Nothing is kept by event.
+
+Of a query: ``polls`` are its looks at the log, ``load_seconds`` the time that a look and the planning of what
+it found took, ``decoded_rows`` the events that were read, and ``decode_seconds`` the time of the job
+that read them, without the consumer's. Listener and filler of gaps, the tail cache, and batch and dead-letter
+consumers tell theirs where they are given the registry (``Spec.metrics``).
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from logweir.functions.ages import age_seconds
 from logweir.operators.health import AGE_BUCKETS, DECODE_BUCKETS, LATENCY_BUCKETS, LOAD_BUCKETS
@@ -28,6 +34,39 @@ KINDS: dict[str, tuple] = {
 }
 
 
+class Progress(StreamingQueryListener):
+    """What the engine tells of the queries of one name."""
+
+    def __init__(self, metrics: "Metrics", name: str):
+        self.metrics, self.name = metrics, name
+        self.queries: set[str] = set()
+        self.ended = threading.Event()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        if event.name == self.name:
+            self.queries.add(str(event.id))
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        progress = event.progress
+        if progress.name != self.name:
+            return
+        spent = {k: v / 1000 for k, v in progress.durationMs.items()}
+        self.metrics.add("polls", self.name)
+        self.metrics.observe("load_seconds", self.name, sum(spent.get(k, 0.0) for k in ("latestOffset", "getBatch", "queryPlanning")))
+        if progress.numInputRows:
+            self.metrics.add("decoded_rows", self.name, progress.numInputRows)
+            own = self.metrics.taken(self.name)
+            self.metrics.observe("decode_seconds", self.name, max(0.0, spent.get("addBatch", 0.0) - own))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        if str(event.id) in self.queries:
+            self.metrics.add("polls", self.name)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        if str(event.id) in self.queries:
+            self.ended.set()
+
+
 class Metrics:
     def __init__(self, clock=time.time):
         self.clock, self._lock = clock, threading.Lock()
@@ -36,6 +75,8 @@ class Metrics:
         #: Last time of activity and time to live of consumers that report it.
         self._seen: dict[str, tuple[float, float]] = {}
         self._before: dict[int, dict[str, int]] = defaultdict(dict)
+        #: Seconds of consumers since the engine's last progress.
+        self._taken: dict[str, float] = defaultdict(float)
 
     def add(self, name: str, label: str = "", n: float = 1) -> None:
         with self._lock:
@@ -59,6 +100,13 @@ class Metrics:
             for k, more in enumerate([*at_most, n, total]):
                 now[k] += more
 
+    def listener(self, consumer) -> Progress:
+        return Progress(self, consumer.name)
+
+    def taken(self, name: str) -> float:
+        with self._lock:
+            return self._taken.pop(name, 0.0)
+
     def started(self, consumer) -> None:
         self.gauge("consumer_lag_seconds", consumer.name, 0.0)
         if consumer.activity_ttl is not None:
@@ -82,16 +130,23 @@ class Metrics:
             if consumer.lag_alert is not None:
                 self.gauge("consumer_lag_alert", name, float(least > consumer.lag_alert))
         self.observe("consumer_latency_seconds", name, seconds)
+        with self._lock:
+            self._taken[name] += seconds
         if skips:
             self.add("consumer_skipped", name, skips)
+        self.counted(consumer)
+        if consumer.activity_ttl is not None:
+            self._seen[name] = (self.clock(), consumer.activity_ttl)
+
+    def counted(self, consumer) -> None:
+        """Takes over what a consumer has counted since."""
+        name = consumer.name
         for key, metric in (("errors", "consumer_errors"), ("dead_letters", "consumer_dead_letters")):
             before = self._before[id(consumer.counts)]
             more = consumer.counts.get(key, 0) - before.get(key, 0)
             if more:
                 self.add(metric, name, more)
                 before[key] = consumer.counts[key]
-        if consumer.activity_ttl is not None:
-            self._seen[name] = (self.clock(), consumer.activity_ttl)
 
     def value(self, name: str, label: str = "") -> float | None:
         if name == "consumer_active":

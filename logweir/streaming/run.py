@@ -26,6 +26,7 @@ from logweir.operators.filters import consumer_outcome
 from logweir.operators.health import ACTIVITY_TTL, LAG_ALERT
 from logweir.operators.log import is_noop
 from logweir.options import StreamOptions
+from logweir.sources.cache import TailCache
 from logweir.storage import delete
 from logweir.streaming.metrics import Metrics
 from logweir.streaming.notify import Notifier
@@ -113,6 +114,8 @@ class Spec:
     #: Ids in one micro-batch, at most.
     limit: int | None = None
     metrics: Metrics | None = None
+    #: Where the events of micro-batches are read, so that consumers of one log share a load.
+    cache: TailCache | None = None
 
     def bootstrapped(self) -> "Spec":
         """From the head, unless there is a cursor."""
@@ -126,12 +129,16 @@ class _Run:
         self.options = dict(spec.source_options) | spec.options.as_source_options()
         if spec.limit:
             self.options["limit"] = str(spec.limit)
+        if spec.cache and not spec.consumer.shape:
+            self.options["marks"] = "true"
         #: The end of what was handed over in this run.
         self.at = spec.consumer.start(spec.cursors)
 
     def step(self, batch: DataFrame, batch_id: int) -> None:
         spec, consumer = self.spec, self.spec.consumer
-        batch, began = batch.persist(), time.monotonic()
+        if not spec.cache:
+            batch = batch.persist()
+        began = time.monotonic()
         try:
             top = batch.agg(F.max("id")).first()[0]
             if top is None:
@@ -139,6 +146,8 @@ class _Run:
                 return
             if top <= self.at:
                 raise NotIncreasing(f"{spec.consumer.name}: {top} after {self.at}")
+            if spec.cache:
+                batch = spec.cache.between(self.at, top)
             rows = batch if spec.include_noops else batch.where(~is_noop())
             try:
                 consumer(rows.orderBy("id"), batch_id)
@@ -150,14 +159,22 @@ class _Run:
                 spec.metrics.add("cursor_sets", consumer.name, sets)
             self.at = top
         finally:
-            batch.unpersist()
+            if not spec.cache:
+                batch.unpersist()
 
     def shaped(self, batch: DataFrame, batch_id: int) -> None:
         """A micro-batch of a shaped stream, whose consumer sets its cursors itself."""
-        batch = batch.persist()
+        batch, consumer, metrics = batch.persist(), self.spec.consumer, self.spec.metrics
+        began = time.monotonic()
         try:
-            self.spec.consumer(batch, batch_id)
+            consumer(batch, batch_id)
         finally:
+            if metrics:
+                # What open batches hold is told by rows without an id.
+                held = batch.where("id IS NULL").agg(F.sum("held")).first()[0]
+                if held is not None:
+                    metrics.gauge("batch_buffered", consumer.name, held)
+                metrics.consumed(consumer, batch.where("id IS NOT NULL"), time.monotonic() - began)
             batch.unpersist()
 
     def query(self, trigger: dict, timeout: float | None = None, until: Callable[[Any], bool] | None = None):
@@ -168,8 +185,6 @@ class _Run:
             # What was open in a query before is read again.
             self.at = consumer.start(self.spec.cursors)
         rows = self.spark.readStream.format("eventlog").options(path=self.spec.path, after=str(self.at), **self.options).load()
-        if self.spec.metrics:
-            self.spec.metrics.add("polls", consumer.name)
         kept = {k: self.spark.conf.get(k, None) for k in _STATE}
         step = self.step
         if consumer.shape:
@@ -177,6 +192,9 @@ class _Run:
             # A query keeps the settings that it was started with.
             for k, v in _STATE.items():
                 self.spark.conf.set(k, v or str(consumer.keys))
+        listener = self.spec.metrics.listener(consumer) if self.spec.metrics else None
+        if listener:
+            self.spark.streams.addListener(listener)
         try:
             query = rows.writeStream.queryName(consumer.name).option("checkpointLocation", place).foreachBatch(step).trigger(**trigger).start()
         finally:
@@ -193,6 +211,10 @@ class _Run:
                     query.awaitTermination()
         finally:
             query.stop()
+            if listener:
+                # The last progress is told before the end.
+                listener.ended.wait(10)
+                self.spark.streams.removeListener(listener)
             delete(self.spark, place)
         return query
 

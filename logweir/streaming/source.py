@@ -35,6 +35,7 @@ from logweir.options import StreamOptions
 #: Ids in one partition of a batch.
 RANGE = 250_000
 SCHEMA = "id long, type int, foreign_id string, timestamp timestamp, metadata binary, trace binary"
+_KINDS = {"id": pa.int64(), "type": pa.int32(), "foreign_id": pa.string(), "timestamp": pa.timestamp("us", "UTC"), "metadata": pa.binary(), "trace": pa.binary()}
 
 
 class IdRange(InputPartition):
@@ -150,7 +151,8 @@ def head_of(path: str, **log: str) -> int:
 
 class EventLogSource(DataSource):
     """Options: path, after, fromHead, lagMicros, gaps (block, the default, or skip), rangeIds,
-    limit, the ids in a micro-batch at most, and commits and table, if the commit log lies elsewhere."""
+    limit, the ids in a micro-batch at most, marks, to give only the last id of each range to those who
+    read the events elsewhere, and commits and table, if the commit log lies elsewhere."""
 
     @classmethod
     def name(cls) -> str:
@@ -170,6 +172,7 @@ class EventLogStreamReader(DataSourceStreamReader):
         self.block = options.get("gaps", "block") == "block"
         self.range = int(options.get("rangeIds", RANGE))
         self.limit = int(options.get("limit") or 0)
+        self.marks = str(options.get("marks", "false")).lower() == "true"
         self.log = {k: options[k] for k in ("commits", "table") if options.get(k)}
         self.files = Intervals(self.path, **self.log)
         self.end: int | None = None
@@ -219,15 +222,17 @@ class EventLogStreamReader(DataSourceStreamReader):
         return parts + [IdRange(first, hi, list(files))] * (held > 0)
 
     def read(self, part: IdRange) -> Iterator[pa.RecordBatch]:
+        if self.marks:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([part.end, *[None] * 5], _KINDS.values(), strict=True)], names=list(_KINDS))
+            return
         want = (ds.field("id") > part.start) & (ds.field("id") <= part.end)
         system, _ = _place(self.path)
         table = ds.dataset(part.files, filesystem=system, format="parquet").to_table(filter=want).sort_by("id")
         ids = table["id"].to_numpy()
         if (ids[1:] <= ids[:-1]).any():
             raise NotIncreasing(f"an id in {part.start + 1} to {part.end} is there twice")
-        kinds = {"id": pa.int64(), "type": pa.int32(), "foreign_id": pa.string(), "timestamp": pa.timestamp("us", "UTC"), "metadata": pa.binary(), "trace": pa.binary()}
-        columns = [pc.cast(table[k], t) if k in table.column_names else pa.nulls(len(table), t) for k, t in kinds.items()]
-        yield from pa.table(dict(zip(kinds, columns, strict=True))).to_batches()
+        columns = [pc.cast(table[k], t) if k in table.column_names else pa.nulls(len(table), t) for k, t in _KINDS.items()]
+        yield from pa.table(dict(zip(_KINDS, columns, strict=True))).to_batches()
 
     def commit(self, end: dict) -> None:
         pass

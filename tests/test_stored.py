@@ -15,11 +15,14 @@ from logweir.operators import gaps, log
 from logweir.operators.cursors import MemoryCursors, ReadThroughCursors, TableCursors
 from logweir.schema import CursorColumns, ErrorColumns, EventColumns
 from logweir.sources import blobs
-from logweir.sources.cache import HeadCache
+from logweir.options import StreamOptions
+from logweir.sources.cache import TailCache
 from logweir.sources.stored import ErrorStore, StoredLog, append_parquet, fill_gaps
 from logweir.storage import Versions
 from logweir.streaming import patterns
+from logweir.streaming.metrics import Metrics
 from logweir.streaming.notify import Notifier
+from logweir.streaming.run import Consumer, Spec, run
 
 
 def rows(spark, *keys, kind=1):
@@ -396,20 +399,77 @@ def test_dead_letters_go_to_the_store(spark, tmp_path):
     assert [(r["consumer"], r["event_id"], r["error_msg"]) for r in store.errors().collect()] == [("d", "2", "ValueError: two")]
 
 
-def test_head_cache(spark):
-    ids = list(range(1, 21)) + [25, 26]
-    table = spark.createDataFrame([(i, "x") for i in ids], "id long, foreign_id string")
-    hits, misses = [], []
-    cache = HeadCache(lambda: table, size=8, on_hit=lambda: hits.append(1), on_miss=lambda: misses.append(1))
-    page = lambda c, n: [r["id"] for r in cache.page(c, n)]
-    assert page(0, 5) == [1, 2, 3, 4, 5] and page(2, 5) == [3, 4, 5] and (len(hits), len(misses)) == (1, 1)
+def test_tail_cache(spark):
+    loads = []
+
+    def events(after):
+        loads.append(after)
+        return spark.range(after + 1, 31).select("id")
+
+    cache = TailCache(events, size=8)
+    span = lambda a, b: sorted(r["id"] for r in cache.between(a, b).collect())
+    assert span(0, 5) == [1, 2, 3, 4, 5] and span(2, 5) == [3, 4, 5] and (cache.hits, cache.misses, loads) == (1, 1, [0])
     # Goes on where it ends, and is trimmed at its start.
-    assert page(5, 6) == [6, 7, 8, 9, 10, 11] and page(3, 3) == [4, 5, 6] and page(1, 2) == [2, 3]
-    assert (len(hits), len(misses)) == (2, 3)
-    # Beyond a gap it starts anew.
-    assert page(24, 5) == [25, 26] and page(25, 5) == [26] and page(3, 2) == [4, 5] and (len(hits), len(misses)) == (3, 5)
-    off = HeadCache(lambda: table, enabled=False, on_hit=lambda: hits.append(1))
-    assert len(off.page(0, 5)) == 5 and len(off.page(0, 5)) == 5 and len(hits) == 3
+    assert span(4, 11) == list(range(5, 12)) and loads == [0, 5] and [(p.after, p.upto) for p in cache.pieces] == [(0, 5), (5, 11)]
+    assert span(11, 14) == [12, 13, 14] and [(p.after, p.upto) for p in cache.pieces] == [(5, 11), (11, 14)] and span(6, 12) == list(range(7, 13))
+    # Older ranges are not kept; beyond its end it starts anew.
+    assert span(1, 3) == [2, 3] and len(cache.pieces) == 2
+    assert span(20, 22) == [21, 22] and [(p.after, p.upto) for p in cache.pieces] == [(20, 22)] and (cache.hits, cache.misses) == (2, 5)
+    cache.close()
+    off = TailCache(events, enabled=False)
+    assert off.between(0, 3).count() == 3 and (off.hits, off.misses) == (0, 0)
+
+
+def test_two_readers_near_the_head_cost_one_load(spark, tmp_path):
+    stored, metrics = StoredLog(spark, str(tmp_path / "log")), Metrics()
+    stored.append(rows(spark, *"abcdefghij"))
+    loads = []
+
+    def events(after):
+        loads.append(after)
+        return stored.events(after)
+
+    cache, seen = TailCache(events, metrics=metrics, label="log"), {}
+    for name in ("first", "second"):
+        consumer = Consumer(name, lambda batch, _, name=name: seen.setdefault(name, []).extend(r["foreign_id"] for r in batch.collect()))
+        run(spark, Spec(stored.path, MemoryCursors(), consumer, StreamOptions(to_head=True), cache=cache, metrics=metrics), str(tmp_path / "cp"))
+    assert seen == {"first": list("abcdefghij"), "second": list("abcdefghij")}
+    assert loads == [0] and metrics.value("cache_hits", "log") == 1 and metrics.value("cache_misses", "log") == 1
+    cache.close()
+
+
+def test_one_live_run_shows_its_metrics(spark, tmp_path):
+    """Whatever applies to a log, its filler and its consumers is told by the library itself."""
+    metrics, stored = Metrics(), StoredLog(spark, str(tmp_path / "log"))
+    stored.append(rows(spark, *"abcd"))
+    stored.release(stored.reserve(2)[0])
+    stored.append(rows(spark, *"efgh"))
+    filler = fill_gaps(stored, metrics=metrics, period=0.05)
+    filled = threading.Event()
+    filler.listen(lambda _: filled.set())
+    filler.start()
+    assert filled.wait(60) and metrics.value("gap_listeners", stored.path) == 1
+    filler.stop()
+    assert metrics.value("gap_listeners", stored.path) == 0 and metrics.value("gaps_filled", stored.path) == 2 and metrics.value("gaps_detected", stored.path) >= 1
+    filler.poll()
+    assert metrics.value("blocking_gaps", stored.path) == 0
+
+    def handle(row):
+        if row["foreign_id"] == "c":
+            raise ValueError("c")
+
+    cursors = MemoryCursors()
+    dead = patterns.dead_letter("dead", handle, lambda frame: frame.count())
+    held = patterns.BatchConsumer("batch", lambda b: b.count(), cursors=cursors, length=3)
+    cache = TailCache(stored.events, metrics=metrics, label="log")
+    for consumer, options in ((dead, {"cache": cache}), (held, {})):
+        run(spark, Spec(stored.path, cursors, consumer, StreamOptions(to_head=True), metrics=metrics, **options), str(tmp_path / "cp"))
+    value = metrics.value
+    assert value("consumer_dead_letters", "dead") == 1 and value("cache_misses", "log") == 1 and value("batch_buffered", "batch") == 2
+    assert value("cursor_sets", "dead") == 1 and value("polls", "dead") >= 1 and value("decoded_rows", "batch") == 10
+    names = {n for n, label, bound, v in metrics.samples()}
+    assert {"load_seconds", "decode_seconds", "consumer_age_seconds", "consumer_latency_seconds", "consumer_active", "consumer_lag_alert"} <= names
+    cache.close()
 
 
 def test_blobs_are_followed(spark, tmp_path):
