@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,21 +27,24 @@ def watermark(done: DataFrame) -> DataFrame:
     return with_running_max(every, "done_pos", "top", "watermark").select("done_pos", "watermark")
 
 
-class Sequence:
-    """The same, one step at a time, for a live consumer: ids that are being done, and done."""
+class Spans:
+    """The same for a live consumer, over spans of ids that are at work side by side, begun in order.
+
+    A span that fails is never done, so nothing behind it counts."""
 
     def __init__(self):
-        self.doing_: list[int] = []
-        self.done_: list[int] = []
-        self.top = 0
-
-    def doing(self, i: int) -> None:
-        heapq.heappush(self.doing_, i)
-
-    def done(self, i: int) -> int:
-        heapq.heappush(self.done_, i)
-        # An id that was never outstanding blocks those after it.
-        while self.done_ and self.doing_ and self.done_[0] == self.doing_[0]:
-            heapq.heappop(self.doing_)
-            self.top = max(self.top, heapq.heappop(self.done_))
+        #: Last id of each span that is not behind the watermark, and whether it is done.
+        self.spans: deque[list] = deque()
+        self.top: int | None = None
+
+    def begin(self, last: int) -> list:
+        span = [last, False]
+        self.spans.append(span)
+        return span
+
+    def done(self, span: list) -> int | None:
+        """The last id of the spans that are done with none before them outstanding."""
+        span[1] = True
+        while self.spans and self.spans[0][1]:
+            self.top = self.spans.popleft()[0]
         return self.top

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyarrow.dataset import dataset, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +17,12 @@ from logweir.functions import ages, blobs, ids, traces
 from logweir.operators import batching, cursors, filters, gaps, health, log, progress, retries, shards, waiting
 from logweir.operators.ordering import with_position
 from logweir.options import StreamOptions
+from logweir.schema import EventColumns
 from logweir.sources import polling, tables
 from logweir.sources.blobs import Bucket
 from logweir.sources.stored import ErrorStore, StoredLog, append_parquet, fill_gaps
 from logweir.storage import shared_dir
+from logweir.streaming import patterns
 from logweir.streaming.run import Consumer, Spec, run
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,7 +121,8 @@ def noop_filtered(spark, folder):
 
 @query(f"WITH {LOG}, {NOOPS} SELECT id, type, foreign_id FROM noops")
 def noop_included(spark, folder):
-    return _noops(spark, folder).select("id", "type", "foreign_id")
+    """The log as a stream that keeps its placeholders."""
+    return log.EventLog(lambda _: _noops(spark, folder), EventColumns(metadata="metadata", trace="trace"), include_noops=True).stream(spark).select("id", "type", "foreign_id")
 
 
 @query(f"WITH {LOG}, {NOOPS}, p AS (SELECT * FROM noops WHERE id > 300 ORDER BY id LIMIT 200) SELECT count(*) FILTER (WHERE NOT (foreign_id = '0' AND type = 0)) AS returned, count(*) FILTER (WHERE foreign_id = '0' AND type = 0) AS dropped, coalesce(max(id), 300)::BIGINT AS next_cursor FROM p")
@@ -254,14 +258,16 @@ def shard_by_custom_key(spark, folder):
     return shards.with_shards(_log(spark, folder), 5, F.col("metadata").cast("string")).select("id", "shard")
 
 
-@query(f"WITH s AS (SELECT {_shard_sql('CAST(i AS VARCHAR)', 10)} AS shard FROM (SELECT unnest(range(1, 1001)) AS i)) SELECT shard, count(*) AS n FROM s GROUP BY 1")
+@query(f"WITH {LOG} SELECT {_shard_sql('CAST(id AS VARCHAR)', 10)} AS shard, count(*) AS n FROM log GROUP BY 1")
 def shard_balance(spark, folder):
-    return spark.range(1, 1001).groupBy(shards.shard(10).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    return shards.with_shards(_log(spark, folder), 10).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT i::INT AS shard, 'test_' || i || '_of_10' AS name FROM (SELECT unnest(range(1, 11)) AS i)")
+@query(f"WITH {LOG} SELECT 'mine_' || {_shard_sql('foreign_id', 10)} || '_of_10' AS name, count(*) AS n, max(id) AS cursor FROM log GROUP BY 1")
 def shard_names(spark, folder):
-    return shards.names_table(spark, "test", 10)
+    """The consumers of the log's shards by entity, with what each would have consumed."""
+    rows = shards.with_shards(_log(spark, folder), 10, shards.BY_FOREIGN_ID)
+    return rows.groupBy(shards.shard_name(F.lit("mine"), F.col("shard"), 10).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("cursor"))
 
 
 # Cursors: every user's events set the user's cursor, in an order that is shuffled a little.
@@ -359,7 +365,22 @@ _FAILS = "(id * 31) % 6"
 
 @query(f"WITH {LOG} SELECT id, least({_FAILS}, 3) + 1 AS attempts, least({_FAILS}, 3) AS returned, {_FAILS} > 3 AS ignored FROM log")
 def best_effort_outcomes(spark, folder):
-    return retries.best_effort(_log(spark, folder).select("id"), F.expr(_FAILS), 3)
+    """A consumer that fails on an event a number of times, run on the log with three retries."""
+    done = patterns.in_tasks(_log(spark, folder).select("id"), _failing(), retries=3)
+    return done.select("id", F.col("tries").alias("attempts"), (F.col("tries") - 1).alias("returned"), F.col("error").isNotNull().alias("ignored"))
+
+
+def _failing() -> Callable[[dict], None]:
+    tried: dict[int, int] = {}
+
+    def handle(row: dict) -> None:
+        i = row["id"]
+        tried[i] = tried.get(i, 0) + 1
+        if tried[i] <= (i * 31) % 6:
+            raise ValueError(i)
+        del tried[i]
+
+    return handle
 
 
 def _dead_letter_calls(spark, folder) -> DataFrame:
@@ -395,9 +416,30 @@ def await_match(spark, folder):
     return waiting.awaited(_log(spark, folder), 100, "7", [3, 5]).select("id", "type", "foreign_id")
 
 
-@query(f"WITH {LOG}, {HOLES}, n AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 250 AS page FROM holes) SELECT page, min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM n GROUP BY 1")
+@query(f"WITH {LOG}, n AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 250 AS page FROM log) SELECT page, min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM n GROUP BY 1")
 def poll_pages(spark, folder):
-    return polling.pages(_holes(spark, folder), 250)
+    """The events as a paged API, polled to its end: what the stream gave of each page."""
+    place, out = _place(spark, "poll"), _place(spark, "polled")
+    rows = polling.live(spark, _api(f"{folder}/events.parquet", 250), f"{place}/journal", pages=500, backoff=3600)
+    query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{place}/checkpoint").trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    seen = spark.read.schema(polling.SCHEMA).parquet(out)
+    return seen.groupBy(F.col("page").cast("bigint").alias("page")).agg(F.min(F.col("id").cast("bigint")).alias("first_id"), F.max(F.col("id").cast("bigint")).alias("last_id"), F.count(F.lit(1)).alias("n"))
+
+
+def _api(path: str, limit: int) -> Callable[[str], list[dict]]:
+    """Pages of the event table behind an id, read by the process that polls."""
+
+    def poll(cursor: str) -> list[dict]:
+        at = int(cursor or 0)
+        # Event ids are one less than those of the log, and without holes.
+        found = dataset(path, format="parquet").to_table(columns=["event_id"], filter=(field("event_id") >= at) & (field("event_id") < at + limit))
+        return [{"id": i + 1} for i in sorted(found["event_id"].to_pylist())]
+
+    return poll
 
 
 # Inserts.
@@ -449,11 +491,11 @@ def cursor_table(spark, folder):
 
 
 def _calls(spark, folder) -> DataFrame:
-    rows = _log(spark, folder).where("type = 2")
+    rows = _log(spark, folder)
     return rows.select(F.col("id").alias("seq"), F.concat(F.lit("c"), F.col("id") % 3).alias("consumer"), F.col("foreign_id").alias("event_id"), F.concat(F.lit("e"), "id").alias("error_msg"), F.col("timestamp").alias("at"))
 
 
-@query(f"WITH {LOG}, c AS (SELECT id, 'c' || (id % 3) AS consumer, foreign_id AS event_id FROM log WHERE type = 2) SELECT consumer, event_id, 'e' || min(id) AS error_msg, 1 AS error_status, count(*) AS events FROM c GROUP BY 1, 2")
+@query(f"WITH {LOG}, c AS (SELECT id, 'c' || (id % 3) AS consumer, foreign_id AS event_id FROM log) SELECT consumer, event_id, 'e' || min(id) AS error_msg, 1 AS error_status, count(*) AS events FROM c GROUP BY 1, 2")
 def error_store(spark, folder):
     """Failed calls in two batches: those of the second that exist stay as they are; an event a call."""
     store, calls = ErrorStore(spark, _place(spark, "errors")), _calls(spark, folder)
@@ -476,6 +518,38 @@ def live_to_head(spark, folder):
     return spark.read.schema("id long, type int, foreign_id string").parquet(out)
 
 
+def _stored(spark, folder) -> str:
+    path = _place(spark, "log")
+    _noops(spark, folder).write.parquet(path)
+    return path
+
+
+@query(f"WITH {LOG}, {NOOPS}, k AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 64 AS g FROM noops WHERE type IN (1, 3)), b AS (SELECT min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM k GROUP BY g) SELECT first_id, last_id, n FROM b WHERE n = 64")
+def live_batches(spark, folder):
+    """Batches of events of two types from a live log, as the engine's state cuts them."""
+    held, out = cursors.TableCursors(spark, _place(spark, "cursors")), _place(spark, "batches")
+    consumer = patterns.BatchConsumer("batches", lambda rows: append_parquet(rows.select("batch", "id"), out), types=[1, 3], cursors=held, length=64, together=True)
+    run(spark, Spec(_stored(spark, folder), held, consumer, StreamOptions(to_head=True)), _place(spark, "checkpoint"))
+    return spark.read.schema("batch long, id long").parquet(out).groupBy(F.col("batch").alias("first_id")).agg(F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {LOG}, {NOOPS}, s AS (SELECT id, foreign_id, type, {_shard_sql('CAST(id AS VARCHAR)', 4)} AS shard FROM noops), c AS (SELECT max(id) AS cursor FROM log) SELECT 'fleet_' || shard || '_of_4' AS name, count(*) AS n, min(id) AS first_id, max(id) AS last_id, CAST(any_value(cursor) AS VARCHAR) AS cursor FROM s, c WHERE NOT (foreign_id = '0' AND type = 0) GROUP BY 1")
+def live_shards(spark, folder):
+    """The consumers of four shards over one scan of a live log, with their cursors after it."""
+    held, out = cursors.TableCursors(spark, _place(spark, "cursors")), _place(spark, "shards")
+    path = _stored(spark, folder)
+
+    def member(m: int, name: str) -> Consumer:
+        # Side by side, so each to a folder of its own.
+        return Consumer(name, lambda batch, _: append_parquet(batch.select("id"), f"{out}/name={name}"))
+
+    run(spark, patterns.parallel(Spec(path, held, Consumer("fleet", None), StreamOptions(to_head=True)), 4, member), _place(spark, "checkpoint"))
+    # One row a shard.
+    at = spark.createDataFrame([(n, held.get(n)) for n in shards.shard_names("fleet", 4)], "name string, cursor string")
+    seen = spark.read.schema("id long, name string").parquet(out).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return seen.join(at, "name")
+
+
 # Blob cursors: a blob a day.
 
 
@@ -511,6 +585,19 @@ def blob_resume(spark, folder):
     return events.select(record["id"].alias("id"), F.translate(F.substring("id", 5, 10), "-", "/").alias("day"))
 
 
+@query(f"WITH {_BLOBS} SELECT id, key AS day FROM b")
+def blob_follow(spark, folder):
+    """A blob for each day, followed from the start in micro-batches of ten blobs."""
+    url, out = _place(spark, "blobs"), _place(spark, "followed")
+    rows = _log(spark, folder).select(F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "id", F.to_json(F.struct("id", "foreign_id")).alias("value"))
+    rows.repartition("day").sortWithinPartitions("day", "id").select("day", "value").write.partitionBy("day").text(url)
+    store = cursors.TableCursors(spark, _place(spark, "cursors"), rank=blobs.rank_of)
+    Bucket(url, "day=").follow(spark, lambda batch: append_parquet(batch.select("id", "metadata"), out), store, "mine", rounds=1, maxBlobs="10")
+    record = F.from_json(F.col("metadata").cast("string"), "id long, foreign_id string")
+    seen = spark.read.schema("id string, metadata binary").parquet(out)
+    return seen.select(record["id"].alias("id"), F.translate(F.substring("id", 5, 10), "-", "/").alias("day"))
+
+
 @query(f"WITH {_BLOBS} SELECT id, key, CASE WHEN offset_ = n_1 THEN NULL ELSE offset_ END AS offset_, offset_ = n_1 AS eof FROM (SELECT b.*, max(offset_) OVER (PARTITION BY key) AS n_1 FROM b)")
 def blob_cursor_parse(spark, folder):
     rows = _blob_ids(spark, folder).select("id", blobs.parse(F.col("cursor")).alias("c"))

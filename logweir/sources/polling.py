@@ -24,9 +24,9 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from logweir.operators.ordering import with_position
 
-#: Seconds to wait after an empty page.
-BACKOFF = 60.0
-SCHEMA = "id string, type int, foreign_id string, timestamp timestamp, metadata binary, trace binary"
+#: Seconds to wait after an empty page; pages that one task reads.
+BACKOFF, TASK = 60.0, 25
+SCHEMA = "id string, type int, foreign_id string, timestamp timestamp, metadata binary, trace binary, page long"
 
 
 class Poller:
@@ -84,9 +84,12 @@ def _coded(value):
     raise TypeError(type(value).__name__)
 
 
-class Page(InputPartition):
-    def __init__(self, number: int):
-        super().__init__(number)
+class Pages(InputPartition):
+    """Pages from a number up to another, for one task."""
+
+    def __init__(self, first: int, last: int):
+        super().__init__(first)
+        self.first, self.last = first, last
 
 
 class PollReader(DataSourceStreamReader):
@@ -115,26 +118,32 @@ class PollReader(DataSourceStreamReader):
             self.page += 1
         return {"page": self.page}
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
-        kept = self.journal.last()
-        return [Page(n) for n in range(start["page"] + 1, min(end["page"], kept) + 1)]
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
+        first, last = start["page"] + 1, min(end["page"], self.journal.last())
+        return [Pages(n, min(n + TASK - 1, last)) for n in range(first, last + 1, TASK)]
+
+    def read(self, part: Pages) -> Iterator[pa.RecordBatch]:
+        for number in range(part.first, part.last + 1):
+            yield self._events(number)
 
-    def read(self, part: Page) -> Iterator[pa.RecordBatch]:
-        rows = self.journal.read(part.value)
+    def _events(self, number: int) -> pa.RecordBatch:
+        rows = self.journal.read(number)
         columns = {
             "id": pa.array([str(r["id"]) for r in rows], pa.string()), "type": pa.array([r.get("type", 0) for r in rows], pa.int32()), "foreign_id": pa.array([str(r.get("foreign_id", "")) for r in rows], pa.string()),
             "timestamp": pa.array([datetime.fromisoformat(r["timestamp"]) if r.get("timestamp") else None for r in rows], pa.timestamp("us", "UTC")),
             **{k: pa.array([bytes.fromhex(r[k]) if r.get(k) else None for r in rows], pa.binary()) for k in ("metadata", "trace")},
+            # Numbered from 0.
+            "page": pa.array([number - 1] * len(rows), pa.int64()),
         }
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     def commit(self, end: dict) -> None:
         self.journal.forget(end["page"])
 
 
 def live(spark: SparkSession, poll: Callable[[str], list[dict]], journal: str, **options) -> DataFrame:
-    """The events of a poll function as a stream; each is a dict with an id, and any of type, foreign_id,
-    timestamp, metadata and trace. The function is sent to the process that plans the stream."""
+    """The events of a poll function as a stream, with the number of their page; each is a dict with an
+    id, and any of type, foreign_id, timestamp, metadata and trace. The function is sent to the process that plans the stream."""
     name = f"poll_{uuid.uuid4().hex}"
     parts = {"name": classmethod(lambda cls: name), "schema": lambda self: SCHEMA, "streamReader": lambda self, schema: PollReader(self.options, poll)}
     spark.dataSource.register(type("PollSource", (DataSource,), parts))

@@ -6,6 +6,7 @@ not acknowledge, or held in an open batch, is read again.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from logweir.errors import FilterError, InvalidBatchConfig, Stopped, is_expected
 from logweir.operators import shards
 from logweir.operators.filters import consumer_outcome, outcome
+from logweir.operators.progress import Spans
 from logweir.operators.waiting import awaited
 from logweir.options import StreamOptions
 from logweir.schema import EVENT
@@ -114,28 +116,110 @@ def in_tasks(batch: DataFrame, handle: Callable[[dict], None], *, retries: int |
     return batch.mapInArrow(run, "id long, tries long, error string, expected boolean")
 
 
-def concurrent(name: str, handle: Callable[[dict], None], cursors: CursorStore, *, max_in_flight: int | None = None, **options) -> Consumer:
-    """Events of a micro-batch in any order; the cursor is the last event with no failed one before it.
+@dataclass
+class ConcurrentConsumer(Consumer):
+    """Events in any order, side by side in tasks; the cursor is the last event with no failed one, and none
+    that is still at work, before it.
 
-    At most ``max_in_flight`` events are handled at a time; by default, one a core."""
+    At most ``max_in_flight`` events of a micro-batch are handled at a time, by default one a core. With
+    ``ahead``, so many micro-batches may be at work besides the newest: a slow event holds up the cursor, not
+    the events behind it. An error ends the run with the next micro-batch, or at the run's end."""
 
-    def consume(batch: DataFrame, _: int) -> None:
-        if max_in_flight:
-            batch = batch.coalesce(max_in_flight)
-        done = in_tasks(batch, handle).persist()
+    cursors: CursorStore | None = None
+    max_in_flight: int | None = None
+    ahead: int = 0
+    sets_cursor: bool = False
+
+    def __post_init__(self):
+        self._lock, self._moved = threading.Lock(), threading.Condition()
+        self._restart()
+
+    def _restart(self) -> None:
+        self.spans, self.at_work, self.failure = Spans(), 0, None
+
+    def begin(self) -> None:
+        """Before a run: what an earlier one left undone is read again."""
+        self._restart()
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self.guarded(lambda: self._take(passed(self, batch)))
+
+    def _take(self, batch: DataFrame) -> None:
+        self._raise()
+        if not self.ahead:
+            self._work(batch, None)
+            self._raise()
+            return
+        with self._moved:
+            while self.at_work > self.ahead:
+                self._moved.wait()
+            self._raise()
+            self.at_work += 1
+        # The engine lets go of the micro-batch when this returns.
+        batch = batch.persist()
+        last = batch.agg(F.max("id")).first()[0]
+        if last is None:
+            self._left(batch)
+            return
+        span = self.spans.begin(last)
+        threading.Thread(target=self._work, args=(batch, span), daemon=True).start()
+
+    def _left(self, batch: DataFrame) -> None:
+        batch.unpersist()
+        with self._moved:
+            self.at_work -= 1
+            self._moved.notify_all()
+
+    def _work(self, batch: DataFrame, span: list | None) -> None:
+        try:
+            top, failure = self._handled(batch)
+            with self._lock:
+                if span is not None and failure is None:
+                    top = self.spans.done(span)
+                elif span is not None and (self.spans.spans[0] is not span):
+                    # Something before the failed micro-batch is at work.
+                    top = None
+                if top is not None and top > int(self.cursors.get(self.name) or 0):
+                    self.cursors.set(self.name, str(top))
+                self.failure = self.failure or failure
+        except Exception as e:
+            self.failure = self.failure or e
+        finally:
+            if span is not None:
+                self._left(batch)
+
+    def _handled(self, batch: DataFrame) -> tuple[int | None, Exception | None]:
+        """The last event with no failed one before it, and the first failure."""
+        if self.max_in_flight:
+            batch = batch.coalesce(self.max_in_flight)
+        done = in_tasks(batch, self.consume).persist()
         try:
             bad = done.where("error IS NOT NULL").agg(F.min("id").alias("id"), F.min_by("error", "id").alias("error"), F.min_by("expected", "id").alias("expected")).first()
             good = done if bad["id"] is None else done.where(F.col("id") < bad["id"])
             top = good.agg(F.max("id")).first()[0]
         finally:
             done.unpersist()
-        if top is not None:
-            cursors.set(name, str(top))
-        if bad["id"] is not None:
-            # An expected end of a task is one of the run.
-            raise (Stopped if bad["expected"] else RuntimeError)(f"event {bad['id']}: {bad['error']}")
+        if bad["id"] is None:
+            return top, None
+        # An expected end of a task is one of the run.
+        return top, (Stopped if bad["expected"] else RuntimeError)(f"event {bad['id']}: {bad['error']}")
+
+    def _raise(self) -> None:
+        failure, self.failure = self.failure, None
+        if failure is not None:
+            raise failure
+
+    def settle(self) -> None:
+        """Waits for what is at work."""
+        with self._moved:
+            while self.at_work:
+                self._moved.wait()
+        self.cursors.flush()
+        self._raise()
+
 
-    return Consumer(name, consume, sets_cursor=False, **options)
+def concurrent(name: str, handle: Callable[[dict], None], cursors: CursorStore, *, max_in_flight: int | None = None, ahead: int = 0, **options) -> ConcurrentConsumer:
+    return ConcurrentConsumer(name, handle, cursors=cursors, max_in_flight=max_in_flight, ahead=ahead, **options)
 
 
 def dead_letter(name: str, handle: Callable[[dict], None], record: Callable[[DataFrame], None] | None, *, retries: int = 0, **options) -> Consumer:

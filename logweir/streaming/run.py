@@ -70,6 +70,12 @@ class Consumer:
     #: Keys of the state that ``shape`` has.
     keys = 1
 
+    def begin(self) -> None:
+        """Before a run."""
+
+    def settle(self) -> None:
+        """After a run: waits for what it left at work."""
+
     def start(self, cursors: CursorStore) -> int:
         """Where the consumer goes on."""
         return int(cursors.get(self.name) or 0)
@@ -252,8 +258,11 @@ def run(spark: SparkSession, spec: Spec, checkpoint: str, *, interval: str = "1
     try:
         if spec.options.from_head and (spec.options.to_head or notifier):
             now.at = head_of(spec.path, **{k: v for k, v in spec.source_options.items() if k in ("commits", "table")})
+        consumer.begin()
         if spec.options.to_head:
-            return now.drain()
+            query = now.drain()
+            consumer.settle()
+            return query
         # A query that holds state goes on; others end at the head, and are woken.
         if notifier is None or consumer.shape:
             return now.query({"processingTime": interval}, timeout)
@@ -263,7 +272,10 @@ def run(spark: SparkSession, spec: Spec, checkpoint: str, *, interval: str = "1
             woken.wait(backoff if end is None else max(0.0, min(backoff, end - time.monotonic())))
         return query
     finally:
-        spec.cursors.flush()
+        try:
+            consumer.settle()
+        finally:
+            spec.cursors.flush()
         if consumer.stop:
             consumer.stop()
         if spec.metrics:

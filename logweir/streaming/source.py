@@ -176,17 +176,17 @@ class EventLogStreamReader(DataSourceStreamReader):
         self.log = {k: options[k] for k in ("commits", "table") if options.get(k)}
         self.files = Intervals(self.path, **self.log)
         self.end: int | None = None
+        #: What the last look found: the runs behind an id, and the end of what may be read.
+        self.seen: list[Run] = []
+        self.seen_from, self.seen_to = 0, -1
 
     def initialOffset(self) -> dict:
         return {"after": head_of(self.path, **self.log) if self.options.from_head else self.after}
 
-    def latestOffset(self) -> dict:
-        """The end of what may be read now."""
-        if self.end is None:
-            self.end = self.initialOffset()["after"]
+    def _look(self) -> None:
         lag = int(self.options.lag.total_seconds() * 1e6)
         old = time.time_ns() // 1000 - lag if lag else None
-        runs = self.files.runs(self.end, old)
+        self.seen = runs = self.files.runs(self.end, old)
         # A run with an event too young ends the prefix; runs are cut where that matters.
         young = min((a for a, _, t, _ in runs if old is not None and t > old), default=None)
         end = self.end
@@ -197,9 +197,18 @@ class EventLogStreamReader(DataSourceStreamReader):
             if self.block and end and a > end + 1:
                 break
             end = max(end, b if young is None else min(b, young - 1))
+        self.seen_from, self.seen_to = self.end, end
+
+    def latestOffset(self) -> dict:
+        """The end of what may be read now. Bounded batches are cut from one look until they come to its end."""
+        if self.end is None:
+            self.end = self.initialOffset()["after"]
+        if self.seen_to <= self.end:
+            self._look()
+        end = self.seen_to
         if self.limit and end > self.end:
             # From the empty cursor, ids are counted from the first there is.
-            first = self.end if self.end else min(r[0] for r in runs) - 1
+            first = self.end if self.end else min(r[0] for r in self.seen) - 1
             end = min(end, first + self.limit)
         self.end = end
         return {"after": self.end}
@@ -209,7 +218,8 @@ class EventLogStreamReader(DataSourceStreamReader):
         lo, hi = start["after"], end["after"]
         parts, first, held = [], lo, 0
         files: dict[str, None] = {}
-        for a, b, _, path in self.files.runs(lo, None):
+        known = self.seen_from <= lo and hi <= self.seen_to
+        for a, b, _, path in self.seen if known else self.files.runs(lo, None):
             a = max(a, lo + 1)
             while a <= min(b, hi):
                 stop = min(b, hi, a + self.range - held - 1)

@@ -26,7 +26,7 @@ def ids(frame):
     return sorted(r["id"] for r in frame.select("id").collect())
 
 
-@pytest.mark.parametrize("keys, shifts", [(range(3, 60, 2), (3, 2)), ([k << 22 for k in range(1, 40)], SHIFTS), ([3, 4, 1 << 20, 1 << 33, (1 << 33) + 1, 1 << 50, (1 << 50) + 65536, 1 << 62], SHIFTS), ([-(1 << 50), -5, 0, 7], SHIFTS)])
+@pytest.mark.parametrize("keys, shifts", [(range(3, 60, 2), (3, 2)), ([k << 22 for k in range(1, 40)], (16, 16, 16)), ([k << 43 for k in range(1, 40)], SHIFTS), ([3, 4, 1 << 20, 1 << 33, (1 << 33) + 1, 1 << 50, (1 << 50) + 65536, 1 << 62], SHIFTS), ([-(1 << 50), -5, 0, 7], SHIFTS)])
 def test_running_values_cross_buckets(spark, keys, shifts):
     rows = spark.createDataFrame([(i, (i * 7) % 11) for i in keys], "id long, v long")
     got = sorted(with_running_max(with_previous(with_position(rows, shifts=shifts), shifts=shifts), "id", "v", "m", shifts=shifts).collect())
@@ -210,16 +210,16 @@ def test_fold_by_part(spark):
 def test_watermark(spark, order, marks):
     done = spark.createDataFrame([(i, n) for n, i in enumerate(order, 1)], "id long, done_pos long")
     assert [r["watermark"] for r in progress.watermark(done).orderBy("done_pos").collect()] == marks
-    live = progress.Sequence()
+    live, spans = progress.Spans(), {}
     for i in sorted(order):
-        live.doing(i)
-    assert [live.done(i) for i in order] == marks
+        spans[i] = live.begin(i)
+    assert [live.done(spans[i]) or 0 for i in order] == marks
 
 
-def test_watermark_blocks_on_unknown():
-    live = progress.Sequence()
-    live.doing(2)
-    assert live.done(1) == 0 and live.done(2) == 0
+def test_a_span_that_is_never_done_blocks():
+    live = progress.Spans()
+    first, second, third = (live.begin(i) for i in (10, 20, 30))
+    assert live.done(first) == 10 and live.done(third) == 10 and live.done(second) == 30
 
 
 def model(failures, retries_, count):

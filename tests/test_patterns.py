@@ -186,6 +186,95 @@ def test_concurrent(spark, path, tmp_path):
     assert cursors.get("c") == "6"
 
 
+def waiting_for(folder, failing=()):
+    """The first event waits until the last was handled."""
+
+    def handle(row, folder=str(folder), failing=failing):
+        import os
+        import time
+
+        if row["id"] in failing:
+            raise ValueError(row["id"])
+        open(f"{folder}/{row['id']}", "w").close()
+        end = time.monotonic() + 60
+        while row["id"] == 1 and not os.path.exists(f"{folder}/20") and time.monotonic() < end:
+            time.sleep(0.05)
+
+    return handle
+
+
+def test_micro_batches_side_by_side(spark, path, tmp_path):
+    """A slow event holds up the cursor, not the events behind it."""
+    done = tmp_path / "done"
+    done.mkdir()
+    cursors, sets = MemoryCursors(), []
+    cursors.set = lambda name, cursor: (sets.append(int(cursor)), MemoryCursors.set(cursors, name, cursor))
+    consumer = patterns.concurrent("c", waiting_for(done), cursors, ahead=4)
+    began = time.monotonic()
+    run(spark, Spec(path, cursors, consumer, TO_HEAD, limit=5), str(tmp_path / "cp"))
+    assert len(list(done.iterdir())) == 20 and cursors.get("c") == "20" and sets == sorted(sets) and time.monotonic() < began + 50
+
+
+def test_a_failure_ahead_leaves_the_cursor_behind_it(spark, path, tmp_path):
+    done = tmp_path / "done"
+    done.mkdir()
+    cursors = MemoryCursors()
+    consumer = patterns.concurrent("c", waiting_for(done, (8,)), cursors, ahead=4)
+    with pytest.raises(Exception, match="event 8"):
+        run(spark, Spec(path, cursors, consumer, TO_HEAD, limit=5), str(tmp_path / "cp"))
+    assert int(cursors.get("c") or 0) <= 7
+
+
+def test_expected_errors(spark, path, tmp_path):
+    """They end a concurrent run as such, and are no dead letters."""
+    def stop(row):
+        if row["id"] in (5, 9):
+            raise errors.Stopped()
+
+    cursors, lost = MemoryCursors(), []
+    with pytest.raises(Exception, match="Stopped") as caught:
+        run(spark, Spec(path, cursors, patterns.concurrent("c", stop, cursors), TO_HEAD), str(tmp_path / "cp"))
+    assert "event 5" in str(caught.value) and cursors.get("c") == "4"
+    consumer = patterns.dead_letter("d", stop, lambda rows: lost.extend(rows.collect()))
+    run(spark, Spec(path, cursors, consumer, TO_HEAD), str(tmp_path / "cp"))
+    assert lost == [] and cursors.get("d") == "20" and consumer.counts == {"dead_letters": 0}
+
+
+def test_one_scan_for_all_shards(spark, path, tmp_path):
+    """A lagging shard replays alone; the cursors of those that return are set when another fails."""
+    cursors, seen = MemoryCursors(), {m: [] for m in range(3)}
+    cursors.set("p_2_of_3", "12")
+    fails = []
+
+    def member(m, name):
+        def take(batch, _):
+            ids = [r["id"] for r in batch.collect()]
+            if m == 0 and fails:
+                raise ValueError("no")
+            seen[m] += ids
+
+        return Consumer(name, take)
+
+    spec = patterns.parallel(Spec(path, cursors, Consumer("p", None), TO_HEAD), 3, member)
+    run(spark, spec, str(tmp_path / "cp"))
+    own = {m: [r["id"] for r in spark.read.parquet(path).where(shards.shard(3) == m + 1).orderBy("id").collect()] for m in range(3)}
+    assert seen[0] == own[0] and seen[2] == own[2] and seen[1] == [i for i in own[1] if i > 12]
+    assert [cursors.get(f"p_{m}_of_3") for m in (1, 2, 3)] == ["20"] * 3
+    more = [(i, 1, "x", T0, None, None) for i in range(21, 27)]
+    spark.createDataFrame(more, EVENT).write.mode("append").parquet(path)
+    fails.append(1)
+    with pytest.raises(Exception, match="no"):
+        run(spark, spec, str(tmp_path / "cp"))
+    assert [cursors.get(f"p_{m}_of_3") for m in (1, 2, 3)] == ["20", "26", "26"]
+    fails.clear()
+    before = [list(seen[m]) for m in (1, 2)]
+    run(spark, spec, str(tmp_path / "cp"))
+    assert [seen[1], seen[2]] == before and cursors.get("p_1_of_3") == "26" and sorted(seen[0] + seen[2]) == sorted(i for i in range(1, 27) if i in seen[0] or i in seen[2])
+    acked = patterns.parallel_ack(Spec(path, cursors, Consumer("a", None), TO_HEAD), 2, lambda batch, ack: [ack(r["id"]) for r in batch.orderBy("id").limit(1).collect()])
+    run(spark, acked, str(tmp_path / "cp"))
+    assert {int(cursors.get(f"a_{m}_of_2")) for m in (1, 2)} <= {1, 2, 3}
+
+
 def test_dead_letter(spark, path, tmp_path):
     cursors, lost = MemoryCursors(), []
     consumer = patterns.dead_letter("d", failing_on_seven(), lambda rows: lost.extend(rows.collect()), retries=2)
@@ -245,7 +334,7 @@ def test_concurrent_in_flight(spark, path, tmp_path):
             raise ValueError("too many")
 
     cursors = MemoryCursors()
-    patterns.concurrent("c", handle, cursors, max_in_flight=2).consume(spark.read.parquet(path).repartition(8), 0)
+    patterns.concurrent("c", handle, cursors, max_in_flight=2)(spark.read.parquet(path).repartition(8), 0)
     assert cursors.get("c") == "20"
 
 

@@ -188,7 +188,7 @@ def test_pages_that_nobody_planned_come_next(tmp_path):
     clock[0] = 6.0
     again.latestOffset()
     assert asked == ["", "2", "4", "4"]
-    assert [p.value for p in again.partitions({"page": 0}, {"page": 2})] == [1, 2]
-    assert [b.column(0).to_pylist() for b in again.read(polling.Page(2))] == [["3", "4"]]
+    assert [(p.first, p.last) for p in again.partitions({"page": 0}, {"page": 2})] == [(1, 2)]
+    assert [b.column(0).to_pylist() for b in again.read(polling.Pages(1, 2))] == [["1", "2"], ["3", "4"]]
     again.commit({"page": 2})
     assert again.journal.last() == 2 and not (tmp_path / "j" / "000000000001").exists()

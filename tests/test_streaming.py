@@ -133,6 +133,49 @@ def test_offsets_come_from_footers(spark, tmp_path):
     assert [(p.start, p.end) for p in reader.partitions({"after": 0}, {"after": 7})] == [(0, 3), (3, 6), (6, 7)]
 
 
+def test_a_drain_looks_once(spark, tmp_path):
+    """Batches are cut from one look, and a task has the files of its range alone."""
+    from logweir.sources.stored import StoredLog
+    from logweir.streaming.source import EventLogStreamReader
+
+    def drained(**options):
+        reader, start, ends, files = EventLogStreamReader({"limit": "4", **options}), {"after": 0}, [], []
+        while (end := reader.latestOffset()) != start:
+            files.append([len(p.files) for p in reader.partitions(start, end)])
+            ends.append(end["after"])
+            start = end
+        return reader, ends, files
+
+    path = str(tmp_path / "plain")
+    for k in range(5):
+        write(spark, path, range(4 * k + 1, 4 * k + 5))
+    reader, ends, files = drained(path=path)
+    # One look finds the batches, the next that there is no more.
+    assert ends == [4, 8, 12, 16, 20] and files == [[1]] * 5 and reader.files.listed == 2
+    stored = StoredLog(spark, str(tmp_path / "stored"))
+    for k in range(5):
+        stored.append(spark.createDataFrame([(n, "k", 1) for n in range(4)], "seq long, foreign_id string, type int").coalesce(1))
+    reader, ends, files = drained(path=stored.path)
+    assert ends == [4, 8, 12, 16, 20] and files == [[1]] * 5 and (reader.files.listed, reader.files.opened) == (0, 0)
+    rows = [r for p in reader.partitions({"after": 4}, {"after": 12}) for b in reader.read(p) for r in b.column(0).to_pylist()]
+    assert rows == list(range(5, 13))
+
+
+def test_ids_that_do_not_rise_fail(spark, tmp_path):
+    """An id in two files, or twice in one."""
+    from logweir.streaming.source import EventLogStreamReader
+
+    path = str(tmp_path / "log")
+    write(spark, path, [1, 2, 3])
+    write(spark, path, [3, 4])
+    with pytest.raises(errors.NotIncreasing):
+        EventLogStreamReader({"path": path}).latestOffset()
+    twice = str(tmp_path / "twice")
+    write(spark, twice, [1, 2, 2, 3])
+    with pytest.raises(Exception, match="twice|increas"):
+        run(spark, Spec(twice, MemoryCursors(), Consumer("c", lambda b, _: b.count()), TO_HEAD), str(tmp_path / "cp"))
+
+
 def test_acknowledged_part_of_a_batch(spark, tmp_path):
     """What was not acknowledged comes again, also on the same checkpoint folder."""
     from logweir.streaming import patterns
