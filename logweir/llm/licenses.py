@@ -12,7 +12,8 @@ a bounded table.
 
 Confirmation. A candidate is compared with the whole notices of its family, as templates: the share of
 a template's n-grams that the paragraph holds, each weighed by the rarity of its rarest word in the
-corpus. The family stands if one template is covered by ``COVER``; else it is an unknown licence.
+corpus. The family stands if one template is covered by ``COVER``, unless the words before "license" name one
+that no notice knows, which speaks against every family; else it is an unknown licence.
 
 Plan. Only DataFrame functions run on the executors. A paragraph is a run of lines without a blank one
 between them, so a notice that is wrapped is seen whole. A paragraph that has none
@@ -40,34 +41,40 @@ from pyspark.sql import functions as F
 
 from logweir.llm.common import ascii_lower, least_hashes, table
 
-SAMPLE, SAMPLE_CHARS, FEATURES, COVER, THRESHOLD = 1500, 4000, 600, 0.6, 0.5
+SAMPLE, SAMPLE_CHARS, FEATURES, COVER, THRESHOLD = 1500, 4000, 1200, 0.6, 0.5
 #: What parts paragraphs, and words around a notice in training.
 BREAK, AROUND = "\n[ \t\r\x0b\x0c]*\n\\s*", (0, 4, 12, 60, 400)
 #: Share of background paragraphs from which on a word is common.
 COMMON = 0.005
 OTHER = "none"
-# Short public notices of each family, which are its templates.
+# Public notices of each family, a paragraph each, which are its templates.
 NOTICES = {
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "This project is released under the Apache 2.0 license.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "mit": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software.",
         "This code is licensed under the MIT license.",
         "SPDX-License-Identifier: MIT",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program.",
         "Distributed under the GPL version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
         "Distributed under the LGPL version 3.",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ],
@@ -78,6 +85,8 @@ NOTICES = {
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice in the documentation and/or other materials provided with the distribution.",
+        "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages.",
         "Released under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license.",
         "SPDX-License-Identifier: BSD-2-Clause",
@@ -141,6 +150,8 @@ GENERAL = [
     "In the public garden a gnu was seen among lesser animals.",
     "Creative people share an attribution to common sources.",
 ]
+#: Words that a licence's name stands before, and how far before.
+LICENCE, NAME = ["license", "licence", "licenses", "licences"], 3
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 PHRASE = "(?<![a-z0-9])(?:" + "|".join(re.escape(k) for keys in KEYS.values() for k in keys) + ")"
 
@@ -153,6 +164,21 @@ def grams(words: list[str]) -> set[str]:
     return set(words) | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
 
 
+def _vocabulary() -> tuple[set[str], set[str]]:
+    """The words of all notices, and those that notices of several families have."""
+    held = Counter(w for notices in NOTICES.values() for w in {w for notice in notices for w in tokens(notice)})
+    return set(held), {w for w, n in held.items() if n > 1}
+
+
+def other_name(words: list[str]) -> bool:
+    """Whether every licence that is named is one that no notice knows: of the words before "license",
+    the nearest that several families do not share is in no notice."""
+    known, shared = _vocabulary()
+    marks = [i for i, w in enumerate(words) if w in LICENCE]
+    deciding = [next((w for w in reversed(words[max(0, i - NAME) : i]) if w not in shared), None) for i in marks]
+    return bool(marks) and all(w is not None and w not in known for w in deciding)
+
+
 def rarity(word_counts: dict[str, int], counted: int) -> dict[str, float]:
     """The weight of each n-gram of the notices: how rare its rarest word is in general text."""
     own = {g for notices in NOTICES.values() for notice in notices for g in grams(tokens(notice))}
@@ -297,6 +323,17 @@ def classified(paragraphs: DataFrame, model: Model, *, threshold: float = THRESH
             held = F.aggregate(F.array_intersect("__g", F.array(*map(F.lit, need))), F.lit(0.0), lambda s, g: s + F.element_at(rare, g))
             shares.append(held / sum(model.rare[g] for g in need))
         confirmed = F.when(F.col("__guess") == family, F.greatest(*shares) >= cover).otherwise(confirmed)
+    known, shared = ([*map(F.lit, sorted(v))] for v in _vocabulary())
+    known, shared = F.array(*known), F.array(*shared)
+    places = F.when(F.size("__w") > 0, F.sequence(F.lit(1), F.size("__w"))).otherwise(F.array().cast("array<int>"))
+    marks = F.filter(places, lambda i: F.element_at("__w", i).isin(LICENCE))
+
+    def strange(i: Column) -> Column:
+        before = F.reverse(F.slice("__w", F.greatest(i - NAME, F.lit(1)), F.least(i - 1, F.lit(NAME))))
+        deciding = F.get(F.filter(before, lambda w: ~F.array_contains(shared, w)), F.lit(0))
+        return F.coalesce(~F.array_contains(known, deciding), F.lit(False))
+
+    confirmed = confirmed & ~((F.size(marks) > 0) & F.forall(marks, strange))
     rows = rows.withColumn("__guess", guess)
     family = F.when(F.col("probability") >= threshold, F.when(confirmed, F.col("__guess")).otherwise("unknown"))
     return rows.withColumn("family", family).drop("__w", "__g", "__z", "__p", "__guess")
