@@ -221,7 +221,7 @@ def find_links(sets: DataFrame, scratch: Scratch, *, percent: int = PERCENT, str
     counts = rest.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("ball")).alias("o"))
     counts = counts.where("m > 1 AND o > 0").select("pivot", F.ceil(F.col("m") / strip).cast("int").alias("strips"))
     counts = scratch.write(counts)
-    # Strips: quantiles of the distance, found from its histogram in thousandths, then split by hash.
+    # Strips: bands of distance as wide as the window, each split by hash where the region is large.
     small = counts.where("strips = 1").select("pivot")
     task = rest.join(small, "pivot").select("pivot", F.lit(0).alias("s"), F.lit(0).alias("t"), "id", "ball")
     large = rest.join(counts.where("strips > 1"), "pivot")
