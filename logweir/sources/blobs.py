@@ -293,7 +293,8 @@ class Bucket:
         """Hands over what lies behind a consumer's cursor, a micro-batch at a time, and sets it to the last
         record of each; at the end of the bucket it waits and looks again.
 
-        The cursor is all that is remembered. Ends with ``Stopped`` once the bucket is closed."""
+        The cursor is all that is remembered; a store that only goes forward compares cursors by
+        ``functions.blobs.rank_of``, in the order of keys. Ends with ``Stopped`` once the bucket is closed."""
         place = checkpoint or f"{shared_dir(spark)}/blobs-{uuid.uuid4().hex}"
 
         def step(batch: DataFrame, _: int) -> None:

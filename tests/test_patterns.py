@@ -186,17 +186,17 @@ def test_concurrent(spark, path, tmp_path):
     assert cursors.get("c") == "6"
 
 
-def waiting_for(folder, failing=()):
+def waiting_for(folder, failing=(), seconds=60):
     """The first event waits until the last was handled."""
 
-    def handle(row, folder=str(folder), failing=failing):
+    def handle(row, folder=str(folder), failing=failing, seconds=seconds):
         import os
         import time
 
         if row["id"] in failing:
             raise ValueError(row["id"])
         open(f"{folder}/{row['id']}", "w").close()
-        end = time.monotonic() + 60
+        end = time.monotonic() + seconds
         while row["id"] == 1 and not os.path.exists(f"{folder}/20") and time.monotonic() < end:
             time.sleep(0.05)
 
@@ -219,7 +219,7 @@ def test_a_failure_ahead_leaves_the_cursor_behind_it(spark, path, tmp_path):
     done = tmp_path / "done"
     done.mkdir()
     cursors = MemoryCursors()
-    consumer = patterns.concurrent("c", waiting_for(done, (8,)), cursors, ahead=4)
+    consumer = patterns.concurrent("c", waiting_for(done, (8,), 3), cursors, ahead=4)
     with pytest.raises(Exception, match="event 8"):
         run(spark, Spec(path, cursors, consumer, TO_HEAD, limit=5), str(tmp_path / "cp"))
     assert int(cursors.get("c") or 0) <= 7
