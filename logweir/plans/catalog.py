@@ -20,6 +20,7 @@ from logweir.options import StreamOptions
 from logweir.schema import EventColumns
 from logweir.sources import polling, tables
 from logweir.sources.blobs import Bucket
+from logweir.sources.cache import TailCache
 from logweir.sources.stored import ErrorStore, StoredLog, append_parquet, fill_gaps
 from logweir.storage import shared_dir
 from logweir.streaming import patterns
@@ -550,6 +551,21 @@ def live_shards(spark, folder):
     return seen.join(at, "name")
 
 
+@query(f"WITH {LOG}, {NOOPS}, n AS (SELECT type, count(*) AS n, max(id) AS last_id FROM noops WHERE NOT (foreign_id = '0' AND type = 0) GROUP BY 1) SELECT name, type, n, last_id, 1 AS loads FROM n, (VALUES ('first'), ('second')) v(name)")
+def live_cached(spark, folder):
+    """Two consumers of one log that share its tail: what each saw by type, and how often the log was loaded."""
+    stored, out = StoredLog(spark, _stored(spark, folder)), _place(spark, "cached")
+    held, cache = cursors.TableCursors(spark, _place(spark, "cursors")), TailCache(stored.events)
+    try:
+        for name in ("first", "second"):
+            consumer = Consumer(name, lambda batch, _, name=name: append_parquet(batch.select(F.lit(name).alias("name"), "type", "id"), out))
+            run(spark, Spec(stored.path, held, consumer, StreamOptions(to_head=True), cache=cache), _place(spark, "checkpoint"))
+    finally:
+        cache.close()
+    seen = spark.read.schema("name string, type int, id long").parquet(out).groupBy("name", "type").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last_id"))
+    return seen.withColumn("loads", F.lit(cache.misses))
+
+
 # Blob cursors: a blob a day.
 
 
