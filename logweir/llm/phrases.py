@@ -15,7 +15,7 @@ a plain join, which adaptive execution may split, tells them to the chunks. A wo
 times is a hot pivot: its fragments are dealt to several partitions by chunk, whose counts are added up
 after. The others are final where they are counted, and only frequent phrases leave. Scores are decimals
 of 38 digits, exact. The best of a language are chosen in rounds over fewer and fewer parts, so that no
-task sees more of a language than the best of eight parts.
+task sees more of a language than the best of two parts.
 
 Edge cases. A null text is empty; a null lang is ``und``, as is a lang of that name. Rows that repeat a
 doc_id count each. Words are compared whole, as bytes; no hash stands for one. An empty table gives an empty
@@ -39,7 +39,7 @@ LEAST, TOP, COVER = 10, 2000, 50
 #: Mean bytes of text in a chunk; occurrences of a pivot that one partition takes; bytes of fragments counted at once.
 CHUNK_BYTES, LOAD, BUFFER = 6_000_000, 500_000, 8_000_000
 #: Parts of a language's phrases in each round of choosing; each takes the best ``TOP`` of its parts.
-ROUNDS = (64, 8, 1)
+ROUNDS = (64, 32, 16, 8, 4, 2, 1)
 #: Characters that end a piece, and what stands for them: a byte that UTF-8 does not have.
 _ENDS, _END = b".,;:!?\n\x0b\x0c\r", b"\xff"
 _TABLE = bytes.maketrans(_ENDS, _END * len(_ENDS))
