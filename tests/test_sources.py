@@ -192,3 +192,23 @@ def test_pages_that_nobody_planned_come_next(tmp_path):
     assert [b.column(0).to_pylist() for b in again.read(polling.Pages(1, 2))] == [["1", "2"], ["3", "4"]]
     again.commit({"page": 2})
     assert again.journal.last() == 2 and not (tmp_path / "j" / "000000000001").exists()
+
+
+def test_pages_of_a_table_with_holes(spark, tmp_path):
+    """Pages hold the next events whatever ids are missing; each file of ids is read once, each page polled once."""
+    ids = [*range(1, 31), *range(500, 520), 9000, *range(9100, 9130)]
+    polling.write_ids(spark.createDataFrame([(i,) for i in reversed(ids)], "id long"), f"{tmp_path}/ids", most=25)
+    pages = polling.TablePages(f"{tmp_path}/ids", 10)
+    reader = polling.PollReader({"journal": str(tmp_path / "j"), "backoff": "5", "pages": "100"}, pages, lambda: 0.0)
+    reads = []
+    reader.journal.read = lambda n, read=reader.journal.read: reads.append(n) or read(n)
+    assert reader.latestOffset() == {"page": 9} and not reads
+    assert [int(i) for b in reader.read(polling.Pages(1, 9)) for i in b.column(0).to_pylist()] == ids
+    assert pages.opened == len(pages.files) > 1 and pages("") == [{"id": i} for i in ids[:10]] and pages("9129") == []
+
+
+def test_journals_with_a_line_for_each_event(tmp_path):
+    journal = polling.Journal(str(tmp_path / "j"))
+    (tmp_path / "j" / "000000000001").write_text('{"id": 1}\n{"id": 2}\n')
+    journal.write(2, [{"id": 3, "metadata": b"m"}])
+    assert journal.read(1) == [{"id": 1}, {"id": 2}] and journal.read(2) == [{"id": 3, "metadata": "6d"}]
