@@ -69,3 +69,14 @@ def test_dead_letter_events(spark, twelve):
     assert [(r["id"], r["type"], r["foreign_id"], r["metadata"]) for r in got] == [
         (1, 1, "1", "consumer_1"), (2, 1, "1", "consumer_1"), (3, 1, "2", "consumer_3"), (4, 1, "2", "consumer_3"), (5, 1, "3", "consumer_5"), (6, 1, "3", "consumer_5"),
     ]
+
+
+def test_poll_pages_of_a_table_with_holes(spark, tmp_path):
+    """Ids are missing inside pages, and more than a page of them at once."""
+    spark.range(2000).where("(id % 997 != 996) AND (id < 300 OR id >= 900)").selectExpr("id AS event_id", "id AS user_id", "'view' AS event_type", "'{}' AS props", "timestamp_ntz '2024-01-01 00:00:00' AS ts", "1.0D AS value").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.queries()["poll_pages"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    cursor = con.execute(catalog.oracle_sql()["poll_pages"])
+    columns = [d[0] for d in cursor.description]
+    assert rows(got.collect(), got.columns) == rows(cursor.fetchall(), columns)
