@@ -17,6 +17,7 @@ from __future__ import annotations
 import codecs
 import io
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -38,35 +39,38 @@ PART, RECORDS, TASK, MOST = 1 << 20, 1000, 64 << 20, 10_000
 #: Seconds between two listings.
 BACKOFF = 60.0
 Decoder = Callable[[io.BufferedIOBase], Iterable[bytes]]
+#: White space between values.
+_GAP = re.compile(r"[ \t\r\n]*")
 
 
 def json_values(blob: bytes | io.BufferedIOBase) -> Iterator[bytes]:
     """The JSON values of a blob, as they are written; only the value at hand is kept."""
     stream = io.BytesIO(blob) if isinstance(blob, bytes) else blob
     utf8, parse = codecs.getincrementaldecoder("utf-8")(), json.JSONDecoder().raw_decode
-    text, ended, want = "", False, 0
+    # The values before ``at`` are given out; what is left of a part is moved once, with the next.
+    text, at, ended, want = "", 0, False, 0
     while True:
-        text = text.lstrip(" \t\r\n")
-        if text and (ended or len(text) >= want):
+        at = _GAP.match(text, at).end()
+        if at < len(text) and (ended or len(text) - at >= want):
             try:
-                _, end = parse(text)
+                _, end = parse(text, at)
             except json.JSONDecodeError:
                 if ended:
                     raise
                 # A value that is cut is tried again when there is twice as much of it.
-                want = 2 * len(text)
+                want = 2 * (len(text) - at)
             else:
                 # A number may go on behind the part.
                 if ended or text[end - 1] in "]}\"" or end < len(text) and text[end] not in "+-.eE":
-                    yield text[:end].encode()
-                    text, want = text[end:], 0
+                    yield text[at:end].encode()
+                    at, want = end, 0
                     continue
-                want = len(text) + 1
+                want = len(text) - at + 1
         elif ended:
             return
         part = stream.read(PART)
         ended = not part
-        text += utf8.decode(part, final=ended)
+        text, at = text[at:] + utf8.decode(part, final=ended), 0
 
 
 class MissingBucket(LogError):

@@ -1,6 +1,7 @@
 """Blob and poll sources as streams: order, resumption, listing behind a key, pages that are read again."""
 
 import json
+import time
 
 import pytest
 
@@ -61,6 +62,13 @@ def test_json_in_parts():
         list(json_values(Slow(b'{"a": 1}{"b', 3)))
 
 
+def test_short_values_cost_their_own_length():
+    """A million values in a part each: moving the rest of the part for each took a minute and more."""
+    began = time.monotonic()
+    assert sum(1 for _ in json_values(b"1 " * 1_000_000)) == 1_000_000
+    assert time.monotonic() - began < 15
+
+
 def follow(spark, bucket, store, seen, **options):
     bucket.follow(spark, lambda frame: seen.append([json.loads(bytes(r["metadata"]))["id"] for r in frame.collect()]), store, "c", rounds=1, **options)
 
