@@ -35,7 +35,7 @@ from logweir.options import StreamOptions
 from logweir.storage import delete, shared_dir
 
 #: Bytes that a decoder takes at once, records of a batch, bytes of blobs in one task, blobs in a micro-batch.
-PART, RECORDS, TASK, MOST = 1 << 20, 1000, 64 << 20, 10_000
+PART, RECORDS, TASK, MOST = 1 << 20, 1000, 16 << 20, 10_000
 #: Seconds between two listings.
 BACKOFF = 60.0
 Decoder = Callable[[io.BufferedIOBase], Iterable[bytes]]
@@ -251,6 +251,11 @@ class BlobSource(DataSource):
         return BlobStreamReader(self.options, self.decoder)
 
 
+def _ordered(rows: DataFrame) -> DataFrame:
+    """Rows in order of their cursors, which are taken apart once a row and not in each comparison."""
+    return rows.withColumn("__at", cursors.order(F.col("id"))).orderBy("__at.key", "__at.eof", "__at.offset").drop("__at")
+
+
 class Bucket:
     """A folder of blobs. After ``close`` nothing is read."""
 
@@ -287,7 +292,7 @@ class Bucket:
         """Events behind a cursor, in order: id, type 0, no foreign id, the blob's time, the record."""
         options_ = self._options(cursor, options)
         rows = spark.read.format(self._format(spark)).options(**options_).load()
-        return rows.orderBy(cursors.order(F.col("id"))).select("id", "type", "foreign_id", "timestamp", "metadata", "trace")
+        return _ordered(rows).select("id", "type", "foreign_id", "timestamp", "metadata", "trace")
 
     def live(self, spark: SparkSession, cursor: str = "", **options: str) -> DataFrame:
         """The same as a stream that goes on with blobs that come; its order is that of ``functions.blobs.order``."""
@@ -308,7 +313,7 @@ class Bucket:
                 if metrics:
                     metrics.add("decoded_rows", name, last["n"])
                 if last["n"]:
-                    consume(batch.orderBy(cursors.order(F.col("id"))))
+                    consume(_ordered(batch))
                     store.set(name, last["id"])
                     store.flush()
             finally:

@@ -113,6 +113,16 @@ def test_small_micro_batches_and_resumption_in_mid_blob(spark, tmp_path):
     assert flat[:5] == [11, 12, 20, 21, 22] and sorted(set(flat)) == [11, 12, *range(20, 23), *range(30, 33), *range(40, 43)] and store.get("c") == "d/4|eof"
 
 
+def test_cursors_are_not_parsed_while_sorting(spark, tmp_path):
+    """The sort compares columns; the order is that of keys and offsets."""
+    put(tmp_path, "app.log", range(12))
+    put(tmp_path, "app.log.1", [12])
+    rows = Bucket(str(tmp_path)).stream(spark)
+    assert [json.loads(bytes(r["metadata"]))["id"] for r in rows.collect()] == list(range(13))
+    sorts = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Sort [" in line]
+    assert sorts and not any("split(" in line for line in sorts)
+
+
 def test_offsets_of_blobs(tmp_path):
     for k in range(5):
         put(tmp_path, f"d/{k}", range(3))
