@@ -22,7 +22,6 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -32,10 +31,11 @@ from logweir.commits import DataFile, Snapshot, advanced
 from logweir.errors import NotIncreasing
 from logweir.options import StreamOptions
 
-#: Ids in one partition of a batch.
-RANGE = 250_000
+#: Ids in one partition of a batch; rows and bytes of a file's column that a task decodes at once.
+RANGE, ROWS, BUFFER = 250_000, 10_000, 1 << 18
 SCHEMA = "id long, type int, foreign_id string, timestamp timestamp, metadata binary, trace binary"
 _KINDS = {"id": pa.int64(), "type": pa.int32(), "foreign_id": pa.string(), "timestamp": pa.timestamp("us", "UTC"), "metadata": pa.binary(), "trace": pa.binary()}
+EMPTY = pa.table({k: pa.array([], t) for k, t in _KINDS.items()})
 
 
 class IdRange(InputPartition):
@@ -235,14 +235,28 @@ class EventLogStreamReader(DataSourceStreamReader):
         if self.marks:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([part.end, *[None] * 5], _KINDS.values(), strict=True)], names=list(_KINDS))
             return
-        want = (ds.field("id") > part.start) & (ds.field("id") <= part.end)
         system, _ = _place(self.path)
-        table = ds.dataset(part.files, filesystem=system, format="parquet").to_table(filter=want).sort_by("id")
+        table = pa.concat_tables([EMPTY, *(t for path in part.files for t in self._pieces(system, path, part))]).sort_by("id")
         ids = table["id"].to_numpy()
         if (ids[1:] <= ids[:-1]).any():
             raise NotIncreasing(f"an id in {part.start + 1} to {part.end} is there twice")
-        columns = [pc.cast(table[k], t) if k in table.column_names else pa.nulls(len(table), t) for k, t in _KINDS.items()]
-        yield from pa.table(dict(zip(_KINDS, columns, strict=True))).to_batches()
+        yield from table.to_batches(max_chunksize=ROWS)
+
+    def _pieces(self, system: fs.FileSystem, path: str, part: IdRange) -> Iterator[pa.Table]:
+        """The rows of one file in a range, a few at a time: what else its row groups hold is let go at once."""
+        with system.open_input_file(path) as raw:
+            file = pq.ParquetFile(raw, buffer_size=BUFFER, pre_buffer=False)
+            for g in range(file.metadata.num_row_groups):
+                meta = file.metadata.row_group(g)
+                at = next(c.statistics for c in map(meta.column, range(meta.num_columns)) if c.path_in_schema == "id")
+                if at is not None and at.has_min_max and (at.max <= part.start or at.min > part.end):
+                    continue
+                names = [k for k in _KINDS if k in file.schema_arrow.names]
+                for rows in file.iter_batches(ROWS, row_groups=[g], columns=names, use_threads=False):
+                    ids = rows.column("id")
+                    rows = rows.filter(pc.and_(pc.greater(ids, part.start), pc.less_equal(ids, part.end)))
+                    if len(rows):
+                        yield pa.table({k: pc.cast(rows.column(k), t) if k in names else pa.nulls(len(rows), t) for k, t in _KINDS.items()})
 
     def commit(self, end: dict) -> None:
         pass

@@ -244,3 +244,27 @@ def test_run_forever():
 
     run_forever(start, lambda: stops.append(1), sleep=waits.append, rounds=2)
     assert waits == [0.1, 60.0] and len(stops) == 2
+
+
+def test_a_task_decodes_a_few_rows_at_once(tmp_path):
+    """A range in a large row group: what lies beside it is let go while it is read."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from logweir.streaming.source import EventLogStreamReader
+
+    n = 2_000_000
+    text = pa.array([b"x" * 100]).take(pa.array([0] * n))
+    pq.write_table(pa.table({"id": pa.array(range(1, n + 1)), "metadata": text}), f"{tmp_path}/a.parquet", row_group_size=n)
+    del text
+    reader = EventLogStreamReader({"path": str(tmp_path), "rangeIds": "50000"})
+    part = reader.partitions({"after": 0}, reader.latestOffset())[20]
+    pool = pa.proxy_memory_pool(pa.default_memory_pool())
+    kept = pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        ids = [i for b in reader.read(part) for i in b.column(0).to_pylist()]
+    finally:
+        pa.set_memory_pool(kept)
+    assert ids == list(range(part.start + 1, part.end + 1)) and len(ids) == 50_000
+    assert pool.max_memory() < 60_000_000
