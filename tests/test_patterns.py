@@ -408,3 +408,15 @@ def test_serving():
         next(open_stream(""))
     with pytest.raises(RuntimeError):
         server.stop()
+
+
+def test_batches_of_a_long_log_come_in_bounded_micro_batches(spark, tmp_path, monkeypatch):
+    """Without a limit of its own, a query with state does not take the whole log at once; the batches are the same."""
+    monkeypatch.setattr("logweir.streaming.run.STATE_IDS", 30)
+    path, seen = str(tmp_path / "log"), []
+    spark.range(1, 101).selectExpr("id", "1 AS type", "'k' AS foreign_id", "timestamp '2024-01-01 00:00:00' AS timestamp", "cast(null AS binary) AS metadata", "cast(null AS binary) AS trace").write.parquet(path)
+    cursors = MemoryCursors()
+    consumer = patterns.BatchConsumer("long", lambda rows: seen.append([(r["batch"], r["id"]) for r in rows.collect()]), cursors=cursors, length=8, together=True)
+    run(spark, Spec(path, cursors, consumer, TO_HEAD), str(tmp_path / "cp"))
+    assert [len(s) for s in seen] == [24, 32, 32, 8] and cursors.get("long") == "96"
+    assert [e for s in seen for e in s] == [((i - 1) // 8 * 8 + 1, i) for i in range(1, 97)]
